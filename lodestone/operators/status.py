@@ -25,11 +25,11 @@ def _is(column: str, value: str) -> Column:
 
 # What makes a URL ready for a stage. Columns are null for an untracked URL.
 READY = {
-    "scrape": ~_is("status", "completed"),
-    "chunk": _is("stage", "scraped"),
-    "embed": _is("stage", "chunked"),
-    "upload": _is("stage", "embedded"),
-    "pdf": ~(_is("status", "completed") & _is("stage", "uploaded")),
+    "scrape": "not (status <=> 'completed')",
+    "chunk": "stage <=> 'scraped'",
+    "embed": "stage <=> 'chunked'",
+    "upload": "stage <=> 'embedded'",
+    "pdf": "not (status <=> 'completed' and stage <=> 'uploaded')",
 }
 
 
@@ -197,19 +197,22 @@ def mark_pdf_run(status: DataFrame, pdfs: DataFrame, results: DataFrame, run_ts:
     reached (null when no text came out) and the error that stopped it, if any.
     """
     tracked = init_pending(status, pdfs, run_ts)
-    due = stage_gate(pdfs, tracked, "pdf").join(results, "url").join(tracked, "url")
+    outcome = results.select(
+        "url", "reached", "chunks", "vectors", F.col("error").alias("problem")
+    )
+    due = stage_gate(pdfs, tracked, "pdf").join(outcome, "url")
+    rows = tracked.join(due, "url")
     position = F.coalesce(
         F.array_position(F.array(*[F.lit(s) for s in PDF_STAGES]), F.col("reached")), F.lit(0)
     )
-    problem = results["error"]
-    changes = due.select(
+    changes = rows.select(
         "url",
-        F.when(problem.isNull(), "completed").otherwise("failed").alias("status"),
-        F.coalesce(results["reached"], tracked["stage"]).alias("stage"),
-        F.coalesce(problem, tracked["error"]).alias("error"),
-        F.when(position >= 1, results["chunks"]).otherwise(tracked["chunks_count"]).alias("chunks_count"),
-        F.when(position >= 2, results["vectors"])
-        .otherwise(tracked["embeddings_count"])
+        F.when(F.col("problem").isNull(), "completed").otherwise("failed").alias("status"),
+        F.coalesce("reached", "stage").alias("stage"),
+        F.coalesce("problem", "error").alias("error"),
+        F.when(position >= 1, F.col("chunks")).otherwise(F.col("chunks_count")).alias("chunks_count"),
+        F.when(position >= 2, F.col("vectors"))
+        .otherwise(F.col("embeddings_count"))
         .alias("embeddings_count"),
         as_ntz(run_ts).alias("last_updated"),
     )
