@@ -16,7 +16,7 @@ from lodestone.catalog.frames import (
 )
 from lodestone.functions import http, urls
 from lodestone.operators import crawl, manifest, pages
-from lodestone.session import spread
+from lodestone.session import spread, stored
 
 _SITE = "blog.ththan.example.net"
 _START = "https://g.example/s/1"
@@ -140,14 +140,15 @@ def _graph(spark, sf):
 
 def discover_bfs(spark, sf):
     edges, nodes = _graph(spark, sf)
-    found = crawl.discover(edges, nodes, _START, RUN_TS, max_depth=3)
+    # Discovery reads its link table once per depth, so it is stored first.
+    found = crawl.discover(stored(edges), stored(nodes), _START, RUN_TS, max_depth=3)
     return found.withColumn("discovered_at", stamp("discovered_at"))
 
 
 def discover_page_links(spark, sf):
     """Discovery over the links of the page table, from its first home page."""
     html = _html(spark, sf)
-    links = pages.extract_links(html)
+    links = stored(pages.extract_links(html))
     # Every linked URL answers; pages of the table lead on, the others are leaves.
     targets = links.select(F.col("dst").alias("url"), F.lit("text/plain").alias("content_type")).distinct()
     known = html.select("url", F.lit("text/html").alias("content_type"))

@@ -22,7 +22,7 @@ from lodestone.operators import chunking, embedding, incremental, retrieval, sea
 from lodestone.operators import vectors as vec
 from lodestone.plans import corpus_build
 from lodestone.plans.questions import answer_inputs
-from lodestone.session import checkpointed, scratch_path, spread
+from lodestone.session import scratch_path, spread, stored
 from lodestone.streaming import ingest
 
 
@@ -227,7 +227,7 @@ def vector_records(spark, sf):
 
 def embedding_complete(spark, sf):
     """Chunks left without a vector when the French documents were not embedded."""
-    chunks = checkpointed(chunking.chunk(documents(spark, sf), RUN_TS))
+    chunks = stored(chunking.chunk(documents(spark, sf), RUN_TS))
     vectors = embedding.embed(chunks.filter("source not like '%/fr/%'"), hashing_embedder(DIM), "prod")
     return embedding.missing_vectors(chunks, vectors).select("source", "chunk_index")
 
@@ -320,15 +320,16 @@ def ingest_stream(spark, sf):
 def corpus_run(spark, sf):
     """Scrape, chunk, embed and upload the page table, then the same run again."""
     pages = spread(load(spark, sf, "pages"))
-    run = corpus_build.Run(spark, scratch_path(spark, "corpus"), 1, RUN_TS)
+    run = corpus_build.Run(spark, scratch_path(spark, "corpus"), RUN_TS)
     discovered = pages.select("url")
     fetched = pages.select("url", "html", F.lit(200).alias("status"))
     for _ in range(2):
         corpus_build.build(run, discovered, fetched, hashing_embedder(DIM), "prod", DIM)
-    stored = vec.vectors_per_document(vec.read_vectors(spark, run.path("index")))
-    return run.status().join(stored, run.status()["url"] == stored["source"], "left").select(
-        "url", "status", "stage", "error", F.size(F.array("source")).cast("int").alias("one"),
-        (F.col("chunks_count") == stored["embeddings_count"]).alias("complete"),
+    counts = vec.vectors_per_document(vec.read_vectors(spark, run.path("index")))
+    return run.status().join(counts.toDF("url", "stored"), "url", "left").select(
+        "url", "status", "stage", "error",
+        (F.col("chunks_count") == F.col("stored")).alias("chunks_stored"),
+        (F.col("embeddings_count") == F.col("stored")).alias("vectors_stored"),
     )
 
 
@@ -489,7 +490,8 @@ ORACLES = {
         with recursive {DOCS}, {chunk_ctes("docs")}
         select source, count(*) as embeddings_count from chunks group by source""",
     "corpus_run": """
-        select url, 'completed' as status, 'uploaded' as stage, null as error, 1 as one, true as complete
+        select url, 'completed' as status, 'uploaded' as stage, null as error,
+               true as chunks_stored, true as vectors_stored
         from pages""",
 }
 ORACLES["topk_cosine_grid"] = ORACLES["topk_cosine"]

@@ -16,12 +16,15 @@ PARAM_SCHEMES = (
     "sip", "sips", "mms", "sftp", "tel",
 )
 
-_PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)"
+# Scheme, network location and path, after any leading blanks.
+_PARTS = r"(?s)^[\x00-\x20]*(?:([A-Za-z][A-Za-z0-9+.\-]*+):)?(?://([^/?#]*+))?([^?#]*+)"
 
 
 def _part(url: Column | str, index: int) -> Column:
     url = F.col(url) if isinstance(url, str) else url
-    tidy = F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
+    # Tabs and line breaks inside a URL do not count; few URLs have any.
+    broken = url.contains("\t") | url.contains("\n") | url.contains("\r")
+    tidy = F.when(broken, F.regexp_replace(url, r"[\t\r\n]", "")).otherwise(url)
     return F.coalesce(F.regexp_extract(tidy, _PARTS, index), F.lit(""))
 
 

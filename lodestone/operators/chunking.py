@@ -84,33 +84,37 @@ def split_documents(
     return split.select(*kept, "_split.chunks", "_split.error")
 
 
-def chunk_rows(split: DataFrame) -> DataFrame:
-    """One row per chunk with an id that is the same on every run.
+def chunk_results(split: DataFrame) -> DataFrame:
+    """One row per chunk, and one row with its ``error`` per failed document.
 
-    The id covers source, position and text, so a re-run or a retried task
-    writes the same ids. Documents sharing a source need a ``doc_key`` (or
+    The chunk id covers source, position and text, so a re-run or a retried
+    task writes the same ids. Documents sharing a source need a ``doc_key`` (or
     ``page``) column to tell their chunks apart.
     """
     carried = [c for c in split.columns if c not in ("chunks", "error")]
-    rows = split.select(*carried, F.posexplode("chunks").alias("chunk_index", "text"))
+    rows = split.select(*carried, "error", F.posexplode_outer("chunks").alias("chunk_index", "text"))
     parts = [c for c in ("doc_key", "page") if c in carried]
     key = [F.col("source"), *[F.col(c).cast("string") for c in parts]]
     chunk_id = F.sha2(
         F.concat_ws("\u0001", *key, F.col("chunk_index").cast("string"), F.col("text")), 256
     )
-    extra = [c for c in carried if c == "page"]
-    return rows.select(
-        chunk_id.alias("chunk_id"),
+    return rows.filter("text is not null or error is not null").select(
+        F.when(F.col("text").isNotNull(), chunk_id).alias("chunk_id"),
         "source",
         "chunk_index",
         "text",
         "type",
         "depth",
         "last_modified",
-        *extra,
+        *[c for c in carried if c == "page"],
+        "error",
     )
 
 
+def chunk_rows(split: DataFrame) -> DataFrame:
+    return chunk_results(split).filter(F.col("text").isNotNull()).drop("error")
+
+
 def chunk_failures(split: DataFrame, run_ts: Column | datetime | str) -> DataFrame:
     """Failure rows of documents that could not be split; the others go on."""
     return split.filter(F.col("error").isNotNull()).select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.http import is_html_response
 from lodestone.functions.times import as_ntz
 from lodestone.functions.urls import is_pdf_url, same_domain, url_domain
-from lodestone.session import checkpointed
+from lodestone.session import stored
 
 DEFAULT_MAX_DEPTH = 2
 
@@ -41,7 +41,7 @@ def discover(
 
     def fetched(frontier: DataFrame, depth: int) -> DataFrame:
         known = frontier.join(pages.select("url", "status", "content_type"), "url", "left")
-        return checkpointed(
+        return stored(
             known.select(
                 "url",
                 F.lit(depth).alias("depth"),

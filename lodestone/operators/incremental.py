@@ -10,15 +10,24 @@ from pyspark.sql import functions as F
 from lodestone import schemas
 from lodestone.operators.chunking import chunk
 from lodestone.operators.embedding import embed
+from lodestone.operators.selecting import keep_keys
 from lodestone.sources import tables
 
 
 def changed_documents(docs: DataFrame, registry: DataFrame) -> DataFrame:
-    """Documents new to the registry, or newer than it; an equal time is no change."""
-    known = registry.select("url", F.col("last_modified").alias("_known"), F.lit(True).alias("_in"))
-    joined = docs.join(known, "url", "left")
-    changed = joined.filter("_in is null or _known < last_modified")
-    return changed.select(*docs.columns)
+    """Documents new to the registry, or newer than it; an equal time is no change.
+
+    Decided on (url, last_modified) alone; texts take part only in the last
+    step, which seldom needs to shuffle them (see ``keep_keys``). The registry
+    is first cut down to the URLs at hand.
+    """
+    stamp = F.coalesce(F.col("last_modified").cast("string"), F.lit(""))
+    pairs = docs.select("url", "last_modified", stamp.alias("_stamp")).distinct()
+    known = registry.join(pairs.select("url").distinct(), "url", "left_semi").select(
+        "url", F.col("last_modified").alias("_known"), F.lit(True).alias("_in")
+    )
+    changed = pairs.join(known, "url", "left").filter("_in is null or _known < last_modified")
+    return keep_keys(docs.withColumn("_stamp", stamp), changed, "url", "_stamp").select(*docs.columns)
 
 
 def registry_entries(vectors: DataFrame) -> DataFrame:
@@ -54,8 +63,9 @@ def write_registry(entries: DataFrame, path: str, write_seq: int) -> None:
     tables.append_log(schemas.conform(entries, schemas.REGISTRY), path, write_seq)
 
 
-def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    return tables.read_latest(spark, path, schemas.REGISTRY, "url")
+def read_registry(spark: SparkSession, path: str, docs: DataFrame | None = None) -> DataFrame:
+    """The registry; with ``docs``, only the entries of their URLs."""
+    return tables.read_latest(spark, path, schemas.REGISTRY, "url", only=docs)
 
 
 def embed_changed(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.embedding import BATCH, with_vectors
 from lodestone.operators.search import TOP_K, search
-from lodestone.session import checkpointed
+from lodestone.session import stored
 
 TEMPLATE = """Answer the question from the context below. If the context does not contain the \
 answer, say that it could not be found.
@@ -25,7 +25,7 @@ def ask(questions: DataFrame, vectors: DataFrame, embedder, namespace: str, k: i
 
     The embedded questions are checkpointed, so that each is embedded once.
     """
-    embedded = checkpointed(with_vectors(questions, embedder, BATCH).filter("error is null"))
+    embedded = stored(with_vectors(questions, embedder, BATCH).filter("error is null"))
     corpus = vectors.filter(F.col("namespace") == namespace).select(
         "id", "values", "metadata.source", "metadata.text"
     )

@@ -1,36 +1,34 @@
 """The staged corpus build: scrape, merge, chunk, embed, upload.
 
 Each stage reads the tables the stages before it wrote, works only on the URLs
-the status table says are ready, stores its output, and then the new status.
-Running a stage again after a failure repeats at most that stage: outputs are
-keyed by ``write_seq`` and chunk ids do not change between runs.
+the status table says are ready, stores its output, and last the new status:
+writing the status is what completes a stage. Outputs are logged under the
+number of the status version to come. A stage lost half way finds the same
+version, and the same URLs due, when it is run again and replaces its own
+output; a completed stage moves on to the next number.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import schemas
+from lodestone.functions.times import as_ntz
 from lodestone.operators import chunking, combine, embedding, pages, status, vectors
+from lodestone.operators.selecting import keep_keys
 from lodestone.sources import tables
 
-_EMBEDDED = f"{schemas.CHUNK}, values array<float>, error string"
-
-
 @dataclass(frozen=True)
 class Run:
-    """Where a build keeps its tables, and the identity of this run.
-
-    ``write_seq`` grows from run to run; repeating a run reuses its number.
-    """
+    """Where a build keeps its tables, and the time it writes into them."""
 
     spark: SparkSession
     root: str
-    write_seq: int
     run_ts: datetime | str
 
     def path(self, name: str) -> str:
@@ -39,117 +37,141 @@ class Run:
     def status(self) -> DataFrame:
         return tables.read_status(self.spark, self.path("status"))
 
-    def log(self, name: str, ddl: str, *key: str) -> DataFrame:
-        return tables.read_latest(self.spark, self.path(name), ddl, *key)
+    @property
+    def write_seq(self) -> int:
+        """Number of the status version the running stage will write."""
+        return (tables.current_version(self.spark, self.path("status")) or 0) + 1
+
+    def results(self, name: str, ddl: str, *key: str) -> DataFrame:
+        """Good rows of a stage, the newest run of each key."""
+        return tables.read_latest(self.spark, f"{self.path(name)}/result=ok", ddl, *key)
 
-    def this_run(self, name: str, ddl: str) -> DataFrame:
-        log = tables.read_log(self.spark, self.path(name), ddl)
+    def this_stage(self, name: str, ddl: str, result: str = "ok") -> DataFrame:
+        """Rows the running stage has just stored."""
+        log = tables.read_log(self.spark, f"{self.path(name)}/result={result}", ddl)
         return log.filter(F.col("write_seq") == self.write_seq).drop("write_seq")
 
+    def finish(self, stage: str, new_status: DataFrame, failed: DataFrame) -> None:
+        """Log the stage's failures, then complete the stage."""
+        tables.append_failures(failed, self.path(f"failures_{stage}"), self.write_seq)
+        tables.write_status(new_status, self.path("status"))
+
 
-_SCRAPED = "url string, text string, type string, last_modified timestamp_ntz"
-_PARSED = "url string, title string, body string, links array<string>, error string, last_modified timestamp_ntz"
+_PAGE = (
+    "url string, text string, type string, last_modified timestamp_ntz, "
+    "links array<string>, error string"
+)
+_CHUNK = f"{schemas.CHUNK}, error string"
+_VECTOR = f"{schemas.CHUNK}, values array<float>, error string"
+
+
+def _by_url(sources: DataFrame, *columns) -> DataFrame:
+    return sources.groupBy(F.col("source").alias("url")).agg(*columns)
 
 
 def scrape(run: Run, discovered: DataFrame, fetched: DataFrame) -> None:
-    """Parse the pages that are due and store their text.
+    """Parse the pages that are due; text, links and errors come of one pass.
 
     ``fetched`` is (url, status, html[, last_modified]).
     """
     due = status.stage_gate(discovered, run.status(), "scrape")
-    html = pages.ok_pages(fetched).join(due, "url", "left_semi")
+    html = keep_keys(pages.ok_pages(fetched), due, "url")
     if "last_modified" not in html.columns:
-        html = html.withColumn("last_modified", F.lit(run.run_ts).cast("timestamp_ntz"))
-    parsed = pages.parse_pages(html.select("url", "html", "last_modified"))
-    # Stored once; text, links and errors are all read from here.
-    tables.append_log(schemas.conform(parsed, _PARSED), run.path("parsed"), run.write_seq)
-    stored = run.this_run("parsed", _PARSED)
-    texts = stored.filter("error is null").select(
-        "url",
-        pages.page_text(F.col("title"), F.col("body")).alias("text"),
-        pages.classify_document("url").alias("type"),
-        "last_modified",
+        html = html.withColumn("last_modified", as_ntz(run.run_ts))
+    parsed = pages.parse_pages(html.select("url", "html", "last_modified")).withColumns(
+        {
+            "text": pages.page_text(F.col("title"), F.col("body")),
+            "type": pages.classify_document("url"),
+        }
     )
-    tables.append_log(texts, run.path("scraped"), run.write_seq)
-    content = run.this_run("scraped", _SCRAPED)
-    failed = status.scrape_failures(run.status(), discovered, content, stored.filter("error is not null"))
-    tables.append_failures(failed, run.path("scrape_failures"), run.write_seq)
-    tables.write_status(status.mark_scraped(run.status(), discovered, content), run.path("status"))
+    tables.append_results(schemas.conform(parsed, _PAGE), run.path("pages"), run.write_seq)
+    content = run.this_stage("pages", _PAGE)
+    errors = run.this_stage("pages", _PAGE, "failed")
+    before = run.status()
+    failed = status.scrape_failures(before, discovered, content, errors)
+    run.finish("scrape", status.mark_scraped(before, discovered, content), failed)
+
+
+def links(run: Run) -> DataFrame:
+    """Link edges of the scraped pages, for the next discovery."""
+    stored = run.results("pages", _PAGE, "url")
+    edges = stored.select(F.col("url").alias("src"), F.explode("links").alias("dst"))
+    return pages.keep_within_site(edges)
 
 
 def merge_small(run: Run, min_words: int = 100, keep_pending: bool = False) -> None:
-    """Optional: merge small documents; ``chunk_stage(..., merged=True)`` reads the result."""
-    documents = run.log("scraped", _SCRAPED, "url")
-    tables.write_combined(combine.combine_small(documents, min_words, keep_pending), run.path("combined"))
+    """Optional: merge the scraped documents that are small into larger ones."""
+    documents = run.results("pages", _PAGE, "url").drop("links", "error")
+    merged = combine.combine_small(documents, min_words, keep_pending)
+    tables.write_combined(merged, run.path("combined"))
 
 
 def chunk_stage(run: Run, discovered: DataFrame, **options) -> None:
-    """Chunk the scraped documents that are due."""
-    due = status.stage_gate(discovered, status.init_pending(run.status(), discovered), "chunk")
-    documents = run.log("scraped", _SCRAPED, "url").join(due, "url", "left_semi")
-    split = chunking.split_documents(documents, run.run_ts, **options)
-    ddl = "source string, type string, depth int, last_modified timestamp_ntz, chunks array<string>, error string"
-    tables.append_log(schemas.conform(split, ddl), run.path("split"), run.write_seq)
-    stored = run.this_run("split", ddl)
-    tables.write_chunks(chunking.chunk_rows(stored), run.path("chunks"), run.write_seq)
-    outcome = stored.groupBy(F.col("source").alias("url")).agg(
-        F.sum(F.coalesce(F.size("chunks"), F.lit(0))).alias("n"), F.max("error").alias("error")
-    )
+    """Chunk the scraped documents that are due; ``options`` as for ``split_documents``."""
+    before = run.status()
+    due = status.stage_gate(discovered, status.init_pending(before, discovered), "chunk")
+    documents = keep_keys(run.results("pages", _PAGE, "url"), due, "url")
+    texts = documents.drop("links", "error")
+    split = chunking.split_documents(texts, run.run_ts, **options)
+    rows = schemas.conform(chunking.chunk_results(split), _CHUNK)
+    tables.append_results(rows, run.path("chunks"), run.write_seq)
+    counts = _by_url(run.this_stage("chunks", _CHUNK), F.count("*").alias("n"))
+    errors = _by_url(run.this_stage("chunks", _CHUNK, "failed"), F.max("error").alias("error"))
     # A document too short to chunk had content and counts no chunks.
     had_content = documents.select("url").distinct()
-    results = had_content.join(outcome, "url", "left")
-    new_status, failed = status.mark_chunked(run.status(), discovered, results, run.run_ts)
-    tables.append_failures(failed, run.path("chunk_failures"), run.write_seq)
-    tables.write_status(new_status, run.path("status"))
+    results = had_content.join(counts, "url", "left").join(errors, "url", "left")
+    run.finish("chunk", *status.mark_chunked(before, discovered, results, run.run_ts))
 
 
 def embed_stage(run: Run, discovered: DataFrame, embedder) -> None:
     """Embed chunks of documents that are due and have no vector yet."""
-    due = status.stage_gate(discovered, run.status(), "embed").withColumnRenamed("url", "source")
-    chunks = tables.read_chunks(run.spark, run.path("chunks")).join(due, "source", "left_semi")
-    log = tables.read_log(run.spark, run.path("embedded"), _EMBEDDED)
-    done = log.filter((F.col("write_seq") < run.write_seq) & F.col("error").isNull())
-    todo = vectors.new_chunks(chunks, done.select(F.col("chunk_id").alias("id")))
-    embedded = embedding.with_vectors(todo, embedder)
-    tables.append_log(schemas.conform(embedded, _EMBEDDED), run.path("embedded"), run.write_seq)
-    fresh = run.this_run("embedded", _EMBEDDED)
-    problems = fresh.groupBy(F.col("source").alias("url")).agg(F.max("error").alias("error"))
-    counts = chunks.groupBy(F.col("source").alias("url")).agg(F.count("*").alias("n"))
-    results = counts.join(problems, "url", "left")
-    new_status, failed = status.mark_embedded(run.status(), discovered, results, run.run_ts)
-    tables.append_failures(failed, run.path("embed_failures"), run.write_seq)
-    tables.write_status(new_status, run.path("status"))
-
-
-def upload_stage(run: Run, discovered: DataFrame, namespace: str = vectors.DEFAULT_NAMESPACE, dimension: int = vectors.DIMENSION) -> int:
+    before = run.status()
+    due = status.stage_gate(discovered, before, "embed").withColumnRenamed("url", "source")
+    chunks = keep_keys(run.results("chunks", _CHUNK, "source").drop("error"), due, "source")
+    done = tables.read_log(run.spark, f"{run.path('vectors')}/result=ok", _VECTOR)
+    done = done.filter(F.col("write_seq") < run.write_seq).select(F.col("chunk_id").alias("id"))
+    embedded = embedding.with_vectors(vectors.new_chunks(chunks, done), embedder)
+    tables.append_results(schemas.conform(embedded, _VECTOR), run.path("vectors"), run.write_seq)
+    counts = _by_url(chunks, F.count("*").alias("n"))
+    errors = _by_url(run.this_stage("vectors", _VECTOR, "failed"), F.max("error").alias("error"))
+    results = counts.join(errors, "url", "left")
+    run.finish("embed", *status.mark_embedded(before, discovered, results, run.run_ts))
+
+
+def upload_stage(
+    run: Run,
+    discovered: DataFrame,
+    namespace: str = vectors.DEFAULT_NAMESPACE,
+    dimension: int = vectors.DIMENSION,
+) -> int:
     """Store the vectors of embedded documents; returns how many rows came in."""
-    due = status.stage_gate(discovered, run.status(), "upload").withColumnRenamed("url", "source")
-    chunks = tables.read_chunks(run.spark, run.path("chunks")).select("chunk_id")
-    embedded = tables.read_log(run.spark, run.path("embedded"), _EMBEDDED).join(due, "source", "left_semi")
-    # A chunk whose first attempt failed has several rows; one of them holds values.
-    current = embedded.join(chunks, "chunk_id", "left_semi").drop("write_seq")
-    records = embedding.vector_record(current, namespace)
-    valid, wrong = vectors.validate_vectors(records, dimension)
+    before = run.status()
+    due = status.stage_gate(discovered, before, "upload").withColumnRenamed("url", "source")
+    embedded = tables.read_latest(
+        run.spark, f"{run.path('vectors')}/result=ok", _VECTOR, "chunk_id"
+    )
+    # Vectors of chunks an earlier form of the document had are not written again.
+    chunks = run.results("chunks", _CHUNK, "source").select("source", "chunk_id")
+    current = keep_keys(embedded, keep_keys(chunks, due, "source"), "chunk_id")
+    valid, wrong = vectors.validate_vectors(embedding.vector_record(current, namespace), dimension)
     uploaded = vectors.append_vectors(valid, run.path("index"), run.write_seq)
     rejected = wrong.groupBy("url").agg(F.max("error").alias("error"))
-    results = records.select(F.col("metadata.source").alias("url")).distinct().join(rejected, "url", "left")
-    new_status, failed = status.mark_uploaded(run.status(), discovered, results)
-    tables.append_failures(failed, run.path("upload_failures"), run.write_seq)
-    tables.write_status(new_status, run.path("status"))
+    had_vectors = current.select(F.col("source").alias("url")).distinct()
+    results = had_vectors.join(rejected, "url", "left")
+    run.finish("upload", *status.mark_uploaded(before, discovered, results))
     return uploaded
 
 
 def all_failures(run: Run) -> DataFrame:
-    """The failure log of every stage."""
-    logs = ["scrape_failures", "chunk_failures", "embed_failures", "upload_failures"]
-    frames = [tables.read_failures(run.spark, run.path(name)) for name in logs]
-    union = frames[0]
-    for frame in frames[1:]:
-        union = union.unionByName(frame)
-    return union
+    """The failure log of every stage; ``write_seq`` gives the order."""
+    stages = ("scrape", "chunk", "embed", "upload")
+    logs = [tables.read_failures(run.spark, run.path(f"failures_{s}")) for s in stages]
+    return reduce(DataFrame.unionByName, logs)
 
 
-def build(run: Run, discovered: DataFrame, fetched: DataFrame, embedder, namespace: str, dimension: int) -> int:
+def build(
+    run: Run, discovered: DataFrame, fetched: DataFrame, embedder, namespace: str, dimension: int
+) -> int:
     """All stages in order, as one batch ingest. Returns the number of vectors stored."""
     scrape(run, discovered, fetched)
     chunk_stage(run, discovered)

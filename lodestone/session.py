@@ -48,11 +48,22 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably and cut its lineage; survives lost executors."""
+    """Materialise ``df`` with its partitions and row order; survives lost executors."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, label: str = "stored") -> DataFrame:
+    """Materialise ``df`` as a table, to be read column by column.
+
+    Cuts the lineage like a checkpoint and is cheaper to read again, but rows
+    come back in other partitions.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path for an intermediate table, next to the checkpoints."""
     return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -59,6 +59,17 @@ def append_log(df: DataFrame, path: str, write_seq: int, *partitions: str) -> No
     )
 
 
+def append_results(df: DataFrame, path: str, write_seq: int) -> None:
+    """Add one run's rows, good and failed ones apart, in a single write.
+
+    Rows with an ``error`` go to the log ``<path>/result=failed``, the others to
+    ``<path>/result=ok``, so that expensive work (parsing, embedding) is done
+    once although two tables come of it.
+    """
+    result = F.when(F.col("error").isNull(), "ok").otherwise("failed")
+    append_log(df.withColumn("result", result), path, write_seq, "result")
+
+
 def read_log(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     schema = f"{ddl}, write_seq bigint"
     if not log_runs(spark, path):
@@ -92,9 +103,16 @@ def latest_runs(log: DataFrame, *key: str) -> DataFrame:
     return rows.filter("_latest is null or write_seq = _latest").drop("_latest")
 
 
-def read_latest(spark: SparkSession, path: str, ddl: str, *key: str) -> DataFrame:
-    """A log as a keyed table. With one run per folder there is nothing to resolve."""
+def read_latest(
+    spark: SparkSession, path: str, ddl: str, *key: str, only: DataFrame | None = None
+) -> DataFrame:
+    """A log as a keyed table. With one run per folder there is nothing to resolve.
+
+    ``only`` restricts the table to its keys before anything is aggregated.
+    """
     log = read_log(spark, path, ddl)
+    if only is not None:
+        log = log.join(only.select(*key).distinct(), list(key), "left_semi")
     single = all(count == 1 for count in log_runs(spark, path).values())
     rows = log if single else latest_runs(log, *key)
     return rows.drop("write_seq")

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.operators import incremental
 from lodestone.operators.vectors import append_vectors
-from lodestone.session import checkpointed
+from lodestone.session import stored
 
 
 def ingest_batch(
@@ -22,8 +22,8 @@ def ingest_batch(
     replay after both finds nothing changed and writes nothing.
     """
     spark = docs.sparkSession
-    registry = incremental.read_registry(spark, f"{root}/registry")
-    fresh = checkpointed(
+    registry = incremental.read_registry(spark, f"{root}/registry", docs)
+    fresh = stored(
         incremental.embed_changed(docs, registry, embedder, namespace, run_ts)
     )
     if fresh.isEmpty():
