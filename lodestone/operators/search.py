@@ -30,19 +30,21 @@ BLOCK_BYTES = 64 * 1024 * 1024
 TILE_CELLS = 4_000_000
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of unit length in double precision; the column has no nulls left."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    rows = flat.reshape(len(column), -1)
-    return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-
-
-def _usable(vectors: DataFrame) -> DataFrame:
-    """Vectors a cosine is defined for: all values present, not all zero."""
-    values = F.col("values")
-    return vectors.filter(
-        F.exists(values, lambda v: v != 0) & ~F.exists(values, lambda v: v.isNull() | F.isnan(v))
-    )
+def _unit_rows(rows: pa.Table) -> tuple[np.ndarray, pa.Table]:
+    """Vectors at unit length in double precision, and the other columns.
+
+    Rows a cosine is not defined for (a missing or infinite value, or all
+    zeros) are left out of both.
+    """
+    values = rows.column("values").combine_chunks()
+    flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    matrix = flat.reshape(len(values), -1)
+    length = np.sqrt((matrix * matrix).sum(axis=1))
+    usable = np.isfinite(length) & (length > 0)
+    others = rows.drop_columns(["values"])
+    if not usable.all():
+        matrix, length, others = matrix[usable], length[usable], others.filter(pa.array(usable))
+    return matrix / length[:, None], others
 
 
 def _first_k(q: np.ndarray, c: np.ndarray, s: np.ndarray, place: np.ndarray, k: int):
@@ -55,10 +57,13 @@ def _first_k(q: np.ndarray, c: np.ndarray, s: np.ndarray, place: np.ndarray, k:
 
 def _candidates(
     questions: np.ndarray, names: pa.Array, corpus: pa.Table, k: int
-) -> pa.Table:
-    """The k best rows of one batch for every question."""
-    matrix = _matrix(corpus.column("values").combine_chunks())
-    payload = corpus.drop_columns(["values"])
+) -> pa.Table | None:
+    """The k best rows of one batch for every question; none when nothing can match."""
+    if not corpus.num_rows or not len(names):
+        return None
+    matrix, payload = _unit_rows(corpus)
+    if not len(matrix):
+        return None
     # Position of each row in id order, so that ties are settled on integers.
     place = np.empty(len(matrix), dtype=np.int64)
     place[pc.sort_indices(corpus.column("id")).to_numpy()] = np.arange(len(matrix))
@@ -79,6 +84,13 @@ def _candidates(
     return hits.append_column("similarity", pa.array(s)).append_column("_q", pa.array(q))
 
 
+def _questions(rows: pa.Table) -> tuple[np.ndarray | None, pa.Array]:
+    if not rows.num_rows:
+        return None, rows.column("query_id").combine_chunks()
+    matrix, names = _unit_rows(rows)
+    return matrix, names.column("query_id").combine_chunks()
+
+
 def _best(hits: pa.Table, k: int) -> pa.Table:
     """The k best rows of each question, ties by id."""
     order = pc.sort_indices(
@@ -113,8 +125,8 @@ def search(
     dimension. Filter the corpus by namespace before the call, so that the
     partition filter reaches the scan.
     """
-    questions = _usable(questions.select("query_id", "values"))
-    corpus = _usable(corpus)
+    questions = questions.select("query_id", "values").filter("values is not null")
+    corpus = corpus.filter("values is not null")
     head = questions.select(F.size("values").alias("n")).take(1)
     dimension = head[0]["n"] if head else 1
     bound = max(1, broadcast_bytes // (8 * dimension))
@@ -132,16 +144,14 @@ def search(
 
 
 def _broadcast_hits(small: pa.Table, corpus: DataFrame, k: int, ddl: str) -> DataFrame:
-    names = small.column("query_id").combine_chunks()
-    matrix = _matrix(small.column("values").combine_chunks()) if len(names) else None
-    shared = corpus.sparkSession.sparkContext.broadcast((names, matrix))
+    shared = corpus.sparkSession.sparkContext.broadcast(_questions(small))
 
     def best_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matrix = shared.value
+        matrix, names = shared.value
         kept = None
         for batch in batches:
-            if batch.num_rows and len(names):
-                fresh = _candidates(matrix, names, pa.Table.from_batches([batch]), k)
+            fresh = _candidates(matrix, names, pa.Table.from_batches([batch]), k)
+            if fresh is not None:
                 kept = _merge(kept, fresh, k)
         if kept is not None:
             yield from kept.drop_columns(["_q"]).to_batches()
@@ -167,15 +177,13 @@ def _grid_hits(
     right = questions.withColumn("_col", block("query_id", cols)).withColumn("_row", every(rows))
 
     def best_of_cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = right.column("query_id").combine_chunks()
+        matrix, names = _questions(right)
         table = left.drop_columns(cells)
-        if not len(names) or not table.num_rows:
-            empty = pa.table({"query_id": names.slice(0, 0), "similarity": pa.array([], pa.float64())})
-            payload = table.slice(0, 0).drop_columns(["values"])
-            for name in empty.column_names:
-                payload = payload.append_column(name, empty.column(name))
-            return payload
-        hits = _candidates(_matrix(right.column("values").combine_chunks()), names, table, k)
-        return _best(hits, k).drop_columns(["_q"])
+        hits = _candidates(matrix, names, table, k)
+        if hits is not None:
+            return _best(hits, k).drop_columns(["_q"])
+        nothing = table.slice(0, 0).drop_columns(["values"])
+        nothing = nothing.append_column("query_id", right.column("query_id").slice(0, 0))
+        return nothing.append_column("similarity", pa.array([], pa.float64()))
 
     return left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(best_of_cell, ddl)

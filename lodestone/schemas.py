@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 DISCOVERED = "url string, depth int, is_pdf boolean, discovered_at timestamp_ntz"
 DISCOVERY_RUN = "start_url string, max_depth int, domain string, discovery_time timestamp_ntz"
@@ -42,16 +43,17 @@ STATUS_COLUMNS = [part.split()[0] for part in STATUS.split(", ")]
 
 
 def empty(spark: SparkSession, ddl: str) -> DataFrame:
-    return spark.createDataFrame([], ddl)
+    """No rows of the given layout, in a form the optimizer recognises as empty."""
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(ddl).fields]
+    return spark.range(1).select(*nulls).filter(F.lit(False))
 
 
 def conform(df: DataFrame, ddl: str) -> DataFrame:
     """Project to the columns of ``ddl``, adding the missing ones as typed nulls."""
     have = set(df.columns)
-    fields = empty(df.sparkSession, ddl).schema.fields
     return df.select(
         *[
             (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in fields
+            for f in StructType.fromDDL(ddl).fields
         ]
     )

@@ -10,13 +10,13 @@ from lodestone.sources.files import path_exists
 
 _METADATA_JSON = (
     "struct<url:string,last_modified:string,etag:string,content_type:string,"
-    "content_length:string,scraped_at:string,sources:array<string>,combined:boolean,"
-    "base_path:string>"
+    "content_length:string,scraped_at:string>"
 )
-_DOCUMENT_JSON = f"struct<url:string,text:string,type:string,depth:int,metadata:{_METADATA_JSON}>"
+_DOCUMENT_FIELDS = ("url", "text", "type", "depth", "metadata")
+_DOCUMENT_JSON = f"url string, text string, type string, depth int, metadata {_METADATA_JSON}"
 _VECTOR_JSON = (
-    "id:string,values:array<float>,"
-    "metadata:struct<source:string,type:string,depth:int,last_modified:string,text:string>"
+    "id string, values array<float>, "
+    "metadata struct<source:string,type:string,depth:int,last_modified:string,text:string>"
 )
 
 
@@ -36,11 +36,12 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """
     if not path_exists(spark, path):
         return schemas.empty(spark, schemas.DOCUMENT)
-    # Parsed as an array of documents, a lone object reads as an array of one.
-    files = spark.read.text(path, wholetext=True)
-    wrapped = F.from_json("value", f"documents array<{_DOCUMENT_JSON}>")["documents"]
-    plain = F.from_json("value", f"array<{_DOCUMENT_JSON}>")
-    rows = files.select(F.explode(F.coalesce(wrapped, plain)).alias("d")).select("d.*")
+    wrapped = _DOCUMENT_JSON.replace(", ", ",").replace(" ", ":")
+    files = spark.read.schema(f"{_DOCUMENT_JSON}, documents array<struct<{wrapped}>>").json(
+        path, multiLine=True
+    )
+    alone = F.array(F.struct(*_DOCUMENT_FIELDS))
+    rows = files.select(F.inline(F.coalesce("documents", alone)))
     meta = F.col("metadata")
     return rows.withColumn(
         "metadata",
@@ -88,23 +89,19 @@ def read_status_json(spark: SparkSession, path: str) -> DataFrame:
 def read_checkpoints(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors of every numbered checkpoint file, with file number and position."""
     glob = f"{folder.rstrip('/')}/embeddings_checkpoint_*.json"
-    if not path_exists(spark, glob):
-        ddl = f"checkpoint_no bigint, pos int, v struct<{_VECTOR_JSON}>"
-        rows = schemas.empty(spark, ddl)
+    if path_exists(spark, glob):
+        rows = spark.read.schema(_VECTOR_JSON).json(glob, multiLine=True)
     else:
-        number = F.regexp_extract(F.input_file_name(), r"_(\d+)\.json$", 1).cast("bigint")
-        vectors = F.from_json("value", f"array<struct<{_VECTOR_JSON}>>")
-        files = spark.read.text(glob, wholetext=True)
-        rows = files.select(number.alias("checkpoint_no"), vectors.alias("vs")).select(
-            "checkpoint_no", F.posexplode("vs").alias("pos", "v")
-        )
-    when = F.col("v.metadata.last_modified").try_cast("timestamp_ntz")
+        rows = schemas.empty(spark, _VECTOR_JSON)
+    number = F.regexp_extract(F.input_file_name(), r"_(\d+)\.json$", 1).try_cast("bigint")
+    when = F.col("metadata.last_modified").try_cast("timestamp_ntz")
     return rows.select(
-        "checkpoint_no",
-        "pos",
-        "v.id",
-        "v.values",
-        F.col("v.metadata").withField("last_modified", when).alias("metadata"),
+        number.alias("checkpoint_no"),
+        # A file is read by one task in order, so this grows within each file.
+        F.monotonically_increasing_id().alias("pos"),
+        "id",
+        "values",
+        F.col("metadata").withField("last_modified", when).alias("metadata"),
     )
 
 
