@@ -66,7 +66,7 @@ def _candidates(
         return None
     # Position of each row in id order, so that ties are settled on integers.
     place = np.empty(len(matrix), dtype=np.int64)
-    place[pc.sort_indices(corpus.column("id")).to_numpy()] = np.arange(len(matrix))
+    place[pc.sort_indices(payload.column("id")).to_numpy()] = np.arange(len(matrix))
     found = []
     step = max(1, TILE_CELLS // len(matrix))
     for start in range(0, len(questions), step):

@@ -23,15 +23,13 @@ def ingest_batch(
     """
     spark = docs.sparkSession
     registry = incremental.read_registry(spark, f"{root}/registry", docs)
-    fresh = stored(
-        incremental.embed_changed(docs, registry, embedder, namespace, run_ts)
-    )
+    fresh = stored(incremental.embed_changed(docs, registry, embedder, namespace, run_ts))
     if fresh.isEmpty():
         return 0
-    stored = append_vectors(fresh, f"{root}/index", batch_id)
+    written = append_vectors(fresh, f"{root}/index", batch_id)
     entries = incremental.registry_entries(fresh)
     incremental.write_registry(entries, f"{root}/registry", batch_id)
-    return stored
+    return written
 
 
 def ingest_stream(

@@ -1,0 +1,50 @@
+from lodestone.operators import crawl
+
+RUN_TS = "2024-06-01 00:00:00"
+H = "https://h.example/"
+
+
+def discover(spark, edges, pages, start, depth=2):
+    e = spark.createDataFrame(edges, "src string, dst string")
+    p = spark.createDataFrame(pages, "url string, status int, content_type string")
+    return {r["url"]: r["depth"] for r in crawl.discover(e, p, start, RUN_TS, depth).collect()}
+
+
+def html(*names, status=200):
+    return [(H + n, status, "text/html; charset=utf-8") for n in names]
+
+
+def test_least_depth_with_cycles_and_limit(spark):
+    edges = [("a", "b"), ("b", "a"), ("a", "a"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "e"), ("a", "b")]
+    edges = [(H + s, H + d) for s, d in edges]
+    pages = html("a", "b", "c", "d", "e")
+    assert discover(spark, edges, pages, H + "a") == {H + "a": 0, H + "b": 1, H + "c": 1, H + "d": 2}
+    assert discover(spark, edges, pages, H + "a", 0) == {H + "a": 0}
+    assert discover(spark, edges, pages, H + "a", 9)[H + "e"] == 3
+
+
+def test_failed_pages_block_and_are_not_listed(spark):
+    edges = [(H + s, H + d) for s, d in [("a", "bad"), ("bad", "x"), ("a", "gone"), ("gone", "y"), ("a", "doc.pdf"), ("doc.pdf", "z")]]
+    pages = html("a", "x", "y", "z") + html("bad", status=500) + [(H + "doc.pdf", 200, "application/pdf")]
+    assert discover(spark, edges, pages, H + "a", 5) == {H + "a": 0, H + "doc.pdf": 1}
+
+
+def test_only_the_start_domain(spark):
+    edges = [(H + "a", "https://www.h.example/b"), (H + "a", "https://h.example:80/c"), (H + "a", H + "d")]
+    pages = html("a", "d") + [("https://www.h.example/b", 200, "text/html")]
+    assert discover(spark, edges, pages, H + "a") == {H + "a": 0, H + "d": 1}
+
+
+def test_unknown_start(spark):
+    assert discover(spark, [(H + "a", H + "b")], html("b"), H + "a") == {}
+
+
+def test_urls_are_not_normalised(spark):
+    edges = [(H + "a", H + "b"), (H + "a", H + "b/"), (H + "a", H + "b#x")]
+    pages = html("a", "b", "b/", "b#x")
+    assert len(discover(spark, edges, pages, H + "a")) == 4
+
+
+def test_run_header(spark):
+    row = crawl.discovery_run(spark, "https://u@H.example:8/x", RUN_TS).first()
+    assert (row["start_url"], row["max_depth"], row["domain"]) == ("https://u@H.example:8/x", 2, "u@H.example:8")

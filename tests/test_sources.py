@@ -1,0 +1,155 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone import schemas
+from lodestone.operators import manifest
+from lodestone.session import checkpoint_root, scratch_path, spread
+from lodestone.sources import json_files, tables
+
+
+def write(path, value):
+    path.write_text(value if isinstance(value, str) else json.dumps(value, indent=2, ensure_ascii=False), encoding="utf-8")
+    return str(path)
+
+
+def test_discovered(spark, tmp_path):
+    path = write(tmp_path / "d.json", {
+        "metadata": {"start_url": "s"},
+        "urls": [{"url": "a", "depth": 0, "is_pdf": False, "discovered_at": "2024-01-01T02:03:04.5"}, {"url": "b", "depth": 1}],
+    })
+    rows = json_files.read_discovered(spark, path).orderBy("url").collect()
+    assert [(r["url"], r["depth"], r["is_pdf"], str(r["discovered_at"])) for r in rows] == [
+        ("a", 0, False, "2024-01-01 02:03:04.500000"), ("b", 1, None, "None"),
+    ]
+    assert json_files.read_discovered(spark, str(tmp_path / "missing.json")).count() == 0
+
+
+def test_three_document_layouts(spark, tmp_path):
+    doc = {"url": "a", "text": "é\n", "type": "html", "metadata": {"last_modified": "2024-01-01T00:00:00", "content_length": "12"}}
+    write(tmp_path / "array.json", [doc, {**doc, "url": "b", "metadata": {"content_length": "many"}}])
+    write(tmp_path / "one.json", {**doc, "url": "c"})
+    write(tmp_path / "wrapped.json", {"documents": [{**doc, "url": "d"}, {"url": "e", "text": "x"}]})
+    rows = {r["url"]: r for r in json_files.read_documents(spark, str(tmp_path)).collect()}
+    assert sorted(rows) == ["a", "b", "c", "d", "e"]
+    assert rows["a"]["text"] == "é\n" and rows["a"]["metadata"]["content_length"] == 12
+    assert rows["b"]["metadata"]["content_length"] is None
+    assert rows["e"]["metadata"] is None and rows["e"]["type"] is None
+    assert json_files.read_documents(spark, str(tmp_path / "no")).columns == ["url", "text", "type", "depth", "metadata"]
+
+
+def test_failures_and_status_files(spark, tmp_path):
+    path = write(tmp_path / "f.json", {"urls": [{"url": "a", "error": "e", "stage": "s", "timestamp": "2024-01-01T00:00:00"}, {"url": "b", "error": "e", "stage": "s"}]})
+    assert [str(r["timestamp"]) for r in json_files.read_failures_json(spark, path).orderBy("url").collect()] == ["2024-01-01 00:00:00", "None"]
+    assert json_files.read_failures_json(spark, write(tmp_path / "broken.json", '{"urls": [')).count() == 0
+    assert json_files.read_failures_json(spark, str(tmp_path / "none.json")).count() == 0
+    path = write(tmp_path / "s.json", {"https://a/b": {"status": "completed", "stage": "scraped"}, "c": {"status": "failed", "stage": "chunking", "error": "x", "chunks_count": 3, "last_updated": "2024-01-01T00:00:01"}})
+    rows = {r["url"]: r for r in json_files.read_status_json(spark, path).collect()}
+    assert rows["https://a/b"]["error"] is None and rows["c"]["chunks_count"] == 3
+    assert json_files.read_status_json(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_checkpoint_files(spark, tmp_path):
+    def vector(i, source="s"):
+        return {"id": i, "values": [0.5, 1], "metadata": {"source": source, "last_modified": "2024-01-01T00:00:00"}}
+
+    write(tmp_path / "embeddings_checkpoint_16.json", [vector("x"), vector("y")])
+    write(tmp_path / "embeddings_checkpoint_160.json", [vector("z"), vector("x")])
+    write(tmp_path / "other_5.json", [vector("n")])
+    rows = json_files.read_checkpoints(spark, str(tmp_path)).orderBy("checkpoint_no", "pos").collect()
+    assert [(r["checkpoint_no"], r["id"]) for r in rows] == [(16, "x"), (16, "y"), (160, "z"), (160, "x")]
+    assert rows[0]["values"] == [0.5, 1.0] and str(rows[0]["metadata"]["last_modified"]) == "2024-01-01 00:00:00"
+    assert json_files.read_checkpoints(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_pdf_listing(spark, tmp_path):
+    for name in ("a.pdf", "b.pdf", "c.txt"):
+        (tmp_path / name).write_bytes(b"12345")
+    df = json_files.list_pdf_files(spark, str(tmp_path))
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in df.collect()) == ["a.pdf", "b.pdf"]
+    assert df.columns == ["path", "length", "modificationTime"]
+
+
+def test_manifest(spark):
+    rows = [("u1", "Application/PDF", None), ("u2", "text/html", None), ("u3", "application/pdf", "timed out")]
+    m = manifest.pdf_manifest(spark.createDataFrame(rows, "url string, content_type string, error string"), "2024-01-01 00:00:00")
+    got = {r["url"]: (r["filename"], r["error"]) for r in m.collect()}
+    assert got["u1"][0].endswith(".pdf") and len(got["u1"][0]) == 36 and got["u1"][1] is None
+    assert got["u2"] == (None, "Not a PDF (content-type: text/html)") and got["u3"] == (None, "timed out")
+    assert list(manifest.manifest_counts(m).first()) == [1, 2]
+
+
+def test_versions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert tables.read_table(spark, path, "a int").count() == 0
+    df = spark.createDataFrame([(1,)], "a int")
+    assert tables.write_table(df, path) == 1
+    current = tables.read_table(spark, path, "a int")
+    # A table may be read while it is replaced.
+    assert tables.write_table(current.unionByName(df.withColumn("a", F.lit(2))), path) == 2
+    assert tables.read_table(spark, path, "a int").count() == 2
+    # A version whose write was cut short is not current, and its number is not reused.
+    (tmp_path / "t" / "v3").mkdir()
+    assert tables.current_version(spark, path) == 2
+    assert tables.write_table(df, path) == 4
+
+
+def test_log(spark, tmp_path):
+    path, ddl = str(tmp_path / "log"), "k string, v int"
+    assert tables.read_latest(spark, path, ddl, "k").count() == 0
+
+    def rows(*pairs):
+        return spark.createDataFrame(list(pairs), ddl)
+
+    tables.append_log(rows(("a", 1), ("a", 2), ("b", 3)), path, 1)
+    assert sorted(map(tuple, tables.read_latest(spark, path, ddl, "k").collect())) == [("a", 1), ("a", 2), ("b", 3)]
+    for _ in range(2):
+        tables.append_log(rows(("a", 9), ("c", 4)), path, 2)
+        assert sorted(map(tuple, tables.read_latest(spark, path, ddl, "k").collect())) == [("a", 9), ("b", 3), ("c", 4)]
+    only = tables.read_latest(spark, path, ddl, "k", only=spark.createDataFrame([("a",)], "k string"))
+    assert list(map(tuple, only.collect())) == [("a", 9)]
+    tables.append_log(rows().limit(0), path, 2)
+    assert tables.read_log(spark, path, ddl).count() == 5
+
+
+def test_failure_log_keeps_order(spark, tmp_path):
+    path = str(tmp_path / "f")
+    assert tables.read_failures(spark, path).count() == 0
+    df = spark.createDataFrame([("u", "e", "s")], "url string, error string, stage string")
+    tables.append_failures(df, path, 7)
+    assert list(tables.read_failures(spark, path).first()) == ["u", "e", "s", None, 7]
+
+
+def test_scratch_space_is_the_sessions_checkpoint_folder(spark):
+    assert scratch_path(spark, "x").startswith(checkpoint_root(spark).rstrip("/"))
+    assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_spread_only_small_inputs(spark, tmp_path):
+    df = spark.range(100)
+    df.repartition(1).write.parquet(str(tmp_path / "one"))
+    df.repartition(12).write.parquet(str(tmp_path / "many"))
+    assert "Repartition" in spread(spark.read.parquet(str(tmp_path / "one")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in spread(spark.read.parquet(str(tmp_path / "many")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_layouts_are_valid(spark):
+    for name in ("DISCOVERED", "DISCOVERY_RUN", "PAGE_METADATA", "DOCUMENT", "COMBINED", "CHUNK", "VECTOR", "STATUS", "FAILURE", "REGISTRY", "PDF_PAGE", "PDF_MANIFEST", "EDGE"):
+        df = schemas.empty(spark, getattr(schemas, name))
+        assert df.count() == 0 and df.columns
+
+
+def test_missing_shared_folder_is_an_error(monkeypatch):
+    class Context:
+        master = "spark://host"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        checkpoint_root(Session())
