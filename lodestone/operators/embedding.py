@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.times import as_ntz
+from lodestone.operators.selecting import drop_keys
 
 BATCH = 16
 _EMBEDDED = "struct<values:array<float>,error:string>"
@@ -92,4 +93,4 @@ def embed(
 
 def missing_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """Chunks without a vector; embedding is complete when there are none."""
-    return chunks.join(vectors.select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti")
+    return drop_keys(chunks, vectors.select(F.col("id").alias("chunk_id")), "chunk_id")

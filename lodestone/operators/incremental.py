@@ -21,13 +21,12 @@ def changed_documents(docs: DataFrame, registry: DataFrame) -> DataFrame:
     step, which seldom needs to shuffle them (see ``keep_keys``). The registry
     is first cut down to the URLs at hand.
     """
-    stamp = F.coalesce(F.col("last_modified").cast("string"), F.lit(""))
-    pairs = docs.select("url", "last_modified", stamp.alias("_stamp")).distinct()
+    pairs = docs.select("url", "last_modified").distinct()
     known = registry.join(pairs.select("url").distinct(), "url", "left_semi").select(
         "url", F.col("last_modified").alias("_known"), F.lit(True).alias("_in")
     )
     changed = pairs.join(known, "url", "left").filter("_in is null or _known < last_modified")
-    return keep_keys(docs.withColumn("_stamp", stamp), changed, "url", "_stamp").select(*docs.columns)
+    return keep_keys(docs, changed, "url", "last_modified")
 
 
 def registry_entries(vectors: DataFrame) -> DataFrame:

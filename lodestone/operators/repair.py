@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.selecting import keep_keys
 from lodestone.operators.status import apply_changes
 from lodestone.operators.vectors import one_per_key
 
@@ -27,7 +28,7 @@ def dedup_first(vectors: DataFrame) -> DataFrame:
 
 
 def known_sources(vectors: DataFrame, status: DataFrame) -> DataFrame:
-    return vectors.join(status.select(F.col("url").alias("source")), "source", "left_semi")
+    return keep_keys(vectors, status.select(F.col("url").alias("source")), "source")
 
 
 def unknown_sources(vectors: DataFrame, status: DataFrame) -> DataFrame:
@@ -41,9 +42,10 @@ def merge_checkpoints(status: DataFrame, vectors: DataFrame, errors: DataFrame |
 
     ``errors`` (url, error) names sources whose vectors could not be stored.
     """
-    counts = known_sources(vectors, status).groupBy(F.col("source").alias("url")).agg(
+    counts = vectors.groupBy(F.col("source").alias("url")).agg(
         F.count("*").alias("embeddings_count")
     )
+    counts = counts.join(status.select("url"), "url", "left_semi")
     failed = None
     if errors is not None:
         failed = counts.join(errors, "url").select("url", F.lit("failed").alias("status"), "error")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone import schemas
 from lodestone.functions.times import as_ntz
+from lodestone.operators.selecting import keep_keys
 
 RunTime = Column | datetime | str
 
@@ -54,9 +55,7 @@ def reuse_completed(discovered: DataFrame, status: DataFrame, stored: DataFrame,
     urls = discovered.select("url").distinct()
     completed = urls.join(status.filter(_is("status", "completed")), "url", "left_semi")
     others = urls.join(completed, "url", "left_anti")
-    return stored.join(completed, "url", "left_semi").unionByName(
-        fresh.join(others, "url", "left_semi")
-    )
+    return keep_keys(stored, completed, "url").unionByName(keep_keys(fresh, others, "url"))
 
 
 def apply_changes(status: DataFrame, changes: DataFrame, whole_row: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone import schemas
 from lodestone.functions.times import as_ntz
+from lodestone.operators.selecting import drop_keys
 from lodestone.sources import tables
 
 # The index definition and its namespaces.
@@ -45,8 +46,7 @@ def update_processed_ids(processed: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def new_chunks(chunks: DataFrame, processed: DataFrame) -> DataFrame:
     """Chunks whose id has not been embedded yet."""
-    done = processed.select(F.col("id").alias("chunk_id")).distinct()
-    return chunks.join(done, "chunk_id", "left_anti")
+    return drop_keys(chunks, processed.select(F.col("id").alias("chunk_id")), "chunk_id")
 
 
 def vectors_per_document(vectors: DataFrame) -> DataFrame:
@@ -95,11 +95,10 @@ def upsert(current: DataFrame, new: DataFrame, replace_sources: bool = False) ->
     if "write_seq" not in new.columns:
         new = new.withColumn("write_seq", F.lit(1).cast("bigint"))
     if replace_sources:
-        sources = new.select("namespace", F.col("metadata.source").alias("_source")).distinct()
-        same = (current["namespace"] == sources["namespace"]) & (
-            current["metadata.source"] == sources["_source"]
-        )
-        current = current.join(sources, same, "left_anti")
+        source = F.col("metadata.source")
+        written = new.filter(source.isNotNull()).withColumn("_source", source)
+        current = current.withColumn("_source", source)
+        current = drop_keys(current, written, "namespace", "_source").drop("_source")
     rows = current.withColumn("write_seq", F.lit(None).cast("bigint")).unionByName(new)
     order = ["write_seq", "values", "metadata"]
     return one_per_key(rows, ["namespace", "id"], order, newest=True).drop("write_seq")

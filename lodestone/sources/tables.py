@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import schemas
+from lodestone.session import stored
 from lodestone.sources.files import folder_names, glob_paths, path_exists
 
 
@@ -90,10 +91,11 @@ def latest_runs(log: DataFrame, *key: str) -> DataFrame:
     """Rows of each key's newest run.
 
     Only keys and run numbers are aggregated, never the payload. Keys written
-    more than once are few in normal use, so the join below is one AQE turns
-    into a broadcast when it measures them as small, leaving wide rows in place.
+    more than once are few in normal use. They are stored first, so that the
+    join is planned by their real size: Spark broadcasts them when they are
+    small, leaving the wide rows in place, and shuffles otherwise.
     """
-    rewritten = (
+    rewritten = stored(
         log.groupBy(*key)
         .agg(F.min("write_seq").alias("_first"), F.max("write_seq").alias("_latest"))
         .filter("_first < _latest")

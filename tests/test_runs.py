@@ -8,7 +8,7 @@ from lodestone.functions.embedders import hashing_embedder
 from lodestone.operators import incremental, vectors
 from lodestone.operators import status as st
 from lodestone.operators.embedding import with_vectors
-from lodestone.operators.selecting import keep_keys
+from lodestone.operators.selecting import drop_keys, keep_keys
 from lodestone.plans import corpus_build
 from lodestone.sources import tables
 from lodestone.streaming import ingest
@@ -37,14 +37,25 @@ def test_changed_documents(spark):
     assert got == [("new", "x"), ("new undated", "x"), ("newer", "x"), ("twice", "y")]
 
 
-def test_keep_keys_uses_the_smaller_set(spark):
+def test_selecting_uses_the_smaller_set(spark):
     rows = spark.range(100).withColumn("text", F.lit("t"))
     few, most = (rows.filter(f"id < {n}").select("id") for n in (3, 97))
-    for keys, n, kind in ((few, 3, "LeftSemi"), (most, 97, "LeftAnti"), (rows.limit(0), 0, None), (rows, 100, None)):
-        kept = keep_keys(rows, keys, "id")
-        assert kept.count() == n
-        if kind:
-            assert f"{kind}, BuildRight" in kept._jdf.queryExecution().executedPlan().toString()
+    for keys, n, kept, dropped in (
+        (few, 3, "LeftSemi", "LeftAnti"), (most, 97, "LeftAnti", "LeftSemi"), (rows.limit(0), 0, None, None), (rows, 100, None, None),
+    ):
+        for chosen, count, kind in ((keep_keys(rows, keys, "id"), n, kept), (drop_keys(rows, keys, "id"), 100 - n, dropped)):
+            assert chosen.count() == count and chosen.columns == rows.columns
+            if kind:
+                assert f"{kind}, BuildRight" in chosen._jdf.queryExecution().executedPlan().toString()
+
+
+def test_selecting_treats_nulls_as_a_key(spark):
+    rows = spark.createDataFrame([(None, 1), ("a", 2), ("b", 3)], "k string, v int")
+    for keys in ([("a",)], [(None,)], [("a",), (None,)], [("a",), ("b",)]):
+        df = spark.createDataFrame(keys, "k string")
+        wanted = {k for (k,) in keys}
+        assert {r["k"] for r in keep_keys(rows, df, "k").collect()} == wanted
+        assert {r["k"] for r in drop_keys(rows, df, "k").collect()} == {None, "a", "b"} - wanted
 
 
 def test_registry_entries_replace_old_ones(spark):
