@@ -20,7 +20,7 @@ from lodestone.catalog.frames import (
 from lodestone.functions.embedders import hashing_embedder
 from lodestone.operators import chunking, embedding, incremental, retrieval, search
 from lodestone.operators import vectors as vec
-from lodestone.plans import corpus_build
+from lodestone.plans import corpus_build, discovery, pdf_build
 from lodestone.plans.questions import answer_inputs
 from lodestone.session import scratch_path, spread, stored
 from lodestone.streaming import ingest
@@ -333,6 +333,33 @@ def corpus_run(spark, sf):
     )
 
 
+def pdf_run(spark, sf):
+    """Conversations as PDFs, their turns as pages; run twice."""
+    texts = stored(load(spark, sf, "conversations").select(
+        F.concat(F.lit("data/pdfs/"), "conv_id", F.lit(".pdf")).alias("path"),
+        (F.col("turn") + 1).cast("int").alias("page"),
+        F.when(F.col("role") == "assistant", F.col("text")).otherwise("").alias("text"),
+    ))
+    run = corpus_build.Run(spark, scratch_path(spark, "pdfs"), RUN_TS)
+    for _ in range(2):
+        pdf_build.build(run, texts.select("path").distinct(), texts, hashing_embedder(DIM), "prod", DIM)
+    counts = vec.vectors_per_document(vec.read_vectors(spark, run.path("index")))
+    return run.status().join(counts.toDF("url", "stored"), "url", "left").select(
+        "url", "status", "stage", "error", "chunks_count", "embeddings_count",
+        F.coalesce("stored", F.lit(0)).alias("stored"), stamp("last_updated").alias("last_updated"),
+    )
+
+
+def site_discovery(spark, sf):
+    """Links of the page table extracted, stored and walked from its first page."""
+    html = spread(load(spark, sf, "pages")).select(
+        "url", F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), "html"
+    )
+    start = load(spark, sf, "pages").agg(F.min("url")).first()[0]
+    found = discovery.discover_site(spark, scratch_path(spark, "site"), html, start, RUN_TS)
+    return found.select("url", "depth", "is_pdf")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -340,7 +367,7 @@ QUERIES = {
         namespace_stats, vector_upsert, vector_upsert_replacing, vector_table, upload_if_empty,
         recreate_index, validate_vectors, rejected_vectors, vectors_per_document, distinct_ids,
         processed_ids, new_chunks, embed_documents, vector_records, embedding_complete,
-        changed_documents, registry_update, embed_changed, ingest_stream, corpus_run,
+        changed_documents, registry_update, embed_changed, ingest_stream, corpus_run, pdf_run, site_discovery,
     )
 }
 QUERIES["embed_failures"] = embedding_failures
@@ -494,4 +521,22 @@ ORACLES = {
                true as chunks_stored, true as vectors_stored
         from pages""",
 }
+ORACLES["pdf_run"] = f"""
+    with recursive turns as (
+        select 'data/pdfs/' || conv_id || '.pdf' as path, turn,
+               case when role = 'assistant' then text else '' end as body from conversations),
+    pdf_docs as (select path || '#' || turn as url, body as text from turns where body <> ''),
+    {chunk_ctes("pdf_docs")},
+    n as (select regexp_replace(source, '#.*', '') as url, count(*) as n from chunks group by 1),
+    p as (select path as url, max(body <> '') as has_text from turns group by path)
+    select p.url, case when has_text then 'completed' else 'failed' end as status,
+           case when has_text then 'uploaded' else 'discovered' end as stage,
+           case when not has_text then '{pdf_build.NO_TEXT}' end as error,
+           case when has_text then coalesce(n, 0) end as chunks_count,
+           case when has_text then coalesce(n, 0) end as embeddings_count,
+           coalesce(n, 0) as stored, '{RUN_TS}' as last_updated
+    from p left join n using (url)"""
+# Pages the links lead to are not in the table, so only the start is listed.
+ORACLES["site_discovery"] = """
+    select min(url) as url, 0 as depth, false as is_pdf from pages"""
 ORACLES["topk_cosine_grid"] = ORACLES["topk_cosine"]

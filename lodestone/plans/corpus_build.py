@@ -65,6 +65,13 @@ _CHUNK = f"{schemas.CHUNK}, error string"
 _VECTOR = f"{schemas.CHUNK}, values array<float>, error string"
 
 
+RECOVERED = (
+    "source string, id string, values array<float>, metadata struct<source:string,type:string,"
+    "depth:int,last_modified:timestamp_ntz,text:string>, error string"
+)
+STAGES = ("scrape", "chunk", "embed", "upload")
+
+
 def _by_url(sources: DataFrame, *columns) -> DataFrame:
     return sources.groupBy(F.col("source").alias("url")).agg(*columns)
 
@@ -153,20 +160,25 @@ def upload_stage(
     # Vectors of chunks an earlier form of the document had are not written again.
     chunks = run.results("chunks", _CHUNK, "source").select("source", "chunk_id")
     current = keep_keys(embedded, keep_keys(chunks, due, "source"), "chunk_id")
-    valid, wrong = vectors.validate_vectors(embedding.vector_record(current, namespace), dimension)
+    recovered = keep_keys(run.results("recovered", RECOVERED, "source", "id"), due, "source")
+    records = embedding.vector_record(current, namespace).unionByName(
+        recovered.select(F.lit(namespace).alias("namespace"), "id", "values", "metadata")
+    )
+    valid, wrong = vectors.validate_vectors(records, dimension)
     uploaded = vectors.append_vectors(valid, run.path("index"), run.write_seq)
     rejected = wrong.groupBy("url").agg(F.max("error").alias("error"))
-    had_vectors = current.select(F.col("source").alias("url")).distinct()
+    had_vectors = records.select(F.col("metadata.source").alias("url")).distinct()
     results = had_vectors.join(rejected, "url", "left")
     run.finish("upload", *status.mark_uploaded(before, discovered, results))
     return uploaded
 
 
 def all_failures(run: Run) -> DataFrame:
-    """The failure log of every stage; ``write_seq`` gives the order."""
-    stages = ("scrape", "chunk", "embed", "upload")
-    logs = [tables.read_failures(run.spark, run.path(f"failures_{s}")) for s in stages]
-    return reduce(DataFrame.unionByName, logs)
+    """The failure log of every stage since the last reset; ``write_seq`` gives the order."""
+    logs = [tables.read_failures(run.spark, run.path(f"failures_{s}")) for s in STAGES]
+    start = tables.read_table(run.spark, run.path("failures_from"), "write_seq bigint").first()
+    since = start["write_seq"] if start else 0
+    return reduce(DataFrame.unionByName, logs).filter(F.col("write_seq") >= since)
 
 
 def build(

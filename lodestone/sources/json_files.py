@@ -29,6 +29,15 @@ def read_discovered(spark: SparkSession, path: str) -> DataFrame:
     return urls.withColumn("discovered_at", F.col("discovered_at").try_cast("timestamp_ntz"))
 
 
+def read_discovery_run(spark: SparkSession, path: str) -> DataFrame:
+    """The header of a run file as one row."""
+    ddl = "metadata struct<start_url:string,max_depth:int,domain:string,discovery_time:string>"
+    if not path_exists(spark, path):
+        return schemas.empty(spark, schemas.DISCOVERY_RUN)
+    header = spark.read.schema(ddl).json(path, multiLine=True).select("metadata.*")
+    return header.withColumn("discovery_time", F.col("discovery_time").try_cast("timestamp_ntz"))
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Documents stored as an array, as one object, or under a ``documents`` key.
 

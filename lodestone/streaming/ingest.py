@@ -33,12 +33,18 @@ def ingest_batch(
 
 
 def ingest_stream(
-    docs: DataFrame, root: str, embedder, namespace: str, run_ts: datetime | str
+    docs: DataFrame,
+    root: str,
+    embedder,
+    namespace: str,
+    run_ts: datetime | str,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Ingest a stream of documents (url, text, type, last_modified) into ``root``.
 
     State lives in the tables, not in the stream, so no watermark is needed.
-    The query stops when everything available has been read.
+    By default the query stops when everything available has been read;
+    ``trigger`` takes the options of ``DataStreamWriter.trigger``.
     """
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
@@ -47,6 +53,6 @@ def ingest_stream(
     return (
         docs.writeStream.foreachBatch(ingest)
         .option("checkpointLocation", f"{root}/stream")
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

@@ -1,5 +1,7 @@
 """Incremental, streaming and staged runs: what a second or broken run does."""
 
+import json
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from lodestone.operators import incremental, vectors
 from lodestone.operators import status as st
 from lodestone.operators.embedding import with_vectors
 from lodestone.operators.selecting import drop_keys, keep_keys
-from lodestone.plans import corpus_build
+from lodestone.plans import corpus_build, discovery, maintenance, pdf_build
 from lodestone.sources import tables
 from lodestone.streaming import ingest
 
@@ -174,3 +176,65 @@ def test_vectors_keep_single_precision(spark):
     df = with_vectors(spark.createDataFrame([("t",)], "text string"), lambda texts: np.array([[0.1, 1e-30]]))
     assert df.schema["values"].dataType.simpleString() == "array<float>"
     assert df.first()["values"] == [float(np.float32(0.1)), float(np.float32(1e-30))]
+
+
+def test_pdf_run_stops_at_the_first_failing_stage(spark, tmp_path):
+    run = corpus_build.Run(spark, str(tmp_path), T1)
+    texts = spark.createDataFrame(
+        [("a.pdf", 1, words("a")), ("a.pdf", 2, words("b")), ("b.pdf", 1, ""), ("c.pdf", 1, words("bad"))],
+        "path string, page int, text string",
+    )
+
+    def embedder(rows):
+        if any("bad0" in row for row in rows):
+            raise RuntimeError("no service")
+        return np.ones((len(rows), 2))
+
+    pdfs = texts.select("path").distinct()
+    assert pdf_build.build(run, pdfs, texts.repartition(4, "path", "page"), embedder, "test", 2) == 2
+    assert state(run) == {
+        "a.pdf": ("completed", "uploaded", 2, 2), "b.pdf": ("failed", "discovered", None, None),
+        "c.pdf": ("failed", "chunked", 1, None),
+    }
+    assert pdf_build.build(run, pdfs, texts, lambda rows: np.ones((len(rows), 2)), "test", 2) == 1
+    assert state(run)["c.pdf"] == ("completed", "uploaded", 1, 1)
+    assert vectors.read_vectors(spark, run.path("index")).count() == 3
+
+
+def test_recovery_and_resets(spark, tmp_path):
+    run = corpus_build.Run(spark, str(tmp_path / "root"), T1)
+    found = spark.createDataFrame([("http://h/a",), ("http://h/b",)], "url string")
+    corpus_build.scrape(run, found, pages(spark, ("http://h/a", 200, words("a"))))
+    assert corpus_build.all_failures(run).count() == 1
+    maintenance.reset_failures(run)
+    assert corpus_build.all_failures(run).count() == 0
+    (tmp_path / "ck").mkdir()
+
+    def vector(i, source):
+        return {"id": i, "values": [1.0], "metadata": {"source": source, "text": "t"}}
+
+    for n, rows in ((2, [vector("1", "http://h/a"), vector("9", "http://h/zzz")]), (10, [vector("1", "http://h/a"), vector("2", "http://h/a")])):
+        (tmp_path / "ck" / f"embeddings_checkpoint_{n}.json").write_text(json.dumps(rows))
+    unknown = maintenance.recover_checkpoints(run, str(tmp_path / "ck"))
+    assert [r["source"] for r in unknown.collect()] == ["http://h/zzz"]
+    assert state(run) == {"http://h/a": ("completed", "embedded", None, 2)}
+    assert run.results("recovered", corpus_build.RECOVERED, "source", "id").count() == 2
+    assert corpus_build.upload_stage(run, found, "test", 1) == 2
+    assert state(run) == {"http://h/a": ("completed", "uploaded", None, 2)}
+    maintenance.reset_to_chunked(run)
+    assert state(run) == {"http://h/a": ("completed", "chunked", None, None)}
+
+
+def test_site_discovery(spark, tmp_path):
+    rows = [
+        ("http://h/a", 200, "text/html", "<a href='b'>x</a><a href='c'>x</a><a href='http://g/'>x</a>"),
+        ("http://h/b", 200, "text/html", "<a href='a'>x</a><a href='d.pdf'>x</a>"),
+        ("http://h/c", 404, "text/html", "<a href='e'>x</a>"),
+        ("http://h/d.pdf", 200, "application/pdf", None), ("http://h/e", 200, "text/html", ""),
+    ]
+    fetched = spark.createDataFrame(rows, "url string, status int, content_type string, html string")
+    found = discovery.discover_site(spark, str(tmp_path), fetched, "http://h/a", T1)
+    assert sorted((r["url"], r["depth"], r["is_pdf"]) for r in found.collect()) == [
+        ("http://h/a", 0, False), ("http://h/b", 1, False), ("http://h/d.pdf", 2, True),
+    ]
+    assert tables.read_table(spark, f"{tmp_path}/discovery_run", schemas.DISCOVERY_RUN).first()["max_depth"] == 2

@@ -24,6 +24,8 @@ def test_discovered(spark, tmp_path):
         ("a", 0, False, "2024-01-01 02:03:04.500000"), ("b", 1, None, "None"),
     ]
     assert json_files.read_discovered(spark, str(tmp_path / "missing.json")).count() == 0
+    assert json_files.read_discovery_run(spark, path).first()["start_url"] == "s"
+    assert json_files.read_discovery_run(spark, str(tmp_path / "missing.json")).count() == 0
 
 
 def test_three_document_layouts(spark, tmp_path):
