@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import word_count
 from lodestone.functions.urls import base_path
-from lodestone.session import checkpointed
+from lodestone.session import checkpointed, stored
 
 _CARRIED = -1
 _SUMMARY = "block int, first_base string, last_base string, counts array<int>, starts array<bigint>"
@@ -77,7 +77,7 @@ def _in_url_order(docs: DataFrame, min_words: int, order_col: str | None) -> Dat
     )
     # Stored before it is ordered: range partitioning samples its input first, and
     # the whole corpus should be read and counted only once.
-    rows = checkpointed(rows)
+    rows = stored(rows)
     order = ["base", "url", "tie", "row"]
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     return checkpointed(ordered.withColumn("block", F.spark_partition_id()))

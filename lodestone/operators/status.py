@@ -58,10 +58,16 @@ def reuse_completed(discovered: DataFrame, status: DataFrame, stored: DataFrame,
     return keep_keys(stored, completed, "url").unionByName(keep_keys(fresh, others, "url"))
 
 
-def apply_changes(status: DataFrame, changes: DataFrame, whole_row: bool = False) -> DataFrame:
+def apply_changes(
+    status: DataFrame,
+    changes: DataFrame,
+    whole_row: bool = False,
+    unless_null: tuple[str, ...] = (),
+) -> DataFrame:
     """Set the columns of ``changes`` on its URLs, adding URLs not there yet.
 
-    Columns ``changes`` lacks keep their value, or become null with ``whole_row``.
+    Columns ``changes`` lacks keep their value, or become null with ``whole_row``;
+    those in ``unless_null`` keep theirs where the change is null.
     """
     old = status.select("url", F.struct(*[c for c in schemas.STATUS_COLUMNS if c != "url"]).alias("_old"))
     set_columns = [c for c in changes.columns if c != "url"]
@@ -71,6 +77,8 @@ def apply_changes(status: DataFrame, changes: DataFrame, whole_row: bool = False
 
     def value(name: str) -> Column:
         kept = F.col(f"_old.{name}")
+        if name in unless_null:
+            return F.coalesce(f"_new.{name}", kept)
         if name in set_columns:
             return F.when(touched, F.col(f"_new.{name}")).otherwise(kept)
         return F.when(~touched, kept) if whole_row else kept
@@ -131,11 +139,7 @@ def _stage_results(
 
 def _advance(status: DataFrame, changes: DataFrame, count_column: str) -> DataFrame:
     """Apply stage results. A success leaves an old error, a failure an old count."""
-    old = status.select("url", F.col("error").alias("_e"), F.col(count_column).alias("_n"))
-    kept = changes.join(old, "url", "left").withColumns(
-        {"error": F.coalesce("error", "_e"), count_column: F.coalesce(count_column, "_n")}
-    )
-    return apply_changes(status, kept.drop("_e", "_n"))
+    return apply_changes(status, changes, unless_null=("error", count_column))
 
 
 def _failures(changes: DataFrame, with_time: bool = True) -> DataFrame:

@@ -22,6 +22,8 @@ def ingest_batch(
     replay after both finds nothing changed and writes nothing.
     """
     spark = docs.sparkSession
+    # A batch may come from one file; its documents are spread over all cores.
+    docs = docs.repartition(spark.sparkContext.defaultParallelism)
     registry = incremental.read_registry(spark, f"{root}/registry", docs)
     fresh = stored(incremental.embed_changed(docs, registry, embedder, namespace, run_ts))
     if fresh.isEmpty():
