@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone import schemas
 from lodestone.functions.times import as_ntz
 from lodestone.operators.selecting import drop_keys
+from lodestone.session import stored
 from lodestone.sources import tables
 
 # The index definition and its namespaces.
@@ -138,22 +139,41 @@ def index_header(spark: SparkSession, path: str) -> DataFrame:
 def append_vectors(vectors: DataFrame, path: str, write_seq: int) -> int:
     """Store one run's vectors and return how many rows came in.
 
-    An id repeated within the run is written once. Cost follows the run, not
-    the table: stored vectors are not rewritten. The index is created when
-    there is none yet.
+    An id repeated within the run is written once. Repeats are looked for on
+    the ids alone, so that vectors with an id of their own, as a rule all, are
+    written without a shuffle; pass stored vectors, as they are read twice.
+    Cost follows the run, not the table: earlier runs are not rewritten. The
+    index is created when there is none yet.
     """
     spark = vectors.sparkSession
     if tables.current_version(spark, f"{path}/index") is None:
         create_index(spark, path)
+    key = ["namespace", "id"]
+    rows = vectors.select(*key, "values", "metadata")
     seen = Observation()
-    rows = vectors.select("namespace", "id", "values", "metadata").observe(
-        seen, F.count(F.lit(1)).alias("rows")
+    copies = rows.groupBy(*key).agg(F.count("*").alias("n"))
+    counted = copies.observe(seen, F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+    repeated = stored(counted.filter("n > 1").select(*key), "repeated-ids")
+    once = one_per_key(
+        rows.join(repeated, key, "left_semi"), key, ["values", "metadata"], newest=True
     )
-    once = one_per_key(rows, ["namespace", "id"], ["values", "metadata"], newest=True)
-    tables.append_log(once, _vector_log(spark, path), write_seq, "namespace")
+    written = rows.join(repeated, key, "left_anti").unionByName(once)
+    tables.append_log(written, _vector_log(spark, path), write_seq, "namespace")
     return seen.get["rows"]
 
 
+def compact_vectors(spark: SparkSession, path: str, write_seq: int) -> None:
+    """Rewrite the current vectors as one run, so that readers resolve nothing.
+
+    The rewritten vectors become current with the new index version, the last
+    thing written.
+    """
+    header, current = index_header(spark, path), read_vectors(spark, path)
+    version = tables.next_version(spark, f"{path}/index")
+    tables.append_log(current, f"{path}/vectors-{version}", write_seq, "namespace")
+    tables.write_table(header, f"{path}/index")
+
+
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     """Current vectors. A filter on ``namespace`` prunes folders."""
     log = _vector_log(spark, path)
@@ -165,8 +185,8 @@ def upload_if_empty(
 ) -> bool:
     """Store ``vectors`` unless the namespace already holds some; tells whether it did."""
     spark = vectors.sparkSession
-    stored = read_vectors(spark, path).filter(F.col("namespace") == namespace)
-    if not force and not stored.isEmpty():
+    present = read_vectors(spark, path).filter(F.col("namespace") == namespace)
+    if not force and not present.isEmpty():
         return False
     append_vectors(vectors.withColumn("namespace", F.lit(namespace)), path, write_seq)
     return True

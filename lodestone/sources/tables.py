@@ -37,14 +37,14 @@ def read_table(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return spark.read.schema(ddl).parquet(f"{path}/v{version}")
 
 
+def next_version(spark: SparkSession, path: str) -> int:
+    taken = (int(n[1:]) for n in folder_names(spark, path) if n[0] == "v" and n[1:].isdigit())
+    return max(taken, default=0) + 1
+
+
 def write_table(df: DataFrame, path: str) -> int:
     """Write ``df`` as the next version and return its number."""
-    taken = [
-        int(n[1:])
-        for n in folder_names(df.sparkSession, path)
-        if n[0] == "v" and n[1:].isdigit()
-    ]
-    version = max(taken, default=0) + 1
+    version = next_version(df.sparkSession, path)
     df.write.mode("overwrite").parquet(f"{path}/v{version}")
     return version
 

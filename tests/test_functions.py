@@ -35,11 +35,11 @@ def test_missing_url(spark):
 def test_pdf_patterns(spark):
     cases = {
         "https://a/x.PDF": True, "https://a/pdf/x": True, "https://a/x?t=application/pdf": True,
-        "https://a/pdfs": False, "https://a/DocumentCenter/View/1": False,
+        "https://a/pdfs": False, "https://a/Archive/View/1": False,
     }
     rows = spark.createDataFrame(list(cases.items()), "url string, want boolean")
     assert rows.filter(urls.is_pdf_url("url") != F.col("want")).count() == 0
-    more = rows.select(urls.is_pdf_url("url", ("/documentcenter/view/",)).alias("x"))
+    more = rows.select(urls.is_pdf_url("url", ("/archive/view/",)).alias("x"))
     assert more.filter("x").count() == 1
 
 

@@ -50,6 +50,10 @@ def test_index_on_disk(spark, tmp_path):
     for _ in range(2):
         vectors.append_vectors(rows(spark, [("a", "1", 5.0, "s")]), path, 2)
         assert shown(vectors.read_vectors(spark, path)) == [("a", "1", 5.0), ("b", "2", 2.0)]
+    vectors.compact_vectors(spark, path, 3)
+    assert shown(vectors.read_vectors(spark, path)) == [("a", "1", 5.0), ("b", "2", 2.0)]
+    vectors.append_vectors(rows(spark, [("a", "1", 6.0, "s")]), path, 4)
+    assert shown(vectors.read_vectors(spark, path)) == [("a", "1", 6.0), ("b", "2", 2.0)]
     header = vectors.index_header(spark, path).first()
     assert (header["dimension"], header["metric"]) == (1536, "cosine")
     with pytest.raises(ValueError):
