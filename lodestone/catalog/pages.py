@@ -177,9 +177,9 @@ _DOMAIN = "regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)"
 
 
 def _decoded(text: str) -> str:
-    """Entities that occur in the page table; the ampersand comes last."""
+    """Entities that occur in the page table, some cut short; the ampersand comes last."""
     for name, char in (("quot", "'\"'"), ("copy", "chr(169)"), ("middot", "chr(183)"), ("amp", "'&'")):
-        text = f"replace({text}, '&{name};', {char})"
+        text = f"regexp_replace({text}, '&{name}(?:;|\\b)', {char}, 'g')"
     return text
 
 

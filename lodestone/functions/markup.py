@@ -7,6 +7,7 @@ positions where their element opened and closed.
 
 from __future__ import annotations
 
+from html.entities import html5
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -21,9 +22,18 @@ ASCII_SPACE = " \n\t\f\r"
 CONTENT_IDS = ("modulecontent", "contentarea")
 
 
+def _character(number: int) -> str:
+    """The character a numeric reference names; low numbers are Windows-1252."""
+    if number < 256:
+        return bytes([number]).decode("windows-1252", errors="ignore") or chr(number)
+    if number > 0x10FFFF or 0xD800 <= number <= 0xDFFF:
+        return "\N{REPLACEMENT CHARACTER}"
+    return chr(number)
+
+
 class PageReader(HTMLParser):
     def __init__(self, content_ids: tuple[str, ...] = CONTENT_IDS):
-        super().__init__(convert_charrefs=True)
+        super().__init__(convert_charrefs=False)
         self.content_ids = content_ids
         self.strings: list[str] = []
         self.slices: dict[str, list] = {}
@@ -83,6 +93,13 @@ class PageReader(HTMLParser):
     def handle_data(self, data):
         self._pending.append(data)
 
+    def handle_entityref(self, name):
+        self._pending.append(html5.get(name + ";", "&" + name))
+
+    def handle_charref(self, name):
+        number = int(name[1:], 16) if name[0] in "xX" else int(name)
+        self._pending.append(_character(number))
+
     def handle_comment(self, data):
         self._end_string()
 

@@ -23,6 +23,7 @@ PAGES = {
     "void tags do not nest": ("<div id='contentarea'><img><input><hr>x</div>y", "", "x"),
     "closed at once": ("<div id='contentarea'/>x", "", ""),
     "entity inside a string": ("<p>a&lt;b &#65;&eacute;</p>", "", "a<b Aé"),
+    "references without semicolon": ("<h1>a&amp&lt</h1>&ampb &bogus; &#150;&#x41 &#xD800;", "a&<", "a&< &ampb &bogus –A �"),
     "comment splits a string": ("<p>a<!-- x -->b</p>", "", "a b"),
     "character data": ("<![CDATA[kept]]>", "", None),
     "no text": ("<html><script>x</script></html>", "", ""),
