@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import string
+
+import public_tokenizers
+
 from lodestone.catalog.frames import load
-from lodestone.llm import exact, mixing, sharding
+from lodestone.llm import exact, mixing, neardup, packing, sharding
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 SHARD_BYTES = 16 * 2**20
 
 _WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 
 
+def op1_pack(spark, sf):
+    return packing.pack_pieces(load(spark, sf, "documents"), TOKENIZER)
+
+
 def op4_mix(spark, sf):
     return mixing.mix_sizes(load(spark, sf, "documents"))
 
@@ -22,10 +31,16 @@ def op8_shard(spark, sf):
     return sharding.assign_shards(load(spark, sf, "documents"), SHARD_BYTES)
 
 
+def op10_near_dedup(spark, sf):
+    return neardup.near_duplicates(load(spark, sf, "documents"))
+
+
 QUERIES = {
+    "op1_pack": op1_pack,
     "op4_mix": op4_mix,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_shard": op8_shard,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLES = {
@@ -80,4 +95,26 @@ ORACLES = {
         select d.doc_id, bytes, case when depth = 0 then '' else lpad(bin(prefix), depth::int, '0') end as shard,
                depth, 0::bigint as overflow, shard_bytes::bigint as shard_bytes, shard_docs
         from d join f using (doc_id) join l using (doc_id, depth)""",
+    "op10_near_dedup": rf"""
+        with recursive w as (
+            select doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'),
+                '[^\x20\x09-\x0D]+') as w from documents),
+        s as (
+            select doc_id, list_distinct(case
+                when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from w),
+        n as (select doc_id, len(s)::bigint as n from s),
+        e as (select doc_id, unnest(s) as g from s),
+        p as (
+            select x.doc_id as a, y.doc_id as b, count(*) as c
+            from e x join e y on x.g = y.g and x.doc_id < y.doc_id group by all),
+        l as (
+            select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b
+            where 100 * c >= 85 * (x.n + y.n - c)),
+        both as (select a, b from l union all select b, a from l),
+        r(doc_id, id) as (
+            select doc_id, doc_id from n union select both.a, r.id from r join both on both.b = r.doc_id)
+        select n.doc_id, n as n_shingles, min(id) as component_id, n.doc_id = min(id) as kept
+        from n join r on r.doc_id = n.doc_id group by n.doc_id, n""",
 }
