@@ -7,7 +7,7 @@ import string
 import public_tokenizers
 
 from lodestone.catalog.frames import load
-from lodestone.llm import exact, mixing, neardup, packing, sharding
+from lodestone.llm import exact, language, mixing, neardup, packing, quality, sharding
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 SHARD_BYTES = 16 * 2**20
@@ -19,10 +19,18 @@ def op1_pack(spark, sf):
     return packing.pack_pieces(load(spark, sf, "documents"), TOKENIZER)
 
 
+def op2_language(spark, sf):
+    return language.identify(load(spark, sf, "documents"))
+
+
 def op4_mix(spark, sf):
     return mixing.mix_sizes(load(spark, sf, "documents"))
 
 
+def op6_quality(spark, sf):
+    return quality.score_quality(load(spark, sf, "documents"), load(spark, sf, "labels"))
+
+
 def op7_exact_dedup(spark, sf):
     return exact.find_duplicates(load(spark, sf, "documents"))
 
@@ -37,7 +45,9 @@ def op10_near_dedup(spark, sf):
 
 QUERIES = {
     "op1_pack": op1_pack,
+    "op2_language": op2_language,
     "op4_mix": op4_mix,
+    "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_shard": op8_shard,
     "op10_near_dedup": op10_near_dedup,
