@@ -7,7 +7,8 @@ import string
 import public_tokenizers
 
 from lodestone.catalog.frames import load
-from lodestone.llm import exact, language, mixing, neardup, packing, quality, sharding
+from lodestone.llm import exact, language, mixing, neardup, packing, quality, sharding, warc
+from lodestone.session import scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 SHARD_BYTES = 16 * 2**20
@@ -23,6 +24,12 @@ def op2_language(spark, sf):
     return language.identify(load(spark, sf, "documents"))
 
 
+def op3_warc(spark, sf):
+    path = scratch_path(spark, "warc")
+    warc.write_archives(load(spark, sf, "pages"), path)
+    return warc.page_records(warc.read_archives(spark, path, with_payload=False))
+
+
 def op4_mix(spark, sf):
     return mixing.mix_sizes(load(spark, sf, "documents"))
 
@@ -46,6 +53,7 @@ def op10_near_dedup(spark, sf):
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_language": op2_language,
+    "op3_warc": op3_warc,
     "op4_mix": op4_mix,
     "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
@@ -53,7 +61,21 @@ QUERIES = {
     "op10_near_dedup": op10_near_dedup,
 }
 
+# DuckDB has no base32: the 160 bits of a SHA-1 are spelled five at a time.
+_BASE32 = """array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(0, 5), lambda j:
+        (((instr('0123456789abcdef', substr(hex, ((5 * i + j) // 4 + 1)::int, 1)) - 1)
+          >> (3 - (5 * i + j) % 4)::int) & 1) << (4 - j)::int))::int, 1)), '')"""
+
 ORACLES = {
+    "op3_warc": f"""
+        with p as (
+            select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha1(coalesce(html, '')) as hex,
+                   max(page_id) over (partition by coalesce(html, '')) as last from pages)
+        select page_id, payload_bytes, {_BASE32} as payload_digest,
+               case when page_id = last then 'response' else 'revisit' end as record_type,
+               case when page_id <> last then last end as refers_to
+        from p""",
     "op4_mix": f"""
         with d as (
             select doc_id, source, {_WORDS}::bigint as size,
