@@ -7,7 +7,7 @@ import string
 import public_tokenizers
 
 from lodestone.catalog.frames import load
-from lodestone.llm import exact, language, mixing, neardup, packing, quality, sharding, warc
+from lodestone.llm import exact, extract, language, mixing, neardup, packing, quality, sharding, warc
 from lodestone.session import scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -34,6 +34,10 @@ def op4_mix(spark, sf):
     return mixing.mix_sizes(load(spark, sf, "documents"))
 
 
+def op5_extract(spark, sf):
+    return extract.extract(load(spark, sf, "pages"))
+
+
 def op6_quality(spark, sf):
     return quality.score_quality(load(spark, sf, "documents"), load(spark, sf, "labels"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op2_language": op2_language,
     "op3_warc": op3_warc,
     "op4_mix": op4_mix,
+    "op5_extract": op5_extract,
     "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_shard": op8_shard,
@@ -107,6 +112,20 @@ ORACLES = {
                (size * (whole + case when need > 0 and 2 * run - size <= 2 * need then 1 else 0 end))::bigint
                as taken
         from c""",
+    # The given pages name their articles and use few kinds of blocks and references.
+    "op5_extract": r"""
+        with a as (
+            select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) as a
+            from pages),
+        b as (
+            select page_id, url, list_transform(
+                string_split_regex(replace(a, '<br>', ' '), '</?(p|h1)>'),
+                lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(
+                    regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'),
+                    '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) as b
+            from a),
+        t as (select page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10) || chr(10)) as text from b)
+        select page_id, url, text, length(text)::bigint as n_chars from t""",
     "op7_exact_dedup": """
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
                doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
