@@ -7,7 +7,7 @@ import string
 import public_tokenizers
 
 from lodestone.catalog.frames import load
-from lodestone.llm import exact, extract, language, mixing, neardup, packing, quality, sharding, warc
+from lodestone.llm import exact, extract, language, mixing, neardup, packing, quality, sharding, topk, warc
 from lodestone.session import scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -50,6 +50,10 @@ def op8_shard(spark, sf):
     return sharding.assign_shards(load(spark, sf, "documents"), SHARD_BYTES)
 
 
+def op9_topk(spark, sf):
+    return topk.top_k(load(spark, sf, "embeddings"))
+
+
 def op10_near_dedup(spark, sf):
     return neardup.near_duplicates(load(spark, sf, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_shard": op8_shard,
+    "op9_topk": op9_topk,
     "op10_near_dedup": op10_near_dedup,
 }
 
@@ -146,6 +151,18 @@ ORACLES = {
         select d.doc_id, bytes, case when depth = 0 then '' else lpad(bin(prefix), depth::int, '0') end as shard,
                depth, 0::bigint as overflow, shard_bytes::bigint as shard_bytes, shard_docs
         from d join f using (doc_id) join l using (doc_id, depth)""",
+    "op9_topk": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as q
+            from embeddings
+            where embedding is not null and vec_id is not null
+              and list_count(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+        s as (
+            select a.vec_id as query_id, b.vec_id, list_inner_product(a.q, b.q)::bigint as score
+            from v a join v b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id and len(a.q) = len(b.q))
+        select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank,
+               vec_id, score
+        from s qualify rank <= 20""",
     "op10_near_dedup": rf"""
         with recursive w as (
             select doc_id, regexp_extract_all(
