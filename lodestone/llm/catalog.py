@@ -6,6 +6,8 @@ import string
 
 import public_tokenizers
 
+import corpus_pipeline
+
 from lodestone.catalog.frames import load
 from lodestone.llm import exact, extract, language, mixing, neardup, packing, quality, sharding, topk, warc
 from lodestone.session import scratch_path
@@ -59,6 +61,7 @@ def op10_near_dedup(spark, sf):
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_pack": op1_pack,
     "op2_language": op2_language,
     "op3_warc": op3_warc,
