@@ -27,7 +27,8 @@ BANDS, ROWS = 24, 5
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 256
 CENTRES = 4  # orders in which buckets choose their centre
-BLOCK = 256  # classes of a bucket compared at a time
+BLOCK = 128  # classes of a bucket compared at a time, about
+BLOCK_SHINGLES = 500_000  # and their shingles
 
 _SIG = (
     "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, s0 long, s1 long, s2 long, s3 long"
@@ -115,12 +116,10 @@ def _estimate_allows(threshold: float) -> int:
     return int(SKETCH_BITS / 2 * (1 - np.exp(-4 * SAMPLES * (1 - low) / SKETCH_BITS)) + 1)
 
 
-def _near(a: str, b: str, most_bits: int) -> Column:
-    """Sketches of a pair that don't rule it out."""
-    bits = reduce(
-        Column.__add__, [F.bit_count(F.col(f"{a}.s{j}").bitwiseXOR(F.col(f"{b}.s{j}"))) for j in range(4)]
-    )
-    return bits <= most_bits
+def _apart(a: str, b: str) -> Column:
+    """Bits in which the sketches of a pair differ."""
+    differ = [F.bit_count(F.col(f"{a}.s{j}").bitwiseXOR(F.col(f"{b}.s{j}"))) for j in range(4)]
+    return reduce(Column.__add__, differ)
 
 
 def _alike(a: str, b: str, percent: int) -> Column:
@@ -129,103 +128,207 @@ def _alike(a: str, b: str, percent: int) -> Column:
     return 100 * least >= percent * most
 
 
+def _parts_of(rows: Column, shingles: Column) -> Column:
+    """Into how many blocks so many classes with so many shingles are cut."""
+    return F.ceil(F.greatest(rows / BLOCK, shingles / BLOCK_SHINGLES, F.lit(1))).cast("int")
+
+
 def _buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members ``bucket, rep`` of all bands, and the buckets with more than one: size and centre."""
-    members = classes.select(F.explode("bands").alias("bucket"), "rep")
-    order = F.xxhash64(F.pmod("bucket", F.lit(CENTRES)), "rep")
-    found = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min_by("rep", order).alias("centre"))
+    """Members ``bucket, rep, d1, n`` of all bands; the buckets with more than one: their centres and sizes."""
+    members = classes.select(F.explode("bands").alias("bucket"), "rep", "d1", "n")
+    order = F.xxhash64(F.pmod("bucket", F.lit(CENTRES)), "rep", "d1")
+    found = members.groupBy("bucket").agg(
+        F.count("*").alias("size"),
+        F.sum("n").alias("shingles"),
+        F.min_by("rep", order).alias("centre"),
+        F.min_by("d1", order).alias("centre_d1"),
+    )
     return members, stored(found.filter("size > 1"), "buckets")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs ``a, a1, b, b1`` of ids and digests, those whose whole sets are similar enough."""
-    pairs = stored(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi")
-    sets = stored(texts.mapInArrow(_build_sets, _SETS), "sets").dropDuplicates(["doc_id", "d1"])
-    left = sets.select(F.col("doc_id").alias("a"), F.col("d1").alias("a1"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("d1").alias("b1"), F.col("hashes").alias("y"))
-    both = pairs.join(left, ["a", "a1"]).join(right, ["b", "b1"])
-    common = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - F.col("common")
-    return stored(
-        both.withColumn("common", common).filter(100 * F.col("common") >= percent * union).select("a", "b"),
-        "links",
+def _nearest_centres(members: DataFrame, buckets: DataFrame, classes: DataFrame, most: int, percent: int) -> DataFrame:
+    """For each member of a bucket, the one of its centres with the nearest sketch, if it is near at all."""
+    facts = classes.select("rep", "d1", "n", "s0", "s1", "s2", "s3")
+    seen = members.join(buckets, "bucket").filter("rep != centre or d1 != centre_d1")
+    pairs = seen.select("rep", "d1", "centre", "centre_d1").distinct().alias("p")
+    x, y = facts.alias("x"), facts.alias("y")
+    both = pairs.join(x, (F.col("p.rep") == F.col("x.rep")) & (F.col("p.d1") == F.col("x.d1"))).join(
+        y, (F.col("p.centre") == F.col("y.rep")) & (F.col("p.centre_d1") == F.col("y.d1"))
     )
+    near = both.withColumn("apart", _apart("x", "y")).filter(_alike("x", "y", percent) & (F.col("apart") <= most))
+    best = F.min(F.struct("apart", "p.centre", "p.centre_d1")).alias("best")
+    chosen = near.groupBy(F.col("p.rep"), F.col("p.d1"), F.col("x.n")).agg(best)
+    return stored(chosen.select("rep", "d1", "n", "best.*"), "nearest")
 
 
-def _pairs_in_blocks(batches, most_bits: int, percent: int):
-    """Candidates between the rows of two blocks of one bucket that lie in different components."""
-    names = ("rep", "d1", "n", "component")
-    for batch in batches:
-        for row in batch.to_pylist():
-            x, y = ({k: np.array([m[k] for m in row[side]], np.int64) for k in names} for side in "xy")
-            sx, sy = (np.array([[m[f"s{j}"] for j in range(4)] for m in row[side]], np.int64) for side in "xy")
-            bits = np.bitwise_count(sx[:, None, :] ^ sy[None, :, :]).sum(-1)
-            low = np.minimum(x["n"][:, None], y["n"][None, :])
-            high = np.maximum(x["n"][:, None], y["n"][None, :])
-            near = (bits <= most_bits) & (100 * low >= percent * high)
-            i, j = np.nonzero(near & (x["component"][:, None] != y["component"][None, :]))
-            swap = x["rep"][i] > y["rep"][j]
-            ends = {
-                "a": np.where(swap, y["rep"][j], x["rep"][i]),
-                "a1": np.where(swap, y["d1"][j], x["d1"][i]),
-                "b": np.where(swap, x["rep"][i], y["rep"][j]),
-                "b1": np.where(swap, x["d1"][i], y["d1"][j]),
-            }
-            yield pa.RecordBatch.from_pydict(ends)
-
-
-def _across_parts(
-    members: DataFrame, buckets: DataFrame, classes: DataFrame, parts: DataFrame, most_bits: int, percent: int
+def _centre_jobs(nearest: DataFrame) -> DataFrame:
+    """Jobs of comparing a centre with a bounded number of members each."""
+    sizes = nearest.groupBy("centre", "centre_d1").agg(
+        _parts_of(F.count("*"), F.sum("n")).alias("parts")
+    )
+    part = F.pmod(F.xxhash64("rep", "d1"), F.col("parts")).alias("part")
+    pair = F.struct(
+        F.col("apart"), F.col("centre").alias("a"), F.col("centre_d1").alias("a1"), F.col("rep").alias("b"), F.col("d1").alias("b1")
+    )
+    rows = nearest.join(sizes, ["centre", "centre_d1"]).groupBy("centre", "centre_d1", part)
+    return rows.agg(F.sort_array(F.collect_list(pair)).alias("pairs")).select(
+        F.xxhash64("centre", "centre_d1", "part").alias("job"), "pairs"
+    )
+
+
+def _verify(jobs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` among the pairs of jobs, confirmed on whole sets.
+
+    A job's sets are brought together once, whatever the number of its pairs.
+    Pairs are taken nearest first, and one that earlier links of the job have
+    joined already is skipped. The joins with texts and sets are planned as
+    shuffled ones at every size, as they must be at full scale.
+    """
+    jobs = stored(jobs, "jobs")
+    ends = F.array_union(
+        F.transform("pairs", lambda p: F.struct(p["a"].alias("doc_id"), p["a1"].alias("d1"))),
+        F.transform("pairs", lambda p: F.struct(p["b"].alias("doc_id"), p["b1"].alias("d1"))),
+    )
+    need = jobs.select("job", F.explode(ends).alias("e")).select("job", "e.*")
+    texts = docs.join(need.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    sets = texts.mapInArrow(_build_sets, _SETS)
+    held = need.join(sets.hint("merge"), ["doc_id", "d1"]).groupBy("job").agg(
+        F.collect_list(F.struct("doc_id", "d1", "hashes")).alias("sets")
+    )
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield _confirm(batch.column(0)[i].values, batch.column(1)[i].values, percent)
+
+    both = jobs.join(held.hint("merge"), "job").select("pairs", "sets")
+    return stored(both.mapInArrow(run, "a long, b long"), "links")
+
+
+def _confirm(pairs: pa.StructArray, sets: pa.StructArray, percent: int) -> pa.RecordBatch:
+    ids = zip(sets.field("doc_id").to_pylist(), sets.field("d1").to_pylist(), strict=True)
+    place = {key: i for i, key in enumerate(ids)}
+    lists = sets.field("hashes")
+    flat, offsets = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    found = []
+    for a, a1, b, b1 in zip(*(pairs.field(c).to_pylist() for c in ("a", "a1", "b", "b1")), strict=True):
+        i, j = place[a, a1], place[b, b1]
+        if find(i) == find(j):
+            continue
+        x, y = flat[offsets[i] : offsets[i + 1]], flat[offsets[j] : offsets[j + 1]]
+        if len(x) > len(y):
+            x, y = y, x
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        common = int((y[at] == x).sum())
+        if 100 * common >= percent * (len(x) + len(y) - common):
+            root[find(i)] = find(j)
+            found.append((a, b))
+    return pa.RecordBatch.from_pydict(
+        {name: pa.array([f[i] for f in found], pa.int64()) for i, name in enumerate("ab")}
+    )
+
+
+_PAIRS = "job long, pairs array<struct<apart:int,a:long,a1:long,b:long,b1:long>>"
+
+
+def _candidates(bucket: int, x: pa.StructArray, y: pa.StructArray, most: int, percent: int):
+    """Pairs of two blocks of a bucket that are near, in different components, not tried, and meet here first."""
+    fx, fy = ({k: side.field(k).to_numpy(zero_copy_only=False) for k in _FACTS} for side in (x, y))
+    bx, by = (side.field("bands").flatten().to_numpy().reshape(-1, BANDS) for side in (x, y))
+    # As unsigned numbers: of negative ones numpy counts the bits of the absolute value.
+    sx, sy = ([f[s].view(np.uint64) for s in ("s0", "s1", "s2", "s3")] for f in (fx, fy))
+    bits = sum(np.bitwise_count(a[:, None] ^ b[None, :]).astype(np.int32) for a, b in zip(sx, sy, strict=True))
+    low = np.minimum(fx["n"][:, None], fy["n"][None, :])
+    high = np.maximum(fx["n"][:, None], fy["n"][None, :])
+    near = (bits <= most) & (100 * low >= percent * high)
+    near &= fx["component"][:, None] != fy["component"][None, :]
+    near &= (fx["tried"][:, None] != fy["d1"][None, :]) & (fy["tried"][None, :] != fx["d1"][:, None])
+    # Both in smaller parts: the pair comes up from either side.
+    near &= fy["main"][None, :] | (fx["d1"][:, None] < fy["d1"][None, :])
+    i, j = np.nonzero(near)
+    first = np.argmax(bx[i] == by[j], axis=1)
+    here = bx[i, first] == bucket
+    i, j = i[here], j[here]
+    order = np.argsort(bits[i, j], kind="stable")
+    i, j = i[order], j[order]
+    return pa.StructArray.from_arrays(
+        [
+            pa.array(bits[i, j].astype(np.int32)),
+            pa.array(fx["rep"][i]),
+            pa.array(fx["d1"][i]),
+            pa.array(fy["rep"][j]),
+            pa.array(fy["d1"][j]),
+        ],
+        ["apart", "a", "a1", "b", "b1"],
+    )
+
+
+_FACTS = ("rep", "d1", "n", "component", "tried", "main", "s0", "s1", "s2", "s3")
+
+
+def _part_jobs(
+    members: DataFrame, buckets: DataFrame, classes: DataFrame, nearest: DataFrame, parts: DataFrame, most: int, percent: int
 ) -> DataFrame:
-    """Candidates within buckets that hold several components: all but the largest against the bucket."""
-    known = members.join(buckets.select("bucket", "size"), "bucket")
+    """Jobs for buckets that hold several components: all but the largest part against the whole bucket."""
+    known = members.join(buckets.select("bucket", "size", "shingles"), "bucket")
     labels = parts.select(F.col("node").alias("rep"), "component")
     known = known.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    by_part = known.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    main = (
+    by_part = known.groupBy("bucket", "component").agg(F.count("*").alias("in_part"))
+    mixed = (
         by_part.groupBy("bucket")
-        .agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top"))
+        .agg(F.count("*").alias("parts"), F.max(F.struct("in_part", "component")).alias("top"))
         .filter("parts > 1")
-        .select("bucket", F.col("top.component").alias("main"))
+        .select("bucket", F.col("top.component").alias("largest"))
     )
-    split = stored(known.join(stored(main, "mixed"), "bucket"), "split")
-    facts = classes.select("rep", "d1", "n", "s0", "s1", "s2", "s3")
-    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK)).alias("block")
-    full = split.join(facts, "rep").withColumn("block", block)
-    fields = F.struct("rep", "d1", "n", "component", "s0", "s1", "s2", "s3")
+    split = known.join(stored(mixed, "mixed"), "bucket").drop("n")
+    tried = nearest.select("rep", "d1", F.col("centre_d1").alias("tried"))
+    facts = classes.select("rep", "d1", "n", "bands", "s0", "s1", "s2", "s3").join(tried, ["rep", "d1"], "left")
+    full = split.join(facts, ["rep", "d1"]).withColumns(
+        {
+            "tried": F.coalesce("tried", "d1"),
+            "main": F.col("component") == F.col("largest"),
+            "block": F.pmod(F.xxhash64("rep", "d1"), _parts_of(F.col("size"), F.col("shingles"))),
+        }
+    )
+    full = stored(full, "split")
 
     def blocks(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("bucket", "block").agg(F.collect_list(fields).alias(name)).drop("block")
+        listed = F.collect_list(F.struct(*_FACTS, "bands")).alias(name)
+        return rows.groupBy("bucket", F.col("block").alias(f"{name}_block")).agg(listed)
 
-    grid = blocks(full.filter("component != main"), "x").join(blocks(full, "y"), "bucket").select("x", "y")
+    grid = blocks(full.filter("not main"), "x").join(blocks(full, "y"), "bucket")
+    grid = grid.select(F.xxhash64("bucket", "x_block", "y_block").alias("job"), "bucket", "x", "y")
 
-    def compare(batches):
-        return _pairs_in_blocks(batches, most_bits, percent)
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, y = batch.column(2)[i].values, batch.column(3)[i].values
+                pairs = _candidates(batch.column(1)[i].as_py(), x, y, most, percent)
+                if len(pairs):
+                    ends = pa.array([0, len(pairs)], pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(i, 1), pa.ListArray.from_arrays(ends, pairs)], ["job", "pairs"]
+                    )
 
-    return grid.mapInArrow(compare, "a long, a1 long, b long, b1 long").distinct()
+    return grid.mapInArrow(run, _PAIRS)
 
 
 def find_links(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Confirmed links ``a, b`` between classes, enough of them to join every component."""
-    most_bits = _estimate_allows(percent / 100)
+    most = _estimate_allows(percent / 100)
     members, buckets = _buckets(classes)
-    facts = classes.select("rep", "d1", "n", "s0", "s1", "s2", "s3")
-    with_centre = members.join(buckets, "bucket").filter("rep != centre")
-    pairs = with_centre.select(
-        F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")
-    ).distinct()
-    near = (
-        pairs.join(facts.alias("x"), F.col("a") == F.col("x.rep"))
-        .join(facts.alias("y"), F.col("b") == F.col("y.rep"))
-        .filter(_alike("x", "y", percent) & _near("x", "y", most_bits))
-        .select("a", F.col("x.d1").alias("a1"), "b", F.col("y.d1").alias("b1"))
-    )
-    links = _confirm(near, docs, percent)
+    nearest = _nearest_centres(members, buckets, classes, most, percent)
+    links = _verify(_centre_jobs(nearest), docs, percent)
     parts = stored(components(links), "parts")
-    rest = stored(_across_parts(members, buckets, classes, parts, most_bits, percent), "rest")
-    return links if rest.isEmpty() else links.union(_confirm(rest, docs, percent))
+    return links.union(_verify(_part_jobs(members, buckets, classes, nearest, parts, most, percent), docs, percent))
 
 
 def near_duplicates(
