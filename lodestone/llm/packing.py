@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from lodestone.session import stored
 
 LENGTH = 2048
 END = 1  # the id that closes a document
-_REMEMBERED = 400_000  # words whose ids a task keeps
+_REMEMBERED = 600_000  # words whose ids a task keeps
 
 _TOKENS = "doc_id long, part int, before long, n_tokens long, ids array<int>"
 _PIECES = (
@@ -38,8 +39,9 @@ _PARTS = "sequence_id long, offset long, ids array<int>, doc_ids array<long>, st
 class WordEncoder:
     """Ids of whole texts by a tokenizer that drops white space and so works word by word.
 
-    Each distinct word is tokenized once and remembered; texts are put together
-    from the ids of their words.
+    It also splits between letters and marks, so a word and the marks around it
+    are looked up each on their own. Each distinct word is tokenized once and
+    remembered; texts are put together from the ids of their words.
     """
 
     def __init__(self, path: str):
@@ -48,25 +50,39 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-        self.known: dict[int, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known words by sorted hash: where their ids begin in ``flat``, and how many they are."""
+        self.hashes = np.zeros(0, np.uint64)
+        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        found = [one.ids for one in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        begin = len(self.flat) + np.cumsum(count) - count
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(count.sum()))])
+        every = np.concatenate([self.hashes, hashes])
+        order = np.argsort(every, kind="stable")
+        self.hashes = every[order]
+        self.begin = np.concatenate([self.begin, begin])[order]
+        self.count = np.concatenate([self.count, count])[order]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each closed by ``END``, and the offsets between texts."""
         data, offsets = text_bytes(texts)
-        hashes, before, starts, ends = word_hashes(data, offsets)
+        hashes, before, starts, ends = word_hashes(data, offsets, split_marks=True)
         distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > _REMEMBERED:
-            self.known.clear()
-        fresh = [i for i, h in enumerate(distinct.tolist()) if h not in self.known]
-        spans = zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist(), strict=True)
-        words = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in spans]
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        for h, one in zip(distinct[fresh].tolist(), found, strict=True):
-            self.known[h] = np.array(one.ids, np.int32)
-        pieces = [self.known[h] for h in distinct.tolist()]
-        lengths = np.array([len(p) for p in pieces], np.int64)
-        flat = np.concatenate(pieces) if pieces else np.zeros(0, np.int32)
-        flat_at = np.cumsum(lengths) - lengths
+        if len(self.hashes) > _REMEMBERED:
+            self._forget()
+        new = first[~np.isin(distinct, self.hashes, assume_unique=True)]
+        if len(new):
+            raw = data.tobytes()
+            spans = zip(starts[new].tolist(), ends[new].tolist(), strict=True)
+            self._learn(hashes[new], [raw[a:b].decode("utf-8", "replace") for a, b in spans])
+        slot = np.searchsorted(self.hashes, distinct)
+        lengths, flat_at, flat = self.count[slot], self.begin[slot], self.flat
         # Words in order, and END after the last word of each text.
         per_word = lengths[place]
         upto = np.concatenate([[0], np.cumsum(per_word)])

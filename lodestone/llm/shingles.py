@@ -12,6 +12,12 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[0x21:0x7F] = True
+_MARK[ord("'")] = False
+_MARK &= ~_LETTER
 _BYTE = np.random.default_rng(5).integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x5851F42D4C957F2D)
 
@@ -43,12 +49,19 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """A hash per word, lower-cased in A-Z; the number of words before each text; words' starts and ends."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, split_marks: bool = False) -> tuple[np.ndarray, ...]:
+    """A hash per word, lower-cased in A-Z; the number of words before each text; words' starts and ends.
+
+    With ``split_marks`` a word also ends between a letter of a-z and a digit or
+    mark of ASCII, but for the apostrophe.
+    """
     inside = ~_SPACE[data]
     fresh = np.ones(len(data), bool)
     fresh[1:] = ~inside[:-1]
     fresh[offsets[:-1][offsets[:-1] < len(data)]] = True
+    if split_marks:
+        letter, mark = _LETTER[data], _MARK[data]
+        fresh[1:] |= letter[:-1] & mark[1:] | mark[:-1] & letter[1:]
     starts = np.flatnonzero(inside & fresh)
     before = np.searchsorted(starts, offsets)
     if not len(starts):
