@@ -129,7 +129,7 @@ _PDF_RESULTS = """
     select 'https://h.example/o/' || l_orderkey as url, count(*) as chunks, count(*) * 2 as vectors,
            case when max(l_returnflag) = 'N' then null when max(l_linestatus) = 'F' then 'chunked'
                 when sum(l_quantity) > 100 then 'embedded' else 'uploaded' end as reached,
-           case when max(l_returnflag) = 'N' then 'Failed to extract text' when max(l_linestatus) = 'F'
+           case when max(l_returnflag) = 'N' then 'no text in the file' when max(l_linestatus) = 'F'
                 or sum(l_quantity) > 100 then 'stopped' end as error
     from lineitem group by l_orderkey"""
 
@@ -323,8 +323,8 @@ def _failed(stage_in: str, doing: str, absent: str) -> str:
         where s.stage = '{stage_in}' and (r.url is null or r.error is not null)"""
 
 
-_CHUNK = ("scraped", "chunked", "chunking", "chunks_count", "No scraped content found", True)
-_EMBED = ("chunked", "embedded", "embedding", "embeddings_count", "No chunks found", False)
+_CHUNK = ("scraped", "chunked", "chunking", "chunks_count", "no text to chunk", True)
+_EMBED = ("chunked", "embedded", "embedding", "embeddings_count", "nothing to embed", False)
 _FIRST = f"""
     c as ({CHECKPOINT_INPUT}),
     f as (select * exclude (rn) from (
@@ -367,9 +367,9 @@ ORACLES = {
         where s.status is distinct from 'completed' and not exists (select 1 from r where r.url = d.url)""",
     "init_pending": f"with {_T} select {_ROW} from s union all {_PENDING}",
     "mark_chunked": _advanced(*_CHUNK),
-    "chunking_failures": _failed("scraped", "chunking", "No scraped content found"),
+    "chunking_failures": _failed("scraped", "chunking", "no text to chunk"),
     "mark_embedded": _advanced(*_EMBED),
-    "embedding_failures": _failed("chunked", "embedding", "No chunks found"),
+    "embedding_failures": _failed("chunked", "embedding", "nothing to embed"),
     "mark_uploaded": f"""
         with {_T}
         select s.url, s.status,

@@ -7,6 +7,7 @@ positions where their element opened and closed.
 
 from __future__ import annotations
 
+from collections import Counter
 from html.entities import html5
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -39,26 +40,33 @@ class PageReader(HTMLParser):
         self.slices: dict[str, list] = {}
         self.hrefs: list[str] = []
         self._open: list[tuple[str, str | None]] = []
+        self._names: Counter[str] = Counter()  # open elements by name
+        self._silent = self._spaced = 0  # open elements of these kinds
         self._pending: list[str] = []
-        self._self_closed: list[str] = []
+        self._self_closed: Counter[str] = Counter()
 
     def _end_string(self) -> None:
         if not self._pending:
             return
         data = "".join(self._pending)
         self._pending.clear()
-        names = {name for name, _ in self._open}
-        if names & SILENT_TAGS:
+        if self._silent:
             return
-        if not data.strip(ASCII_SPACE) and not names & SPACED_TAGS:
+        if not data.strip(ASCII_SPACE) and not self._spaced:
             data = "\n" if "\n" in data else " "
         self.strings.append(data)
 
     def _close_last(self) -> None:
-        _, wanted = self._open.pop()
+        name, wanted = self._open.pop()
+        self._count(name, -1)
         if wanted:
             self.slices[wanted][1] = len(self.strings)
 
+    def _count(self, name: str, change: int) -> None:
+        self._names[name] += change
+        self._silent += change * (name in SILENT_TAGS)
+        self._spaced += change * (name in SPACED_TAGS)
+
     def handle_starttag(self, tag, attrs):
         self._end_string()
         values = {name: value or "" for name, value in attrs}
@@ -72,9 +80,10 @@ class PageReader(HTMLParser):
         if wanted:
             self.slices[wanted] = [len(self.strings), None]
         self._open.append((tag, wanted))
+        self._count(tag, 1)
         if tag in VOID_TAGS:
             self._close_last()
-            self._self_closed.append(tag)
+            self._self_closed[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -82,10 +91,10 @@ class PageReader(HTMLParser):
 
     def handle_endtag(self, tag):
         self._end_string()
-        if tag in self._self_closed:
-            self._self_closed.remove(tag)
+        if self._self_closed[tag]:
+            self._self_closed[tag] -= 1
             return
-        if any(name == tag for name, _ in self._open):
+        if self._names[tag]:
             while self._open[-1][0] != tag:
                 self._close_last()
             self._close_last()

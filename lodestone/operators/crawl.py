@@ -41,13 +41,15 @@ def discover(
 
     def fetched(frontier: DataFrame, depth: int) -> DataFrame:
         known = frontier.join(pages.select("url", "status", "content_type"), "url", "left")
+        # A fetch that was tried again has several rows; one answer of 200 is enough.
+        good = F.coalesce(F.col("status") == 200, F.lit(False))
         return stored(
-            known.select(
-                "url",
-                F.lit(depth).alias("depth"),
-                F.coalesce(F.col("status") == 200, F.lit(False)).alias("listed"),
-                is_html_response("content_type").alias("is_html"),
+            known.groupBy("url")
+            .agg(
+                F.bool_or(good).alias("listed"),
+                F.bool_or(good & is_html_response("content_type")).alias("is_html"),
             )
+            .withColumn("depth", F.lit(depth))
         )
 
     level = fetched(spark.range(1).select(F.lit(start_url).alias("url")), 0)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone import schemas
 from lodestone.operators.chunking import chunk
-from lodestone.operators.embedding import embed
+from lodestone.operators.embedding import vector_record, with_vectors
 from lodestone.operators.selecting import keep_keys
 from lodestone.sources import tables
 
@@ -67,6 +67,16 @@ def read_registry(spark: SparkSession, path: str, docs: DataFrame | None = None)
     return tables.read_latest(spark, path, schemas.REGISTRY, "url", only=docs)
 
 
+def embed_changed_chunks(docs: DataFrame, registry: DataFrame, embedder, run_ts: Column | datetime | str) -> DataFrame:
+    """Chunks of the changed documents with ``values``, or with the ``error`` of their batch."""
+    return with_vectors(chunk(changed_documents(docs, registry), run_ts), embedder)
+
+
+def complete_sources(embedded: DataFrame) -> DataFrame:
+    """Sources all of whose chunks have a vector."""
+    return embedded.groupBy("source").agg(F.count("error").alias("n")).filter("n = 0").select("source")
+
+
 def embed_changed(
     docs: DataFrame,
     registry: DataFrame,
@@ -74,6 +84,8 @@ def embed_changed(
     namespace: str | Column,
     run_ts: Column | datetime | str,
 ) -> DataFrame:
-    """Vectors of the changed documents only; none when nothing changed."""
-    changed = changed_documents(docs, registry)
-    return embed(chunk(changed, run_ts), embedder, namespace)
+    """Vectors of the changed documents only; none when nothing changed.
+
+    Leaves out chunks that failed; ``embed_changed_chunks`` has them as well.
+    """
+    return vector_record(embed_changed_chunks(docs, registry, embedder, run_ts), namespace)

@@ -37,6 +37,9 @@ def _unit_rows(rows: pa.Table) -> tuple[np.ndarray, pa.Table]:
     zeros) are left out of both.
     """
     values = rows.column("values").combine_chunks()
+    lengths = pc.unique(pc.list_value_length(values)).to_pylist()
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of different dimensions: {sorted(lengths)}")
     flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     matrix = flat.reshape(len(values), -1)
     length = np.sqrt((matrix * matrix).sum(axis=1))
@@ -64,6 +67,8 @@ def _candidates(
     matrix, payload = _unit_rows(corpus)
     if not len(matrix):
         return None
+    if matrix.shape[1] != questions.shape[1]:
+        raise ValueError(f"vectors have {matrix.shape[1]} dimensions, questions {questions.shape[1]}")
     # Position of each row in id order, so that ties are settled on integers.
     place = np.empty(len(matrix), dtype=np.int64)
     place[pc.sort_indices(payload.column("id")).to_numpy()] = np.arange(len(matrix))

@@ -156,7 +156,7 @@ def mark_chunked(
     tracked = init_pending(status, discovered)
     ready = stage_gate(discovered, tracked, "chunk")
     changes = _stage_results(
-        ready, results, "chunked", "chunking", "chunks_count", "No scraped content found", run_ts
+        ready, results, "chunked", "chunking", "chunks_count", "no text to chunk", run_ts
     )
     return _advance(tracked, changes, "chunks_count"), _failures(changes)
 
@@ -170,7 +170,7 @@ def mark_embedded(
     """
     ready = stage_gate(discovered, status, "embed")
     changes = _stage_results(
-        ready, results, "embedded", "embedding", "embeddings_count", "No chunks found", run_ts
+        ready, results, "embedded", "embedding", "embeddings_count", "nothing to embed", run_ts
     )
     return _advance(status, changes, "embeddings_count"), _failures(changes)
 
@@ -288,5 +288,7 @@ def first_and_last_update(status: DataFrame) -> DataFrame:
 
 
 def recent_failures(failures: DataFrame, n: int = 5, log_order: str = "write_seq") -> DataFrame:
-    """The newest failures first, those without a time last, ties in log order."""
-    return failures.orderBy(F.desc_nulls_last("timestamp"), F.asc(log_order)).limit(n)
+    """The newest failures first, those without a time last, ties in log order, then by URL and error."""
+    rest = [F.asc(c) for c in ("url", "error") if c in failures.columns]
+    order = [F.desc_nulls_last("timestamp"), F.asc(log_order), *rest]
+    return failures.orderBy(*order).limit(n)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ METRIC = "cosine"
 DEFAULT_NAMESPACE = "prod"
 NAMESPACES = ("prod", "development", "test")
 
-_INDEX = "dimension int, metric string, created_at timestamp_ntz"
+_INDEX = "dimension int, metric string, created_at timestamp_ntz, log string"
 
 
 def one_per_key(rows: DataFrame, key: list[str], order: list[str], newest: bool) -> DataFrame:
@@ -115,8 +117,8 @@ def create_index(
 ) -> None:
     """Start an empty index. An existing one, all namespaces, needs ``confirm=True``.
 
-    The old vectors stay on disk in their own version folder, but no reader
-    looks there any more.
+    Each index keeps its vectors in a folder with a name of its own, which the
+    header holds, so it can't find those of another one, dropped or unfinished.
     """
     if tables.current_version(spark, f"{path}/index") is not None and not confirm:
         raise ValueError("an index exists; pass confirm=True to drop all of its namespaces")
@@ -124,41 +126,63 @@ def create_index(
         F.lit(dimension).alias("dimension"),
         F.lit(metric).alias("metric"),
         as_ntz(run_ts).alias("created_at"),
+        F.lit(_new_log()).alias("log"),
     )
     tables.write_table(header, f"{path}/index")
 
 
+def _new_log() -> str:
+    return f"vectors-{uuid.uuid4().hex}"
+
+
 def _vector_log(spark: SparkSession, path: str) -> str:
-    return f"{path}/vectors-{tables.current_version(spark, f'{path}/index')}"
+    header = index_header(spark, path).first()
+    return f"{path}/{header['log'] if header else 'no-vectors'}"
 
 
 def index_header(spark: SparkSession, path: str) -> DataFrame:
     return tables.read_table(spark, f"{path}/index", _INDEX)
 
 
-def append_vectors(vectors: DataFrame, path: str, write_seq: int) -> int:
+def append_vectors(vectors: DataFrame, path: str, write_seq: int, writer: str = "build") -> int:
     """Store one run's vectors and return how many rows came in.
 
+    Runs are numbered by each ``writer`` on its own; of an id that several have
+    written, the one that began its run last counts. Vectors that don't have the
+    dimension of the index raise before anything is written; an index that isn't
+    there yet is created with the dimension of the first vector.
+
     An id repeated within the run is written once. Repeats are looked for on
     the ids alone, so that vectors with an id of their own, as a rule all, are
     written without a shuffle; pass stored vectors, as they are read twice.
-    Cost follows the run, not the table: earlier runs are not rewritten. The
-    index is created when there is none yet.
+    Cost follows the run, not the table: earlier runs are not rewritten.
     """
     spark = vectors.sparkSession
-    if tables.current_version(spark, f"{path}/index") is None:
-        create_index(spark, path)
     key = ["namespace", "id"]
     rows = vectors.select(*key, "values", "metadata")
+    if tables.current_version(spark, f"{path}/index") is None:
+        first = rows.select(F.size("values").alias("n")).filter("n > 0").first()
+        if first is None:
+            return 0
+        create_index(spark, path, dimension=first["n"])
+    dimension = index_header(spark, path).first()["dimension"]
     seen = Observation()
-    copies = rows.groupBy(*key).agg(F.count("*").alias("n"))
-    counted = copies.observe(seen, F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+    wrong = F.count_if(~F.coalesce(F.size("values") == dimension, F.lit(False))).alias("wrong")
+    copies = rows.groupBy(*key).agg(F.count("*").alias("n"), wrong)
+    counted = copies.observe(
+        seen,
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum("wrong"), F.lit(0)).alias("wrong"),
+    )
     repeated = stored(counted.filter("n > 1").select(*key), "repeated-ids")
+    if seen.get["wrong"]:
+        raise ValueError(f"{seen.get['wrong']} vectors don't have the index's {dimension} dimensions")
     once = one_per_key(
         rows.join(repeated, key, "left_semi"), key, ["values", "metadata"], newest=True
     )
     written = rows.join(repeated, key, "left_anti").unionByName(once)
-    tables.append_log(written, _vector_log(spark, path), write_seq, "namespace")
+    log = _vector_log(spark, path)
+    tables.append_log(written, log, tables.claim_run(spark, log, writer, write_seq), "namespace")
     return seen.get["rows"]
 
 
@@ -168,10 +192,10 @@ def compact_vectors(spark: SparkSession, path: str, write_seq: int) -> None:
     The rewritten vectors become current with the new index version, the last
     thing written.
     """
-    header, current = index_header(spark, path), read_vectors(spark, path)
-    version = tables.next_version(spark, f"{path}/index")
-    tables.append_log(current, f"{path}/vectors-{version}", write_seq, "namespace")
-    tables.write_table(header, f"{path}/index")
+    header, current, log = index_header(spark, path), read_vectors(spark, path), _new_log()
+    number = tables.claim_run(spark, f"{path}/{log}", "compaction", write_seq)
+    tables.append_log(current, f"{path}/{log}", number, "namespace")
+    tables.write_table(header.withColumn("log", F.lit(log)), f"{path}/index")
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:

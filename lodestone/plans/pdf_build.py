@@ -18,7 +18,7 @@ from lodestone.sources import tables
 _CHUNK = f"{schemas.CHUNK}, page int, error string"
 _VECTOR = f"{schemas.CHUNK}, page int, values array<float>, error string"
 
-NO_TEXT = "Failed to extract text"
+NO_TEXT = "no text in the file"
 
 
 def build(

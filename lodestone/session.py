@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# The largest input, as read, that ``spread`` moves.
+SPREAD_BYTES = 256 * 2**20
+
 # Settings worth having on any cluster; sizes follow the data, not the code.
 RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -70,12 +73,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a small input enough partitions for the per-document work after it.
+    """Give a small input a partition per core for the per-document work after it.
 
-    A table of few files (a lone file with one row group cannot be split) would
-    run document parsing in few tasks. Large tables have more files than cores
-    and pass through without a shuffle.
+    A lone file with one row group cannot be split. Only an input that Spark
+    estimates at less than ``SPREAD_BYTES`` is shuffled; how a larger one is
+    split is left to ``spark.sql.files.maxPartitionBytes``.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
-    return df.repartition(wanted) if 0 < files < wanted else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    small = size < SPREAD_BYTES
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if small else df

@@ -6,8 +6,10 @@ Two layouts cover every stage:
   that Spark's committer finished (``_SUCCESS``) is the current one, so a reader
   never sees half a write and a job may read the table it is replacing;
 * a *log* table grows by one ``write_seq`` partition per run. Writing the same
-  run again replaces only its own partition, which makes retries harmless and
-  costs nothing for rows already stored.
+  run again replaces all that its earlier attempt left, in every parent folder,
+  and nothing else, which makes retries harmless and costs nothing for rows
+  already stored. Writers that number their runs on their own get numbers of the
+  log from ``claim_run``, so that none replaces another's rows.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lodestone import schemas
 from lodestone.session import stored
-from lodestone.sources.files import folder_names, glob_paths, path_exists
+from lodestone.sources.files import create_new, delete_folder, folder_names, glob_paths, path_exists
 
 
 def current_version(spark: SparkSession, path: str) -> int | None:
@@ -50,16 +52,42 @@ def write_table(df: DataFrame, path: str) -> int:
 
 
 def append_log(df: DataFrame, path: str, write_seq: int, *partitions: str) -> None:
-    """Add one run's rows. Repeating a ``write_seq`` replaces that run only."""
+    """Add one run's rows. Repeating a ``write_seq`` replaces the whole of that run, and only it.
+
+    What an earlier attempt left is removed first, also in folders the new
+    attempt has no rows for, so ``df`` must not read this run of this log.
+    """
+    spark = df.sparkSession
+    for depth in range(len(partitions) + 1):
+        for left in glob_paths(spark, path + "/*" * depth + f"/write_seq={write_seq}"):
+            delete_folder(spark, left)
     (
         df.withColumn("write_seq", F.lit(write_seq).cast("bigint"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .write.mode("append")
         .partitionBy(*partitions, "write_seq")
         .parquet(path)
     )
 
 
+def claim_run(spark: SparkSession, path: str, writer: str, run: int) -> int:
+    """The number in the log at ``path`` of a writer's own run ``run``.
+
+    The first call takes the next free number, a later one for the same run finds
+    it again. Numbers are taken one at a time by creating a file, so writers at
+    the same time get different ones, and later claims get larger ones.
+    """
+    folder, mine = f"{path}/_runs", f"{writer}.{run}"
+    names = folder_names(spark, folder)
+    held = [int(n.split("--")[0]) for n in names if n.endswith(f"--{mine}")]
+    if held:
+        return held[0]
+    number = max((int(n.split("--")[0]) for n in names), default=0) + 1
+    while not create_new(spark, f"{folder}/{number}"):
+        number += 1
+    create_new(spark, f"{folder}/{number}--{mine}")
+    return number
+
+
 def append_results(df: DataFrame, path: str, write_seq: int) -> None:
     """Add one run's rows, good and failed ones apart, in a single write.
 

@@ -2,38 +2,62 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestone.operators import incremental
+from lodestone.operators import embedding, incremental
 from lodestone.operators.vectors import append_vectors
-from lodestone.session import stored
+from lodestone.session import spread, stored
+from lodestone.sources import tables
 
 
 def ingest_batch(
-    docs: DataFrame, root: str, batch_id: int, embedder, namespace: str, run_ts: datetime | str
+    docs: DataFrame,
+    root: str,
+    batch_id: int,
+    embedder,
+    namespace: str,
+    run_ts: datetime | str,
+    writer: str = "batches",
 ) -> int:
-    """One batch. Replaying it is harmless.
+    """One batch of ``writer``, which numbers its batches. Replaying it is harmless.
 
-    Vectors are stored before the registry. A replay after a loss between the
+    Chunks that fail are logged under ``failures_ingest``; only documents all of
+    whose chunks have vectors are registered, so the others are embedded again
+    when they next come. Vectors are stored before the registry. A replay after a loss between the
     two finds the documents still changed and replaces its own partition; a
     replay after both finds nothing changed and writes nothing.
     """
     spark = docs.sparkSession
-    # A batch may come from one file; its documents are spread over all cores.
-    docs = docs.repartition(spark.sparkContext.defaultParallelism)
+    docs = spread(docs)
     registry = incremental.read_registry(spark, f"{root}/registry", docs)
-    fresh = stored(incremental.embed_changed(docs, registry, embedder, namespace, run_ts))
-    if fresh.isEmpty():
+    embedded = stored(incremental.embed_changed_chunks(docs, registry, embedder, run_ts), "embedded")
+    if embedded.isEmpty():
         return 0
-    written = append_vectors(fresh, f"{root}/index", batch_id)
-    entries = incremental.registry_entries(fresh)
-    incremental.write_registry(entries, f"{root}/registry", batch_id)
+    failed = embedding.embedding_failures(embedded, run_ts)
+    log = f"{root}/failures_ingest"
+    tables.append_failures(failed, log, tables.claim_run(spark, log, writer, batch_id))
+    fresh = embedding.vector_record(embedded, namespace)
+    written = append_vectors(fresh, f"{root}/index", batch_id, writer)
+    complete = incremental.complete_sources(embedded)
+    entries = incremental.registry_entries(
+        fresh.join(complete, F.col("metadata.source") == complete["source"], "left_semi")
+    )
+    log = f"{root}/registry"
+    incremental.write_registry(entries, log, tables.claim_run(spark, log, writer, batch_id))
     return written
 
 
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id Spark gave the stream when its checkpoint was started; a new checkpoint has a new one."""
+    text = spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()["value"]
+    return f"stream-{json.loads(text)['id']}"
+
+
 def ingest_stream(
     docs: DataFrame,
     root: str,
@@ -49,12 +73,15 @@ def ingest_stream(
     ``trigger`` takes the options of ``DataStreamWriter.trigger``.
     """
 
+    checkpoint = f"{root}/stream"
+
     def ingest(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, root, batch_id, embedder, namespace, run_ts)
+        writer = _stream_id(batch.sparkSession, checkpoint)
+        ingest_batch(batch, root, batch_id, embedder, namespace, run_ts, writer)
 
     return (
         docs.writeStream.foreachBatch(ingest)
-        .option("checkpointLocation", f"{root}/stream")
+        .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from lodestone import catalog
 from tests import oracle
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -14,10 +15,10 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.all_queries()) == set(catalog.all_oracles())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.all_queries()))
 def test_query_equals_sql(spark, con, name):
     got = oracle.spark_result(spark, name, SF_DIR)
     assert oracle.difference(got, oracle.sql_result(con, name)) is None

@@ -59,14 +59,14 @@ def test_chunking(spark):
     assert shown(changed) == {
         "ok": ("completed", "chunked", "old error", 5, None, RUN_TS),
         "bad": ("failed", "chunking", "broken", 7, None, RUN_TS),
-        "none": ("failed", "chunking", "No scraped content found", None, None, RUN_TS),
+        "none": ("failed", "chunking", "no text to chunk", None, None, RUN_TS),
         "short": ("completed", "chunked", None, 0, None, RUN_TS),
         "later": ("completed", "embedded", None, 1, 1, OLD),
         "new": ("pending", "discovered", None, None, None, None),
         "other": ("completed", "scraped", None, None, None, None),
     }
     assert sorted((r["url"], r["error"], r["stage"], str(r["timestamp"])) for r in failed.collect()) == [
-        ("bad", "broken", "chunking", RUN_TS), ("none", "No scraped content found", "chunking", RUN_TS),
+        ("bad", "broken", "chunking", RUN_TS), ("none", "no text to chunk", "chunking", RUN_TS),
     ]
     again, none = st.mark_chunked(changed, found, outcome, "2030-01-01 00:00:00")
     assert shown(again) == shown(changed) and none.count() == 0
@@ -78,7 +78,7 @@ def test_embedding_and_upload(spark):
     embedded, failed = st.mark_embedded(status, found, results(spark, [("a", 2, None), ("b", 2, "no service")]), RUN_TS)
     assert shown(embedded) == {
         "a": ("completed", "embedded", None, 2, 2, RUN_TS), "b": ("failed", "embedding", "no service", 2, None, RUN_TS),
-        "c": ("failed", "embedding", "No chunks found", 2, None, RUN_TS),
+        "c": ("failed", "embedding", "nothing to embed", 2, None, RUN_TS),
     }
     assert failed.count() == 2
     uploaded, none = st.mark_uploaded(embedded, found, results(spark, [("a", 2, None)]))
@@ -92,12 +92,12 @@ def test_embedding_and_upload(spark):
 
 def test_pdf_run_stops_where_it_got_to(spark):
     status = table(spark, [("done", "completed", "uploaded", None, 1, 1, OLD), ("again", "failed", "chunked", "old", 4, None, OLD)])
-    rows = [("done", "uploaded", 9, 9, None), ("again", "uploaded", 5, 5, None), ("blank", None, None, None, "Failed to extract text"), ("half", "chunked", 3, None, "no service")]
+    rows = [("done", "uploaded", 9, 9, None), ("again", "uploaded", 5, 5, None), ("blank", None, None, None, "no text in the file"), ("half", "chunked", 3, None, "no service")]
     outcome = spark.createDataFrame(rows, "url string, reached string, chunks bigint, vectors bigint, error string")
     out = shown(st.mark_pdf_run(status, urls(spark, "done", "again", "blank", "half"), outcome, RUN_TS))
     assert out == {
         "done": ("completed", "uploaded", None, 1, 1, OLD), "again": ("completed", "uploaded", "old", 5, 5, RUN_TS),
-        "blank": ("failed", "discovered", "Failed to extract text", None, None, RUN_TS),
+        "blank": ("failed", "discovered", "no text in the file", None, None, RUN_TS),
         "half": ("failed", "chunked", "no service", 3, None, RUN_TS),
     }
 
