@@ -145,6 +145,15 @@ def discover_bfs(spark, sf):
     return found.withColumn("discovered_at", stamp("discovered_at"))
 
 
+def discover_refetched(spark, sf):
+    """A log in which every fetch failed first and good ones are listed twice; each URL comes once."""
+    edges, nodes = _graph(spark, sf)
+    failed = nodes.withColumn("status", F.lit(503))
+    log = stored(nodes.unionByName(failed).unionByName(nodes))
+    found = crawl.discover(stored(edges), log, _START, RUN_TS, max_depth=3)
+    return found.withColumn("discovered_at", stamp("discovered_at"))
+
+
 def discover_page_links(spark, sf):
     """Discovery over the links of the page table, from its first home page."""
     html = _html(spark, sf)
@@ -169,7 +178,7 @@ QUERIES = {
     for f in (
         url_features, page_title, page_links, page_text, http_metadata, ok_pages, expandable_pages,
         pdf_manifest, manifest_counts, pages_to_document, pages_as_documents, number_pages,
-        discover_bfs, discover_page_links, discovery_run,
+        discover_bfs, discover_refetched, discover_page_links, discovery_run,
     )
 }
 
@@ -270,3 +279,4 @@ ORACLES = {
         select url as start_url, 2 as max_depth, {_DOMAIN} as domain, '{RUN_TS}' as discovery_time
         from (select min(url) as url from pages)""",
 }
+ORACLES["discover_refetched"] = ORACLES["discover_bfs"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import functions as F
 
 from lodestone import schemas
@@ -23,6 +25,7 @@ from lodestone.operators import vectors as vec
 from lodestone.plans import corpus_build, discovery, pdf_build
 from lodestone.plans.questions import answer_inputs
 from lodestone.session import scratch_path, spread, stored
+from lodestone.sources import tables
 from lodestone.streaming import ingest
 
 
@@ -55,10 +58,12 @@ def _altered(spark, sf):
 
 
 def _shown(vectors):
-    """Vectors with their first value in place of all."""
+    """Vectors with all their values, in millionths, and metadata as text."""
+    millionths = F.transform("values", lambda v: F.floor(v.cast("double") * 1e6).cast("string"))
     return vectors.select(
-        "namespace", "id", F.col("metadata.source").alias("source"),
-        F.round(F.element_at("values", 1).cast("double"), 6).alias("first_value"),
+        "namespace", "id", F.array_join(millionths, " ").alias("vals"),
+        *[F.col(f"metadata.{c}").alias(c) for c in ("source", "type", "depth", "text")],
+        stamp("metadata.last_modified").alias("last_modified"),
     )
 
 
@@ -135,7 +140,7 @@ def upload_if_empty(spark, sf):
 def recreate_index(spark, sf):
     """A new index starts without the vectors of the old one, in every namespace."""
     path = scratch_path(spark, "index")
-    vec.create_index(spark, path, RUN_TS, dimension=3)
+    vec.create_index(spark, path, RUN_TS, dimension=DIM)
     vec.append_vectors(_vectors(spark, sf), path, write_seq=1)
     vec.create_index(spark, path, RUN_TS, dimension=DIM, confirm=True)
     vec.append_vectors(_altered(spark, sf).filter("write_seq = 3"), path, write_seq=1)
@@ -250,7 +255,7 @@ def changed_documents(spark, sf):
 
 def registry_update(spark, sf):
     """Registry after storing a vector per event of other kinds than click."""
-    events = load(spark, sf, "events").filter("event_type <> 'click' and user_id < value * 10")
+    events = load(spark, sf, "events").filter("event_type <> 'click'")
     vectors = events.select(
         F.format_string("%010d", "event_id").alias("id"),
         F.struct(
@@ -317,6 +322,70 @@ def ingest_stream(spark, sf):
     return vec.vectors_per_document(vec.read_vectors(spark, f"{root}/index"))
 
 
+def ingest_with_failures(spark, sf):
+    """A batch whose embedder is down, then the same documents again."""
+    root = scratch_path(spark, "ingest")
+    docs = documents(spark, sf).drop("doc_id")
+
+    def down(texts):
+        raise RuntimeError("down")
+
+    for batch_id, embedder in enumerate((down, hashing_embedder(DIM))):
+        ingest.ingest_batch(docs, root, batch_id, embedder, "test", RUN_TS)
+    stored_now = vec.vectors_per_document(vec.read_vectors(spark, f"{root}/index"))
+    failed = tables.read_failures(spark, f"{root}/failures_ingest").select(F.col("url").alias("source"), "error")
+    return stored_now.join(failed, "source", "full")
+
+
+def shared_index(spark, sf):
+    """A build and two streams, all at their run 4, in one index; each run is repeated."""
+    path = scratch_path(spark, "index")
+    rows, altered = _vectors(spark, sf), _altered(spark, sf)
+    for _ in range(2):
+        vec.append_vectors(rows, path, 4)
+        vec.append_vectors(altered.filter("write_seq = 2"), path, 4, writer="stream-a")
+        vec.append_vectors(altered.filter("write_seq = 3"), path, 4, writer="stream-b")
+    return _shown(vec.read_vectors(spark, path))
+
+
+class _Lost(corpus_build.Run):
+    """A run that ends before a stage is completed."""
+
+    def finish(self, *_):
+        raise ConnectionError("lost")
+
+
+def stage_retry(spark, sf):
+    """The embedder fails for all, the job is lost before the status is written, the stage runs again."""
+    pages = spread(load(spark, sf, "pages"))
+    root = scratch_path(spark, "corpus")
+    run, lost = (kind(spark, root, RUN_TS) for kind in (corpus_build.Run, _Lost))
+    discovered = pages.select("url")
+    corpus_build.scrape(run, discovered, pages.select("url", "html", F.lit(200).alias("status")))
+    corpus_build.chunk_stage(run, discovered)
+
+    def down(texts):
+        raise RuntimeError("down")
+
+    with contextlib.suppress(ConnectionError):
+        corpus_build.embed_stage(lost, discovered, down)
+    corpus_build.embed_stage(run, discovered, hashing_embedder(DIM))
+    return run.status().select("url", "status", "stage", "error")
+
+
+def answers_with_failures(spark, sf):
+    """Questions of an odd number of characters can't be embedded, and say so."""
+    embed = hashing_embedder(DIM)
+
+    def picky(texts):
+        if any(len(text) % 2 for text in texts):
+            raise RuntimeError("refused")
+        return embed(texts)
+
+    answers = answer_inputs(_questions(spark, sf), _chunk_vectors(spark, sf), picky, "prod", batch=1)
+    return answers.select("query_id", "error", F.col("prompt").isNotNull().alias("has_prompt"))
+
+
 def corpus_run(spark, sf):
     """Scrape, chunk, embed and upload the page table, then the same run again."""
     pages = spread(load(spark, sf, "pages"))
@@ -338,8 +407,8 @@ def pdf_run(spark, sf):
     texts = stored(load(spark, sf, "conversations").select(
         F.concat(F.lit("data/pdfs/"), "conv_id", F.lit(".pdf")).alias("path"),
         (F.col("turn") + 1).cast("int").alias("page"),
-        F.when(F.col("role") == "assistant", F.col("text")).otherwise("").alias("text"),
-    ))
+        F.when(F.col("role") != "system", F.col("text")).otherwise("").alias("text"),
+    ).unionByName(spark.sql("select 'data/pdfs/blank.pdf' as path, 1 as page, '' as text")))
     run = corpus_build.Run(spark, scratch_path(spark, "pdfs"), RUN_TS)
     for _ in range(2):
         pdf_build.build(run, texts.select("path").distinct(), texts, hashing_embedder(DIM), "prod", DIM)
@@ -367,7 +436,8 @@ QUERIES = {
         namespace_stats, vector_upsert, vector_upsert_replacing, vector_table, upload_if_empty,
         recreate_index, validate_vectors, rejected_vectors, vectors_per_document, distinct_ids,
         processed_ids, new_chunks, embed_documents, vector_records, embedding_complete,
-        changed_documents, registry_update, embed_changed, ingest_stream, corpus_run, pdf_run, site_discovery,
+        changed_documents, registry_update, embed_changed, ingest_stream, ingest_with_failures,
+        shared_index, stage_retry, answers_with_failures, corpus_run, pdf_run, site_discovery,
     )
 }
 QUERIES["embed_failures"] = embedding_failures
@@ -383,9 +453,12 @@ _A = """a as (
         select namespace, id, list_transform(vals, lambda x: x + x), source, 2 from v where label < 5
         union all
         select namespace, id || '-new', vals, source, 3 from v where label < 5))"""
-_FIRST_VALUE = "round(vals[1]::double, 6) as first_value"
+_ALL_VALUES = f"""
+    array_to_string(list_transform(vals, lambda x: floor(x::double * 1e6)::bigint::varchar), ' ') as vals,
+    'html' as type, 0 as depth, 'text of ' || regexp_replace(id, '^v|-new$', '', 'g') as text,
+    '{RUN_TS}' as last_modified"""
 _UPSERTED = f"""
-    select namespace, id, source, {_FIRST_VALUE} from (
+    select namespace, id, source, {_ALL_VALUES} from (
         select *, row_number() over (partition by namespace, id order by seq desc) as rn
         from (select namespace, id, vals, source, 0 as seq from v union all select * from a))
     where rn = 1"""
@@ -459,9 +532,9 @@ ORACLES = {
     "vector_upsert": f"with {_V}, {_A} {_UPSERTED}",
     "vector_upsert_replacing": f"""
         with {_V}, {_A}, w as (select * from a where seq = 3)
-        select namespace, id, source, {_FIRST_VALUE} from v
+        select namespace, id, source, {_ALL_VALUES} from v
         where not exists (select 1 from w where w.namespace = v.namespace and w.source = v.source)
-        union all select namespace, id, source, {_FIRST_VALUE} from w""",
+        union all select namespace, id, source, {_ALL_VALUES} from w""",
     "vector_table": f"with {_V}, {_A} {_UPSERTED}",
     "upload_if_empty": f"""
         with {_V} select 'test' as namespace, count(*) + count(*) filter (label < 5) as vector_count,
@@ -469,7 +542,7 @@ ORACLES = {
     "recreate_index": f"""
         with {_V} select namespace, count(*) as vector_count, {DIM} as dimension, 'cosine' as metric
         from v where label < 5 group by namespace""",
-    "validate_vectors": f"with {_V} select namespace, id, source, {_FIRST_VALUE} from v where label > 1",
+    "validate_vectors": f"with {_V} select namespace, id, source, {_ALL_VALUES} from v where label > 1",
     "rejected_vectors": f"""
         with {_V} select source as url,
             'vector ' || id || ' has ' || case label when 0 then 63 else 0 end || ' values instead of {DIM}' as error,
@@ -505,7 +578,7 @@ ORACLES = {
         with r as ({_REGISTRY}), n as (
             select 'https://h.example/u/' || user_id as url, max(ts) as last_modified, count(*) as vector_count,
                    max(printf('%010d', event_id)) as last_vector_id
-            from events where event_type <> 'click' and user_id < value * 10 group by user_id)
+            from events where event_type <> 'click' group by user_id)
         select url, {stamp_sql("last_modified")} as last_modified, vector_count, last_vector_id
         from (select * from n union all select * from r where url not in (select url from n))""",
     "embed_changed": f"""
@@ -516,6 +589,18 @@ ORACLES = {
     "ingest_stream": f"""
         with recursive {DOCS}, {chunk_ctes("docs")}
         select source, count(*) as embeddings_count from chunks group by source""",
+    "ingest_with_failures": f"""
+        with recursive {DOCS}, {chunk_ctes("docs")}
+        select source, count(*) as embeddings_count, 'down' as error from chunks group by source""",
+    "shared_index": f"""
+        with {_V}, {_A}, w as (select * from a where seq = 2)
+        select namespace, id, source, {_ALL_VALUES} from v where label >= 5
+        union all select namespace, id, source, {_ALL_VALUES} from w
+        union all select namespace, id, source, {_ALL_VALUES} from a where seq = 3""",
+    "stage_retry": "select url, 'completed' as status, 'embedded' as stage, null as error from pages",
+    "answers_with_failures": """
+        select item_id as query_id, case when length(text) % 2 = 1 then 'refused' end as error,
+               length(text) % 2 = 0 as has_prompt from benchmark""",
     "corpus_run": """
         select url, 'completed' as status, 'uploaded' as stage, null as error,
                true as chunks_stored, true as vectors_stored
@@ -524,7 +609,8 @@ ORACLES = {
 ORACLES["pdf_run"] = f"""
     with recursive turns as (
         select 'data/pdfs/' || conv_id || '.pdf' as path, turn,
-               case when role = 'assistant' then text else '' end as body from conversations),
+               case when role <> 'system' then text else '' end as body from conversations
+        union all select 'data/pdfs/blank.pdf', 0, ''),
     pdf_docs as (select path || '#' || turn as url, body as text from turns where body <> ''),
     {chunk_ctes("pdf_docs")},
     n as (select regexp_replace(source, '#.*', '') as url, count(*) as n from chunks group by 1),

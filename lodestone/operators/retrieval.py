@@ -20,12 +20,22 @@ Question: {question}
 Answer:"""
 
 
+def embed_questions(questions: DataFrame, embedder, batch: int = BATCH) -> DataFrame:
+    """Questions with ``values``, or with the ``error`` of their batch; stored, so each is embedded once."""
+    return stored(with_vectors(questions, embedder, batch), "questions")
+
+
 def ask(questions: DataFrame, vectors: DataFrame, embedder, namespace: str, k: int = TOP_K) -> DataFrame:
     """The best chunks of ``namespace`` for a table of (query_id, text) questions.
 
-    The embedded questions are checkpointed, so that each is embedded once.
+    A question that could not be embedded has none; ``embed_questions`` tells why.
     """
-    embedded = stored(with_vectors(questions, embedder, BATCH).filter("error is null"))
+    return best_chunks(embed_questions(questions, embedder), vectors, namespace, k)
+
+
+def best_chunks(embedded: DataFrame, vectors: DataFrame, namespace: str, k: int = TOP_K) -> DataFrame:
+    """The best chunks of ``namespace`` for embedded questions."""
+    embedded = embedded.filter("error is null")
     corpus = vectors.filter(F.col("namespace") == namespace).select(
         "id", "values", "metadata.source", "metadata.text"
     )

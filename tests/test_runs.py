@@ -238,3 +238,43 @@ def test_site_discovery(spark, tmp_path):
         ("http://h/a", 0, False), ("http://h/b", 1, False), ("http://h/d.pdf", 2, True),
     ]
     assert tables.read_table(spark, f"{tmp_path}/discovery_run", schemas.DISCOVERY_RUN).first()["max_depth"] == 2
+
+
+def test_a_retry_replaces_the_whole_attempt(spark, tmp_path):
+    path = str(tmp_path / "log")
+    first = spark.createDataFrame([("a", "bad"), ("b", "bad"), ("c", None)], "url string, error string")
+    second = spark.createDataFrame([("a", None), ("b", None)], "url string, error string")
+    other = spark.createDataFrame([("z", "kept")], "url string, error string")
+    tables.append_results(other, path, 6)
+    tables.append_results(first, path, 7)
+    tables.append_results(second, path, 7)
+    rows = {
+        (r["url"], r["error"], r["write_seq"])
+        for result in ("ok", "failed")
+        for r in tables.read_log(spark, f"{path}/result={result}", "url string, error string").collect()
+    }
+    assert rows == {("a", None, 7), ("b", None, 7), ("z", "kept", 6)}
+
+
+def test_runs_of_several_writers_have_numbers_of_their_own(spark, tmp_path):
+    path = str(tmp_path / "log")
+    claims = [tables.claim_run(spark, path, w, n) for w, n in [("a", 4), ("b", 4), ("a", 4), ("a", 5), ("b", 4)]]
+    assert claims == [1, 2, 1, 3, 2]
+
+
+def test_documents_with_failed_chunks_are_not_registered(spark, tmp_path):
+    root = str(tmp_path)
+    batch = docs(spark, ("a", words("a"), T1), ("b", words("b"), T1))
+    good = hashing_embedder(8)
+
+    def picky(texts):
+        if any("b" in t for t in texts):
+            raise RuntimeError("refused")
+        return good(texts)
+
+    ingest.ingest_batch(batch.filter("url = 'a'"), root, 0, picky, "test", T2)
+    ingest.ingest_batch(batch, root, 1, picky, "test", T2)
+    assert {r["url"] for r in incremental.read_registry(spark, f"{root}/registry").collect()} == {"a"}
+    assert {(r["url"], r["error"]) for r in tables.read_failures(spark, f"{root}/failures_ingest").collect()} == {("b", "refused")}
+    ingest.ingest_batch(batch, root, 2, good, "test", T2)
+    assert {r["metadata"]["source"] for r in vectors.read_vectors(spark, f"{root}/index").collect()} == {"a", "b"}

@@ -131,3 +131,26 @@ def test_answers_for_every_question(spark):
     assert got[2]["sources"] is None
     none = questions.answer_inputs(asked, stored, hashing_embedder(32), "prod", 2)
     assert {r["sources"] for r in none.collect()} == {None}
+
+
+def test_a_vector_of_another_dimension_is_refused(spark, tmp_path):
+    path = str(tmp_path / "index")
+    vectors.create_index(spark, path, RUN_TS, dimension=2)
+    with pytest.raises(ValueError, match="2 dimensions"):
+        vectors.append_vectors(rows(spark, [("a", "1", 1.0, "s")]), path, 1)
+    assert vectors.read_vectors(spark, path).count() == 0
+
+
+def test_a_new_index_does_not_find_an_unfinished_compaction(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "index")
+    vectors.append_vectors(rows(spark, [("a", "1", 1.0, "s")]), path, 1)
+
+    def lost(*_):
+        raise ConnectionError
+
+    with monkeypatch.context() as m:
+        m.setattr(vectors.tables, "write_table", lost)
+        with pytest.raises(ConnectionError):
+            vectors.compact_vectors(spark, path, 2)
+    vectors.create_index(spark, path, RUN_TS, dimension=1, confirm=True)
+    assert vectors.read_vectors(spark, path).count() == 0
