@@ -50,21 +50,26 @@ def _alike(q) -> list:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer rows; floating point where nothing can be lost."""
+    """Exact inner products of integer rows: in floating point where nothing can be lost, and
+    in numbers of any size where 64 bits may not do."""
     if a.size == 0 or b.size == 0:
         return np.zeros((len(a), len(b)), np.int64)
-    most = float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1]
+    most = np.abs(a.astype(np.float64)).max() * np.abs(b.astype(np.float64)).max() * a.shape[1]
     if most < 2.0**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    if most >= 2.0**63:
-        raise OverflowError("inner products beyond 64 bits")
-    return a @ b.T
+    return a @ b.T if most < 2.0**61 else a.astype(object) @ b.T.astype(object)
+
+
+def _long(numbers: np.ndarray) -> np.ndarray:
+    """As 64-bit numbers; what is beyond them becomes the nearest."""
+    most = 2**63 - 1
+    return np.clip(numbers, -most, most).astype(np.int64)
 
 
 def bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """The most each query can score in each block, given the blocks' least and greatest values."""
     positive, negative = np.maximum(queries, 0), np.minimum(queries, 0)
-    return products(positive, high) + products(negative, low)
+    return _long(products(positive, high) + products(negative, low))
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -97,7 +102,7 @@ class _Search:
                 self._score(rows, *blocks[b])
 
     def _score(self, rows: np.ndarray, ids: np.ndarray, matrix: np.ndarray) -> None:
-        scores = products(self.matrix[rows], matrix)
+        scores = _long(products(self.matrix[rows], matrix))
         hits = scores >= self.floor[rows, None]
         for r, row, good in zip(rows, scores, hits, strict=True):
             take = np.flatnonzero(good & (ids != self.ids[r]))
@@ -235,7 +240,8 @@ def top_k(
     row is no candidate; ties go to the smaller id; a query with fewer candidates
     has fewer rows. Vectors that are null or hold a null or non-finite component,
     and rows without an id, take no part. Vectors meet only those with as many
-    dimensions. Rows that share an id are scored each and as queries share one
+    dimensions. Scores and components beyond 64 bits become the nearest number
+    of 64 bits. Rows that share an id are scored each and as queries share one
     list. No rows: no rows.
     """
     ranges, group_bounds = build_ranges(quantized(vectors, id_col, vector))
