@@ -162,9 +162,9 @@ def keep_identified(
     model = model or learn(docs, id_col, text, lang)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def clear(texts):
-        return texts.map(lambda t: not shared.value.predict(t)[2])
+    @F.arrow_udf("boolean")
+    def clear(texts: pa.Array) -> pa.Array:
+        return pa.array([not shared.value.predict(t.as_py())[2] for t in texts], pa.bool_())
 
     rows = docs.select(whole_row(docs).alias("row"), F.col(text).cast("string").alias("text"))
     return rows.filter(clear("text")).select("row.*")
