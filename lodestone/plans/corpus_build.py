@@ -76,13 +76,28 @@ def _by_url(sources: DataFrame, *columns) -> DataFrame:
     return sources.groupBy(F.col("source").alias("url")).agg(*columns)
 
 
-def scrape(run: Run, discovered: DataFrame, fetched: DataFrame) -> None:
+def _pdf_documents(run: Run, page_texts: DataFrame, due: DataFrame) -> DataFrame:
+    """The PDFs that are due, put together from their pages; one without text is an error."""
+    texts = keep_keys(page_texts.select("url", "page", "text"), due, "url").withColumnRenamed("url", "path")
+    return pages.pages_to_document(texts).select(
+        F.col("path").alias("url"),
+        "text",
+        pages.classify_document("path").alias("type"),
+        as_ntz(run.run_ts).alias("last_modified"),
+        F.lit(None).cast("array<string>").alias("links"),
+        F.when(F.col("text") == "", "no text in the file").alias("error"),
+    )
+
+
+def scrape(run: Run, discovered: DataFrame, fetched: DataFrame, page_texts: DataFrame | None = None) -> None:
     """Parse the pages that are due; text, links and errors come of one pass.
 
-    ``fetched`` is (url, status, html[, last_modified]).
+    ``fetched`` is (url, status, html[, last_modified]). PDFs are no pages to
+    parse: their texts come from ``page_texts`` (url, page, text). A URL with
+    neither html nor page texts is logged as a failure.
     """
     due = status.stage_gate(discovered, run.status(), "scrape")
-    html = keep_keys(pages.ok_pages(fetched), due, "url")
+    html = keep_keys(pages.ok_pages(fetched).filter("html is not null"), due, "url")
     if "last_modified" not in html.columns:
         html = html.withColumn("last_modified", as_ntz(run.run_ts))
     parsed = pages.parse_pages(html.select("url", "html", "last_modified")).withColumns(
@@ -91,7 +106,10 @@ def scrape(run: Run, discovered: DataFrame, fetched: DataFrame) -> None:
             "type": pages.classify_document("url"),
         }
     )
-    tables.append_results(schemas.conform(parsed, _PAGE), run.path("pages"), run.write_seq)
+    content = schemas.conform(parsed, _PAGE)
+    if page_texts is not None:
+        content = content.unionByName(schemas.conform(_pdf_documents(run, page_texts, due), _PAGE))
+    tables.append_results(content, run.path("pages"), run.write_seq)
     content = run.this_stage("pages", _PAGE)
     errors = run.this_stage("pages", _PAGE, "failed")
     before = run.status()

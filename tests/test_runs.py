@@ -278,3 +278,17 @@ def test_documents_with_failed_chunks_are_not_registered(spark, tmp_path):
     assert {(r["url"], r["error"]) for r in tables.read_failures(spark, f"{root}/failures_ingest").collect()} == {("b", "refused")}
     ingest.ingest_batch(batch, root, 2, good, "test", T2)
     assert {r["metadata"]["source"] for r in vectors.read_vectors(spark, f"{root}/index").collect()} == {"a", "b"}
+
+
+def test_pdfs_of_a_web_build_come_from_their_page_texts(spark, tmp_path):
+    run = corpus_build.Run(spark, str(tmp_path), T1)
+    urls = ["http://h/a", "http://h/b.pdf", "http://h/c.pdf", "http://h/d.pdf"]
+    found = spark.createDataFrame([(u,) for u in urls], "url string")
+    fetched = spark.createDataFrame([(u, 200, "<p>page</p>" if u[-1] == "a" else None) for u in urls], "url string, status int, html string")
+    texts = [("http://h/b.pdf", 2, "two"), ("http://h/b.pdf", 1, "one "), ("http://h/c.pdf", 1, " ")]
+    corpus_build.scrape(run, found, fetched, spark.createDataFrame(texts, "url string, page int, text string"))
+    stage = {r["url"]: r["stage"] for r in run.status().filter("status = 'completed'").collect()}
+    assert stage == {"http://h/a": "scraped", "http://h/b.pdf": "scraped"}
+    assert {r["url"]: r["error"] for r in corpus_build.all_failures(run).collect()} == {
+        "http://h/c.pdf": "no text in the file", "http://h/d.pdf": "no content returned",
+    }
