@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.session import stored
@@ -11,6 +13,18 @@ from lodestone.session import stored
 HOT_SHARE = 1024
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 8 * 2**20):
+    """Arrow batches of about ``size`` bytes for what is stored inside, so that workers stay small."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def words(text: Column | str) -> Column:
     """Number of runs of anything but ASCII white space; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import attach_groups, components, fold, whole_row
+from lodestone.llm.common import attach_groups, components, fold, small_batches, whole_row
 from lodestone.llm.shingles import byte_slices, mix64, shingle_sets
 from lodestone.session import stored
 
@@ -184,7 +184,8 @@ def _verify(jobs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     joined already is skipped. The joins with texts and sets are planned as
     shuffled ones at every size, as they must be at full scale.
     """
-    jobs = stored(jobs, "jobs")
+    with small_batches(docs.sparkSession):
+        jobs = stored(jobs, "jobs")
     ends = F.array_union(
         F.transform("pairs", lambda p: F.struct(p["a"].alias("doc_id"), p["a1"].alias("d1"))),
         F.transform("pairs", lambda p: F.struct(p["b"].alias("doc_id"), p["b1"].alias("d1"))),
@@ -202,7 +203,8 @@ def _verify(jobs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 yield _confirm(batch.column(0)[i].values, batch.column(1)[i].values, percent)
 
     both = jobs.join(held.hint("merge"), "job").select("pairs", "sets")
-    return stored(both.mapInArrow(run, "a long, b long"), "links")
+    with small_batches(docs.sparkSession):
+        return stored(both.mapInArrow(run, "a long, b long"), "links")
 
 
 def _confirm(pairs: pa.StructArray, sets: pa.StructArray, percent: int) -> pa.RecordBatch:
@@ -344,7 +346,8 @@ def near_duplicates(
     nothing, have no component, and are kept. No rows: no rows.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), fold(text).alias("text"))
-    signed = stored(slim.mapInArrow(_sign, _SIG), "signatures")
+    with small_batches(docs.sparkSession):
+        signed = stored(slim.mapInArrow(_sign, _SIG), "signatures")
     part = F.expr("n_shingles > 0 and doc_id is not null")
     linkable, alone = signed.filter(part), signed.filter(~part)
     shape = [F.first(c).alias(c) for c in ("bands", "s0", "s1", "s2", "s3")]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import fold
+from lodestone.llm.common import fold, small_batches
 from lodestone.llm.shingles import byte_slices, text_bytes, word_hashes
 from lodestone.session import stored
 
@@ -59,7 +59,15 @@ class WordEncoder:
         self.flat = np.zeros(0, np.int32)
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        found = [one.ids for one in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        # A word of a-z is one piece to the tokenizer and goes to its model as it is.
+        plain = [w.isascii() and w.isalpha() for w in words]
+        model = self.tokenizer.model
+        others = [w for w, p in zip(words, plain, strict=True) if not p]
+        encoded = self._encoded(others)
+        found = [
+            [t.id for t in model.tokenize(w.lower())] if p else next(encoded)
+            for w, p in zip(words, plain, strict=True)
+        ]
         count = np.fromiter(map(len, found), np.int64, len(found))
         begin = len(self.flat) + np.cumsum(count) - count
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(count.sum()))])
@@ -69,6 +77,13 @@ class WordEncoder:
         self.begin = np.concatenate([self.begin, begin])[order]
         self.count = np.concatenate([self.count, count])[order]
 
+    def _encoded(self, words: list[str]):
+        """Ids of words, a few thousand at a time: an encoding is much larger than its word."""
+        for start in range(0, len(words), 4_096):
+            part = words[start : start + 4_096]
+            for one in self.tokenizer.encode_batch_fast(part, add_special_tokens=False):
+                yield one.ids
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each closed by ``END``, and the offsets between texts."""
         data, offsets = text_bytes(texts)
@@ -117,7 +132,8 @@ def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str
                 total += int(offsets[-1])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), fold(text).alias("text"))
-    return stored(slim.mapInArrow(run, _TOKENS), "tokens")
+    with small_batches(docs.sparkSession):
+        return stored(slim.mapInArrow(run, _TOKENS), "tokens")
 
 
 def placed(tokens: DataFrame) -> DataFrame:
@@ -229,7 +245,8 @@ def pack_sequences(
             yield _part_batch([window()])
 
     parts = placed(tokenized(docs, tokenizer, id_col, text)).mapInArrow(run, _PARTS)
-    parts = stored(parts, "windows")
+    with small_batches(docs.sparkSession):
+        parts = stored(parts, "windows")
     order = F.sort_array(F.collect_list(F.struct("offset", "ids", "doc_ids", "starts")))
     crossing = parts.filter("not whole").groupBy("sequence_id").agg(order.alias("p"))
     stitched = crossing.select(
