@@ -183,9 +183,9 @@ ORACLES = {
         l as (
             select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b
             where 100 * c >= 85 * (x.n + y.n - c)),
-        both as (select a, b from l union all select b, a from l),
+        sides as (select a, b from l union all select b, a from l),
         r(doc_id, id) as (
-            select doc_id, doc_id from n union select both.a, r.id from r join both on both.b = r.doc_id)
+            select doc_id, doc_id from n union select sides.a, r.id from r join sides on sides.b = r.doc_id)
         select n.doc_id, n as n_shingles, min(id) as component_id, n.doc_id = min(id) as kept
         from n join r on r.doc_id = n.doc_id group by n.doc_id, n""",
 }
