@@ -27,7 +27,7 @@ BANDS, ROWS = 24, 5
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 256
 CENTRES = 4  # orders in which buckets choose their centre
-BLOCK = 128  # classes of a bucket compared at a time, about
+BLOCK = 512  # classes of a bucket compared at a time, about
 BLOCK_SHINGLES = 500_000  # and their shingles
 
 _SIG = (
