@@ -15,9 +15,13 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import attach_groups, fold, whole_row
 from lodestone.session import stored
 
-# A chunk ends at white space after one of a few letters, or at its greatest length.
-LEAST, MOST = 400, 4000
-_CUT = r"(?s).{%d,%d}?(?:(?<=[aent.])\s|\z)|(?s).{1,%d}" % (LEAST, MOST, MOST)
+# A chunk ends where the low bits of the last nine characters' codes spell a fixed
+# pattern, at about one place in 512, or at its greatest length. Characters beyond
+# ASCII count as even.
+LEAST, MOST = 64, 4000
+_ODD = r"\x01\x03\x05\x07\t\x0B\r!#%')+/13579;=?ACEGIKMOQSUWY\[\]_acegikmoqsuwy{}"
+_BITS = "".join(f"[{_ODD}]" if bit == "1" else f"[^{_ODD}]" for bit in "101100101")
+_CUT = rf"(?s).{{{LEAST},{MOST}}}?(?:(?<={_BITS})|\z)|(?s).{{1,{MOST}}}"
 
 
 def chunks(text: Column) -> Column:
