@@ -37,11 +37,12 @@ _CLOSES_P = frozenset(
     "h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()
 )
 _ARTICLE = frozenset(["article", "main"])
+# What an element calls itself: one whole name of its class, id, or role, not a part such as "has-sidebar" has.
 _APART_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav\w*|breadcrumbs?|footer|"
-    r"masthead|comments?|replies|disqus|cookies?|consent|gdpr|notice|alert|newsletter|subscribe|signup|popup|modal|"
-    r"overlay|share|sharing|social|related|recommend\w*|widget|pagination|pager|toolbar|skip|login|search|copyright|"
-    r"disclaimer|tags)(?:$|[\s_-])",
+    r"(?<!\S)(?:ads?|advert[a-z]*|adsense|sponsor[a-z]*|promo[a-z]*|banner|sidebar|side|menu|nav(?:s|bar|igation)?|"
+    r"breadcrumbs?|footer|masthead|comments?|replies|disqus|cookies?|consent|gdpr|notice|alert|newsletter|subscribe|"
+    r"signup|popup|modal|overlay|share|sharing|social|related|recommend[a-z]*|widget|pagination|pager|toolbar|skip|"
+    r"login|search|copyright|disclaimer|tags)(?!\S)",
     re.IGNORECASE,
 )
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)|<[!?/][^>]*(?:>|\Z)", re.DOTALL)
@@ -77,33 +78,45 @@ def tokens(page: str) -> list[Token]:
     """The tokens of a page, in one pass; comments and raw elements such as scripts are left out.
 
     ``apart`` marks what stands in an element that is no part of an article by
-    its name or by its class, id, or role. Elements left open are closed by what
-    must close them: a paragraph by the next block, others by their parent's end.
+    its name or by its class, id, or role. A class, id, or role never sets apart
+    what is or holds an ``article`` or ``main``, and no form does that holds one.
+    Elements left open are closed by what must close them: a paragraph by the
+    next block, others by their parent's end.
     """
     found: list[Token] = []
-    open_: list[tuple[str, bool, bool]] = []  # name, apart, article
+    open_: list[tuple[str, bool, bool, bool, int]] = []  # name, apart, article, doubtful, first token
     blocks: list[str] = []  # those of them that are no inline elements
     counts: Counter = Counter()
+    doubtful: list[int] = []  # first tokens of open elements that are apart unless an article follows in them
+    edges: Counter = Counter()  # tokens where those that held none begin, less those where they end
     deep_apart = deep_article = 0
     at, n = 0, len(page)
 
-    def push(name, apart, article):
+    def push(name, apart, article, doubt):
         nonlocal deep_apart, deep_article
-        open_.append((name, apart, article))
+        open_.append((name, apart, article, doubt, len(found)))
         if name not in _INLINE:
             blocks.append(name)
         counts[name] += 1
         deep_apart += apart
         deep_article += article
+        if article:
+            doubtful.clear()
+        elif doubt:
+            doubtful.append(len(found))
 
     def pop():
         nonlocal deep_apart, deep_article
-        name, apart, article = open_.pop()
+        name, apart, article, doubt, first = open_.pop()
         if name not in _INLINE:
             blocks.pop()
         counts[name] -= 1
         deep_apart -= apart
         deep_article -= article
+        if doubt and doubtful and doubtful[-1] == first:
+            doubtful.pop()
+            edges[first] += 1
+            edges[len(found)] -= 1
         return name
 
     def text(raw):
@@ -141,21 +154,27 @@ def tokens(page: str) -> list[Token]:
             found.append(Token("tag", name, article=deep_article > 0, apart=True))
             continue
         labels = " ".join(next(filter(None, x), "") for x in _NAMES.findall(page, tag.end(), at))
-        apart = name in _APART or bool(labels and _APART_NAMES.search(labels)) and name not in ("body", "html")
+        apart = name in _APART and name != "form"
+        doubt = name == "form" or bool(labels and _APART_NAMES.search(labels)) and name not in ("body", "html")
         article = name in _ARTICLE
         # A header may open an article; its heading is then part of it.
         if name == "header" and deep_article:
-            apart = False
+            apart = doubt = False
         if name not in _VOID:
-            push(name, apart, article)
-        kind = name + (":apart" if apart else "")
-        found.append(Token("tag", kind, article=deep_article > 0, apart=deep_apart > 0))
+            push(name, apart, article, doubt and not apart and not article)
+        found.append(Token("tag", name, article=deep_article > 0, apart=deep_apart > 0))
+    while open_:
+        pop()
+    inside = 0
+    for i, token in enumerate(found if edges else ()):
+        inside += edges.get(i, 0)
+        token.apart = token.apart or inside > 0
     return found
 
 
 def kind_of(token: Token) -> str:
     """What a token is to the weights: its place, and whether it stands apart."""
-    return f"{token.kind} {token.name.removesuffix(':apart')}{' apart' if token.apart else ''}"
+    return f"{token.kind} {token.name}{' apart' if token.apart else ''}"
 
 
 def count_kinds(page: str) -> tuple[bool, dict[str, list[int]]]:
@@ -264,7 +283,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 
 
 def _breaks(token: Token) -> bool:
-    return token.kind == "tag" and token.name.removesuffix(":apart") not in _INLINE
+    return token.kind == "tag" and token.name not in _INLINE
 
 
 def extract(

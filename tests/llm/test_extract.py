@@ -46,6 +46,43 @@ def test_articles(weights, body, text):
     assert extract.main_text(page(body), weights) == text
 
 
+WRAPPERS = [
+    "page has-sidebar", "layout no-sidebar", "content with-sidebar", "side-by-side", "comments-open", "nav-open",
+    "main content menu-fixed", "navy", "sidebar", "widget post",
+]
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+@pytest.mark.parametrize("attribute", ["class", "id"])
+def test_labels_of_wrappers_leave_a_named_article_whole(weights, name, attribute):
+    label = f'{attribute}="{name}"'
+    body = "<h1>Title</h1><p>One two three.</p><div class=ad>no</div><p>Four five."
+    whole = "Title\n\nOne two three.\n\nFour five."
+    bare = f"<nav>home</nav><article>{body}</article><div class=comments>nice</div><footer>end</footer>"
+    assert extract.main_text(f"<body><div {label}><p>before</p>{bare}</div></body>", weights) == whole
+    for kind in ("article", "main"):
+        assert extract.main_text(f"<body><{kind} {label}>{body}</{kind}><footer>end</footer>", weights) == whole
+    nested = f"<main><div class='widget'><article {label}>{body}</article></div></main>"
+    assert extract.main_text(f"<body><section {label}>{nested}</section>", weights) == whole
+
+
+@pytest.mark.parametrize("name", [n for n in WRAPPERS if n not in ("sidebar", "widget post")])
+def test_labels_inside_an_article_are_whole_names(weights, name):
+    text = extract.main_text(page(f"<p>One two.</p><div class='{name}'><p>Three four.</p></div>"), weights)
+    assert text == "One two.\n\nThree four."
+
+
+def test_a_form_around_the_article_leaves_it_whole(weights):
+    html = "<body><form id=all><nav>home</nav><article><p>One two.</p><form>no</form></article></form></body>"
+    assert extract.main_text(html, weights) == "One two."
+
+
+def test_what_is_apart_ends_with_its_element():
+    html = "<div class=menu>a<div class='x comments'>b</div>c</div><div class=side>d<main>e<b class=ad>f</b></main>g</div>h"
+    apart = {t.text for t in extract.tokens(html + "<div class=ad>i") if t.kind == "word" and t.apart}
+    assert apart == {"a", "b", "c", "f", "i"}
+
+
 def test_pages_that_name_no_article_are_read_by_their_weights(weights):
     html = (
         "<body><header>Site</header><div id='menu'><a href=/>home</a> <a href=/a>about</a></div>"
