@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 from hashlib import blake2b
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -110,10 +111,31 @@ def _build_sets(batches):
             )
 
 
+def band_miss(similarity: float) -> float:
+    """The chance that a pair has no band in common."""
+    return (1 - similarity**ROWS) ** BANDS
+
+
+def sketch_miss(similarity: float) -> np.ndarray:
+    """For each number of bits from 0 on, the chance that the sketches of a pair differ in more.
+
+    Each sample that differs, one in ``1 - similarity``, flips two bits anywhere,
+    and bits flipped twice agree again: the distribution is followed flip by flip.
+    """
+    differ = np.zeros(SKETCH_BITS + 1)
+    odd = np.eye(1, SKETCH_BITS + 1)[0]
+    bits = np.arange(SKETCH_BITS + 1)
+    for d in range(SAMPLES + 1):
+        differ += comb(SAMPLES, d) * (1 - similarity) ** d * similarity ** (SAMPLES - d) * odd
+        for _ in range(2):
+            up, down = odd * (SKETCH_BITS - bits) / SKETCH_BITS, odd * bits / SKETCH_BITS
+            odd = np.append(0, up[:-1]) + np.append(down[1:], 0)
+    return np.append(np.cumsum(differ[:0:-1])[::-1], 0)
+
+
 def _estimate_allows(threshold: float) -> int:
-    """The most bits in which sketches of a pair at the threshold may differ, by about five deviations."""
-    low = max(0.0, threshold - 0.17)
-    return int(SKETCH_BITS / 2 * (1 - np.exp(-4 * SAMPLES * (1 - low) / SKETCH_BITS)) + 1)
+    """The fewest bits so that sketches lose a pair at the threshold more rarely than bands, and than one in a million."""
+    return int(np.argmax(sketch_miss(threshold) <= min(band_miss(threshold), 1e-6)))
 
 
 def _apart(a: str, b: str) -> Column:

@@ -80,6 +80,25 @@ def test_sketches_estimate_and_never_exceed_two_bits_per_sample():
     assert bits.max() <= 24 and 15 < bits.mean() < 24
 
 
+def test_sketches_lose_fewer_pairs_at_the_threshold_than_bands():
+    import numpy as np
+
+    for percent in (50, 80, 85, 86, 90, 99, 100):
+        share = percent / 100
+        most = neardup._estimate_allows(share)
+        missed = neardup.sketch_miss(share)
+        assert missed[most] <= min(neardup.band_miss(share), 1e-6)
+        assert most == 0 or missed[most - 1] > min(neardup.band_miss(share), 1e-6)
+    # The distribution is the one that sketches have.
+    draw = np.random.default_rng(6)
+    a = draw.integers(0, 2**63, (40_000, neardup.SAMPLES), np.uint64)
+    b = np.where(draw.random(a.shape) < 0.85, a, draw.integers(0, 2**63, a.shape, np.uint64))
+    bits = np.bitwise_count((neardup.sketches(a) ^ neardup.sketches(b)).view(np.uint64)).sum(axis=1)
+    for most in (20, 30, 40, 46):
+        chance = neardup.sketch_miss(0.85)[most]
+        assert abs((bits > most).mean() - chance) < 5 * (chance * (1 - chance) / len(bits)) ** 0.5
+
+
 def test_one_document_of_each_group_stays_with_all_columns(spark):
     rows = corpus(4)
     kept = neardup.drop_near_duplicates(frame(spark, rows))
