@@ -100,15 +100,25 @@ def _sign(batches):
 
 
 def _build_sets(batches):
+    """One set per id and digest, as far as the rows of an id lie together."""
+    last, seen = None, set()
     for batch in batches:
         for rows in byte_slices(batch, 1):
             hashes, offsets = shingle_sets(rows.column(1))
             spans = zip(offsets[:-1], offsets[1:], strict=True)
             firsts = [_digest(hashes[a:b])[0] if b > a else 0 for a, b in spans]
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays(
+            fresh = []
+            for i, key in enumerate(zip(rows.column(0).to_pylist(), firsts, strict=True)):
+                if key[0] != last:
+                    last, seen = key[0], set()
+                if key not in seen:
+                    seen.add(key)
+                    fresh.append(i)
+            made = pa.RecordBatch.from_arrays(
                 [rows.column(0), pa.array(firsts, pa.int64()), lists], ["doc_id", "d1", "hashes"]
             )
+            yield made if len(fresh) == made.num_rows else made.take(pa.array(fresh, pa.int64()))
 
 
 def band_miss(similarity: float) -> float:
@@ -204,7 +214,9 @@ def _verify(jobs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     A job's sets are brought together once, whatever the number of its pairs.
     Pairs are taken nearest first, and one that earlier links of the job have
     joined already is skipped. The joins with texts and sets are planned as
-    shuffled ones at every size, as they must be at full scale.
+    shuffled ones at every size, as they must be at full scale; the merge join
+    with texts leaves the rows of an id together, so that a row repeated gives
+    a job one set.
     """
     with small_batches(docs.sparkSession):
         jobs = stored(jobs, "jobs")

@@ -115,6 +115,32 @@ def test_missing_and_repeated_ids(spark):
     )
 
 
+def test_a_row_repeated_gives_one_set():
+    import pyarrow as pa
+
+    texts = ["a b c d e f", "other words"] * 50
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([7] * 100 + [8], pa.int64()), "text": [*texts, texts[0]]})
+    rows = [r for b in neardup._build_sets([batch, batch.slice(100)]) for r in b.to_pylist()]
+    assert [(r["doc_id"], len(r["hashes"])) for r in rows] == [(7, 2), (7, 1), (8, 2)]
+
+
+def test_jobs_get_one_set_of_an_id_repeated(spark, monkeypatch):
+    draw = random.Random(9)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(base))] * 40 + [(2, " ".join(edited(draw, base, 1)))] * 40
+    most = spark.sparkContext.accumulator(0)
+    confirm = neardup._confirm
+
+    def counted(pairs, sets, percent):
+        most.add(len(sets))
+        return confirm(pairs, sets, percent)
+
+    monkeypatch.setattr(neardup, "_confirm", counted)
+    found = neardup.near_duplicates(frame(spark, rows).repartition(4)).collect()
+    assert sorted(map(tuple, found)) == [(1, 196, 1, True)] * 40 + [(2, 196, 1, False)] * 40
+    assert most.value == 2
+
+
 def test_no_rows_and_no_words(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
     found = neardup.near_duplicates(frame(spark, [(1, ""), (2, None), (3, " \n")])).collect()
