@@ -5,14 +5,16 @@ from __future__ import annotations
 import string
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
 from lodestone.catalog.frames import load
-from lodestone.llm import exact, extract, language, mixing, neardup, packing, quality, sharding, topk, warc
+from lodestone.llm import bpe, exact, extract, language, mixing, neardup, packing, quality, sharding, topk, warc
 from lodestone.session import scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SHARD_BYTES = 16 * 2**20
 
 _WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
@@ -60,6 +62,13 @@ def op10_near_dedup(spark, sf):
     return neardup.near_duplicates(load(spark, sf, "documents"))
 
 
+def op11_bpe(spark, sf):
+    encoded = bpe.encode(load(spark, sf, "documents"), RANKS, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, RANKS).select(
+        "doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_pack": op1_pack,
@@ -72,6 +81,7 @@ QUERIES = {
     "op8_shard": op8_shard,
     "op9_topk": op9_topk,
     "op10_near_dedup": op10_near_dedup,
+    "op11_bpe": op11_bpe,
 }
 
 # DuckDB has no base32: the 160 bits of a SHA-1 are spelled five at a time.

@@ -16,7 +16,7 @@ def con():
 
 def test_the_queries_are_registered():
     assert set(catalog.QUERIES) <= set(entry.queries())
-    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"op1_pack", "op2_language", "op6_quality", "pipeline"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"op1_pack", "op2_language", "op6_quality", "op11_bpe", "pipeline"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
