@@ -6,14 +6,15 @@ token; any other begins as its bytes, and of the neighbours whose joint bytes ar
 the vocabulary the pair of least rank, the leftmost of equals, becomes one token,
 until no such pair is left.
 
-Each task runs DuckDB over its own rows. Words are rows of positions and tokens; a
-round of the recursive query joins neighbours with the merge table and contracts
-the least pair of every word. All equal pairs of a word are contracted in one round
-where that can't change the result: what comes of a contraction must not make a pair
-of lower rank (``alone`` marks those where it could; of these one goes at a time).
-Words that are done drop out of the recursion. Distinct words are encoded once per
-task and remembered; documents are put together from their words. Decoding joins
-tokens with the vocabulary and aggregates their bytes in order.
+Each task runs DuckDB over its own rows. Words are rows of a position, its token and
+the token that follows; a round of the recursive query joins them with the merge table
+and contracts the least pair of every word. All equal pairs of a word are contracted in
+one round where that can't change the result: what comes of a contraction must not make
+a pair of lower rank (``alone`` marks those where it could; of these one goes at a time),
+and of pairs that share a token the left one goes first (``clash``). Words that are done
+drop out of the recursion. Distinct words are encoded once per task and remembered;
+documents are put together from their words. Decoding joins tokens with the vocabulary
+and aggregates their bytes in order.
 
 Memory is bounded by the longest text and not by the table: words are taken in
 slices of a text, positions go through a query in bounded numbers, and what is
@@ -46,32 +47,38 @@ ENCODED = "doc_id long, ids array<int>"
 DECODED = "doc_id long, n_tokens long, ids_le binary, decoded binary"
 
 _CONTRACT = """
-    with recursive state(round, word, pos, next, token) as (
-        select 0, word, pos, next, token from start
+    with recursive state(round, word, pos, next, token, follower) as (
+        select 0, word, pos, next, token, follower from start
         union all
         (with pair as (
-            select a.word, a.pos, b.pos as gone, b.next, m.id, m.alone
-            from state a
-            join state b on b.word = a.word and b.pos = a.next
-            join merges m on m.l = a.token and m.r = b.token
-            where a.round < $rounds),
+            select s.word, s.pos, s.next as gone, m.id, m.alone, m.clash
+            from state s join merges m on m.l = s.token and m.r = s.follower
+            where s.round < $rounds),
         least as (select word, min(id) as id from pair group by word),
-        equal as (
-            select pair.*, row_number() over w as k, lag(gone) over w is distinct from pos as fresh
-            from pair join least using (word, id)
+        equal as (select pair.* from pair join least using (word, id)),
+        listed as (
+            select *, row_number() over w as k, lag(gone) over w is distinct from pos as fresh
+            from equal where alone or clash
             window w as (partition by word order by pos)),
         chain as (
             select *, k - max(case when fresh then k end) over (partition by word order by pos) as place
-            from equal),
-        taken as (select * from chain where case when alone then k = 1 else place % 2 = 0 end)
-        select s.round + 1, s.word, s.pos, coalesce(t.next, s.next), coalesce(t.id, s.token)
+            from listed),
+        picked as (
+            select word, pos, gone, id from equal where not (alone or clash)
+            union all
+            select word, pos, gone, id from chain where case when alone then k = 1 else place % 2 = 0 end),
+        taken as (
+            select p.word, p.pos, p.gone, p.id, g.next, g.follower
+            from picked p join state g on g.word = p.word and g.pos = p.gone)
+        select s.round + 1, s.word, s.pos, coalesce(t.next, s.next), coalesce(t.id, s.token),
+               coalesce(n.id, case when t.id is null then s.follower else t.follower end)
         from state s
         semi join least l on l.word = s.word
         left join taken t on t.word = s.word and t.pos = s.pos
+        left join taken n on n.word = s.word and n.pos = coalesce(t.next, s.next)
         anti join taken g on g.word = s.word and g.gone = s.pos)
     )
-    select word, pos, next, token, max(round) over (partition by word) as last
-    from state qualify round = last order by word, pos"""
+    select round, word, pos, next, token, follower from state"""
 
 _DECODE = """
     select text, string_agg(v.chars, '' order by t.pos) as chars, count(*) = count(v.id) as known
@@ -91,9 +98,10 @@ def _connect():
 
 
 def merge_table(ranks: dict[bytes, int]) -> pa.Table:
-    """``l, r, id, alone``: all pairs of tokens whose joint bytes are a token.
+    """``l, r, id, alone, clash``: all pairs of tokens whose joint bytes are a token.
 
     ``alone``: the token ``id`` has a neighbour with which it makes a token of lower rank.
+    ``clash``: two pairs that make ``id`` can share a token.
     """
     con = _connect()
     tokens = pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]})
@@ -103,8 +111,10 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
             select a.id as l, b.id as r, t.id
             from tokens t, unnest(range(2, length(t.hex), 2)) as c(cut)
             join tokens a on a.hex = substr(t.hex, 1, cut) join tokens b on b.hex = substr(t.hex, cut + 1)),
-        lower as (select l as id from m where id < l union select r from m where id < r)
-        select m.l, m.r, m.id, lower.id is not null as alone from m left join lower on lower.id = m.id
+        lower as (select l as id from m where id < l union select r from m where id < r),
+        twice as (select distinct a.id from m a join m b on b.l = a.r and b.id = a.id)
+        select m.l, m.r, m.id, lower.id is not null as alone, twice.id is not null as clash
+        from m left join lower on lower.id = m.id left join twice on twice.id = m.id
     """).to_arrow_table()
 
 
@@ -177,26 +187,36 @@ class Encoder:
         n = np.array([len(words[k]) for k in which])
         flat = np.frombuffer(b"".join(words[k] for k in which), np.uint8)
         pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+        token = self.of_byte[flat]
+        follower = np.append(token[1:], np.int32(-1))
+        follower[np.cumsum(n) - 1] = -1
         state = pa.table(
             {
-                "word": np.repeat(np.array(which, np.int32), n),
+                "word": np.repeat(np.arange(len(which), dtype=np.int32), n),
                 "pos": pos.astype(np.int32),
                 "next": pos.astype(np.int32) + np.int32(1),
-                "token": self.of_byte[flat],
+                "token": token,
+                "follower": follower,
             }
         )
         while state.num_rows:
             rounds = max(1, _STATES // state.num_rows)
             self.con.register("start", state)
-            after = self.con.sql(_CONTRACT, params={"rounds": rounds}).to_arrow_table()
+            every = self.con.sql(_CONTRACT, params={"rounds": rounds}).to_arrow_table()
             self.con.unregister("start")
-            last = after.column("last").to_numpy()
-            done = last < rounds
-            word, token = after.column("word").to_numpy()[done], after.column("token").to_numpy()[done]
-            numbers, first = np.unique(word, return_index=True)
-            for k, a, b in zip(numbers.tolist(), first, [*first[1:], len(word)], strict=False):
-                found[k] = token[a:b]
-            state = after.filter(pa.array(~done)).drop_columns(["last"])
+            # A word's last round has its tokens; one that used all rounds goes on from there.
+            of, number = every.column("round").to_numpy(), every.column("word").to_numpy()
+            last = np.full(len(which), -1, np.int32)
+            np.maximum.at(last, number, of)
+            kept = of == last[number]
+            state = every.filter(pa.array(kept & (of == rounds))).drop_columns(["round"])
+            done = kept & (of < rounds)
+            number, place, token = (every.column(c).to_numpy()[done] for c in ("word", "pos", "token"))
+            order = np.lexsort((place, number))
+            number, token = number[order], token[order]
+            finished, first = np.unique(number, return_index=True)
+            for k, a, b in zip(finished.tolist(), first, [*first[1:], len(number)], strict=False):
+                found[which[k]] = token[a:b]
 
     def _ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of known words, one after the other, and the number of ids before each word and in all."""
