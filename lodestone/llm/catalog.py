@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from lodestone.catalog.frames import load
-from lodestone.llm import bpe, exact, extract, language, mixing, neardup, packing, quality, sharding, topk, warc
+from lodestone.llm import bpe, codes, exact, extract, language, mixing, neardup, packing, quality, sharding, topk, warc
 from lodestone.session import scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -69,6 +69,12 @@ def op11_bpe(spark, sf):
     )
 
 
+def op12_codes(spark, sf):
+    return codes.compress(load(spark, sf, "embeddings")).select(
+        "vec_id", "code", "error", "label_error", "codebooks_sha256"
+    )
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_pack": op1_pack,
@@ -82,6 +88,7 @@ QUERIES = {
     "op9_topk": op9_topk,
     "op10_near_dedup": op10_near_dedup,
     "op11_bpe": op11_bpe,
+    "op12_codes": op12_codes,
 }
 
 # DuckDB has no base32: the 160 bits of a SHA-1 are spelled five at a time.
@@ -90,6 +97,28 @@ _BASE32 = """array_to_string(list_transform(range(0, 32), lambda i:
         (((instr('0123456789abcdef', substr(hex, ((5 * i + j) // 4 + 1)::int, 1)) - 1)
           >> (3 - (5 * i + j) % 4)::int) & 1) << (4 - j)::int))::int, 1)), '')"""
 
+def _nearest(name: str, books: str) -> str:
+    """Each part with its least distance to an entry, and the first entry that has it."""
+    return f"""
+        {name} as (
+            select p.vec_id, p.part, p.x, min(struct_pack(gap := list_sum(list_transform(
+                       list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint, entry := b.entry)) as near
+            from parts p join {books} b on b.part = p.part group by p.vec_id, p.part, p.x)"""
+
+
+def _moved(name: str, books: str, near: str) -> str:
+    """Entries at the floor of their parts' mean; ``%`` takes the sign of the sum."""
+    return f"""
+        {name} as (
+            select b.part, b.entry, coalesce(m.x, b.x) as x
+            from {books} b left join (
+                select part, near.entry as entry, list_transform(range(1, len(any_value(x)) + 1), lambda i:
+                           (list_sum(list_transform(list(x), lambda v: v[i]))
+                            - (list_sum(list_transform(list(x), lambda v: v[i])) % count(*) + count(*)) % count(*))
+                           // count(*)) as x
+                from {near} group by part, near.entry) m on m.part = b.part and m.entry = b.entry)"""
+
+
 ORACLES = {
     "op3_warc": f"""
         with p as (
@@ -176,6 +205,28 @@ ORACLES = {
         select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank,
                vec_id, score
         from s qualify rank <= 20""",
+    "op12_codes": f"""
+        with v as (
+            select vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q
+            from embeddings
+            where embedding is not null
+              and list_count(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+        parts as (
+            select vec_id, p as part, q[p * (len(q) // 16) + 1 : (p + 1) * (len(q) // 16)] as x
+            from v, range(0, 16) r(p)),
+        b0 as (
+            select part, row_number() over (partition by part order by vec_id) - 1 as entry, x
+            from parts qualify entry < 64),
+        {_nearest("n0", "b0")}, {_moved("b1", "b0", "n0")}, {_nearest("n1", "b1")}, {_moved("b2", "b1", "n1")},
+        {_nearest("n2", "b2")},
+        c as (
+            select vec_id, string_agg(printf('%02x', near.entry), '' order by part) as code,
+                   sum(near.gap)::bigint as error
+            from n2 group by vec_id)
+        select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error,
+               (select sha256(string_agg(array_to_string(x, ','), ',' order by part, entry)) from b2)
+               as codebooks_sha256
+        from c join v using (vec_id)""",
     "op10_near_dedup": rf"""
         with recursive w as (
             select doc_id, regexp_extract_all(
