@@ -10,7 +10,21 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from lodestone.catalog.frames import load
-from lodestone.llm import bpe, codes, exact, extract, language, mixing, neardup, packing, quality, sharding, topk, warc
+from lodestone.llm import (
+    bpe,
+    codes,
+    exact,
+    extract,
+    language,
+    merkle,
+    mixing,
+    neardup,
+    packing,
+    quality,
+    sharding,
+    topk,
+    warc,
+)
 from lodestone.session import scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -75,6 +89,22 @@ def op12_codes(spark, sf):
     )
 
 
+def op13_manifest(spark, sf):
+    found = merkle.manifest(
+        load(spark, sf, "documents"),
+        fields=["doc_id", "source", "lang", "n_chars", "text"],
+        tree="lang",
+        order="doc_id",
+        changed={"n_chars": F.col("r.n_chars") + 1},
+        changed_where=F.crc32(F.col("r.doc_id").cast("string")) % 7 == 0,
+    )
+    folded = merkle.fold(F.coalesce("changed_leaf", "leaf"), F.col("path")).alias("folded_root")
+    shown = found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), folded
+    )
+    return shown.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_pack": op1_pack,
@@ -89,6 +119,7 @@ QUERIES = {
     "op10_near_dedup": op10_near_dedup,
     "op11_bpe": op11_bpe,
     "op12_codes": op12_codes,
+    "op13_manifest": op13_manifest,
 }
 
 # DuckDB has no base32: the 160 bits of a SHA-1 are spelled five at a time.
@@ -97,6 +128,20 @@ _BASE32 = """array_to_string(list_transform(range(0, 32), lambda i:
         (((instr('0123456789abcdef', substr(hex, ((5 * i + j) // 4 + 1)::int, 1)) - 1)
           >> (3 - (5 * i + j) % 4)::int) & 1) << (4 - j)::int))::int, 1)), '')"""
 
+# CRC-32 has no function in DuckDB: eight steps of the polynomial per byte, over the digits of an id.
+_CRC32 = """
+    xor(4294967295, list_reduce(list_concat([4294967295::ubigint], list_transform(string_split(doc_id::varchar, ''),
+        lambda c: ascii(c)::ubigint)), lambda h, c: list_reduce(list_concat([xor(h, c)], range(8)::ubigint[]),
+        lambda x, i: xor(x >> 1, (x & 1) * 3988292384))))"""
+
+
+def _field(column: str) -> str:
+    return f"coalesce(strlen({column}::varchar)::varchar || ':' || {column}::varchar, '-')"
+
+
+_LEAF = " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", "text")))
+
+
 def _nearest(name: str, books: str) -> str:
     """Each part with its least distance to an entry, and the first entry that has it."""
     return f"""
@@ -227,6 +272,52 @@ ORACLES = {
                (select sha256(string_agg(array_to_string(x, ','), ',' order by part, entry)) from b2)
                as codebooks_sha256
         from c join v using (vec_id)""",
+    "op13_manifest": f"""
+        with recursive d as (
+            select doc_id, lang, sha256({_LEAF}) as leaf,
+                   sha256({_LEAF.replace("n_chars", "(n_chars + 1)")}) as changed,
+                   {_CRC32} % 7 = 0 as tampered,
+                   row_number() over (partition by lang order by doc_id nulls first) - 1 as idx,
+                   count(*) over (partition by lang) as n
+            from documents),
+        t(lang, level, idx, n, h) as (
+            select lang, 0, idx, n, leaf from d
+            union all
+            select lang, level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' order by idx))
+            from t where n > 1 group by lang, level, idx // 2, n),
+        s as (select lang, level as height, h as subroot, row_number() over (order by lang nulls first) - 1 as idx,
+                     count(*) over () as n from t where n = 1),
+        u(level, idx, n, h) as (
+            select 0, idx, n, subroot from s
+            union all
+            select level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' order by idx))
+            from u where n > 1 group by level, idx // 2, n),
+        -- Every step from a leaf to the root: the slot of the node, and the other node of its run.
+        p as (
+            select d.doc_id, a.level, a.idx % 2 as slot, coalesce(b.h, '') as other
+            from d join t a on a.lang is not distinct from d.lang and a.n > 1 and a.idx = d.idx >> a.level
+            left join t b on b.lang is not distinct from a.lang and b.level = a.level and b.idx = xor(a.idx, 1)
+            union all
+            select d.doc_id, s.height + a.level, a.idx % 2, coalesce(b.h, '')
+            from d join s on s.lang is not distinct from d.lang
+            join u a on a.n > 1 and a.idx = s.idx >> a.level
+            left join u b on b.level = a.level and b.idx = xor(a.idx, 1)),
+        q as (
+            select doc_id, sha256(string_agg(other, '' order by level)) as proof_sha256,
+                   list(slot order by level) as slots, list(other order by level) as others
+            from p group by doc_id),
+        f(doc_id, step, h) as (
+            select doc_id, 1, case when tampered and n_chars is not null then changed else leaf end
+            from d join documents using (doc_id)
+            union all
+            select f.doc_id, step + 1,
+                   sha256(case when slots[step] = 0 then f.h || others[step] else others[step] || f.h end)
+            from f join q using (doc_id) where step <= len(slots)),
+        r as (select h as root from u where n = 1)
+        select d.doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) as proof_sha256,
+               f.h as folded_root, f.h = root as verified
+        from d join s on s.lang is not distinct from d.lang cross join r left join q using (doc_id)
+        join f on f.doc_id = d.doc_id and f.step = coalesce(len(slots), 0) + 1""",
     "op10_near_dedup": rf"""
         with recursive w as (
             select doc_id, regexp_extract_all(
