@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone import schemas
+from lodestone import schemas, session
 from lodestone.operators import manifest
 from lodestone.session import checkpoint_root, scratch_path, spread
 from lodestone.sources import json_files, tables
@@ -111,8 +111,9 @@ def test_log(spark, tmp_path):
         assert sorted(map(tuple, tables.read_latest(spark, path, ddl, "k").collect())) == [("a", 9), ("b", 3), ("c", 4)]
     only = tables.read_latest(spark, path, ddl, "k", only=spark.createDataFrame([("a",)], "k string"))
     assert list(map(tuple, only.collect())) == [("a", 9)]
+    # A repeated run replaces all of its earlier attempt, also by nothing.
     tables.append_log(rows().limit(0), path, 2)
-    assert tables.read_log(spark, path, ddl).count() == 5
+    assert tables.read_log(spark, path, ddl).count() == 3
 
 
 def test_failure_log_keeps_order(spark, tmp_path):
@@ -128,12 +129,20 @@ def test_scratch_space_is_the_sessions_checkpoint_folder(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
 
 
-def test_spread_only_small_inputs(spark, tmp_path):
-    df = spark.range(100)
-    df.repartition(1).write.parquet(str(tmp_path / "one"))
-    df.repartition(12).write.parquet(str(tmp_path / "many"))
-    assert "Repartition" in spread(spark.read.parquet(str(tmp_path / "one")))._jdf.queryExecution().optimizedPlan().toString()
-    assert "Repartition" not in spread(spark.read.parquet(str(tmp_path / "many")))._jdf.queryExecution().optimizedPlan().toString()
+def test_spread_only_small_inputs(spark, tmp_path, monkeypatch):
+    spark.range(100).repartition(1).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+
+    def moved():
+        return "Repartition" in spread(rows)._jdf.queryExecution().optimizedPlan().toString()
+
+    # What counts is the size as Spark estimates it, not the number of files.
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert moved()
+    monkeypatch.setattr(session, "SPREAD_BYTES", size + 1)
+    assert moved()
+    monkeypatch.setattr(session, "SPREAD_BYTES", size)
+    assert not moved()
 
 
 def test_layouts_are_valid(spark):
