@@ -39,7 +39,7 @@ from lodestone.session import stored
 _SLICE = 4_000_000  # bytes of text, or characters of one text, cut into words at once
 _POSITIONS = 400_000  # positions that begin a recursive query
 _STATES = 8 * _POSITIONS  # rows a recursive query may gather; those of a longer word take turns
-_TOKENS = 500_000  # tokens decoded at once
+_TOKENS = 100_000  # tokens decoded at once
 _REMEMBERED = 48_000_000  # bytes of words and ids a task remembers
 _MEMORY = "400MB"  # of a task's database
 
@@ -274,9 +274,10 @@ class Decoder:
         out = [bytearray() for _ in range(len(offsets) - 1)]
         for start in range(int(offsets[0]), int(offsets[-1]), _TOKENS):
             stop = min(start + _TOKENS, int(offsets[-1]))
-            place = np.arange(start, stop)
-            text = np.searchsorted(offsets, place, "right") - 1
-            self.con.register("tokens", pa.table({"text": text, "pos": place, "id": ids[start:stop]}))
+            inside = np.diff(np.clip(offsets, start, stop))  # tokens of each text in this slice
+            text = np.repeat(np.arange(len(inside), dtype=np.int32), inside)
+            pos = np.arange(stop - start, dtype=np.int32)
+            self.con.register("tokens", pa.table({"text": text, "pos": pos, "id": ids[start:stop]}))
             found = self.con.sql(_DECODE).to_arrow_table()
             self.con.unregister("tokens")
             if not all(found.column("known").to_pylist()):
@@ -296,7 +297,7 @@ class Decoder:
         offsets = np.concatenate([[0], np.cumsum(sizes)])
         raw = flat.tobytes()
         le = [raw[4 * a : 4 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        decoded = self.decode(flat.astype(np.int64), offsets)
+        decoded = self.decode(flat.astype(np.int32), offsets)
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sizes), pa.array(le, pa.binary()), pa.array(decoded, pa.binary())],
             [field.split()[0] for field in DECODED.split(", ")],
@@ -348,8 +349,8 @@ def decode(encoded: DataFrame, ranks: str, id_col: str = "doc_id", ids: str = "i
             ends = np.cumsum(sizes)
             start = 0
             while start < batch.num_rows:
-                # Rows with about as many tokens as are decoded at once.
-                most = ends[start] - sizes[start] + _TOKENS
+                # Rows with a few times as many tokens as are decoded at once.
+                most = ends[start] - sizes[start] + 5 * _TOKENS
                 stop = max(start + 1, int(np.searchsorted(ends, most, "right")))
                 yield decoder.rows(batch.slice(start, stop - start))
                 start = stop
