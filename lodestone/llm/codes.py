@@ -73,11 +73,11 @@ def inner_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def integers(rows: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray]:
-    """``floor(scale * x)`` of a matrix as 64-bit integers, and which rows fit in 31 bits."""
+def integers(rows: np.ndarray, scale: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """``floor(scale * x)`` of a matrix as 64-bit integers, and which rows fit in ``bits`` bits."""
     with np.errstate(over="ignore"):
         scaled = np.floor(rows * scale)
-    narrow = (np.abs(scaled) < 2.0**31).all(axis=1)
+    narrow = (np.abs(scaled) < 2.0**bits).all(axis=1)
     return np.where(narrow[:, None], scaled, 0).astype(np.int64), narrow
 
 
@@ -93,8 +93,9 @@ class Coder:
         self.books, self.scale = books, scale
         self.width = books.dims // len(books.entries)
         most = max((abs(v) for part in books.entries for entry in part for v in entry), default=0)
-        # The sum over all parts of a squared distance must fit as well.
-        self.fits = books.dims * (most + 2**31) ** 2 <= _MOST
+        # Of so many bits that squared distances over all parts, dims * (2 * 2**bits)**2, need less than 64.
+        self.bits = (61 - books.dims.bit_length()) // 2
+        self.fits = most <= 2**self.bits
         if self.fits:
             self.small = [np.array(part, np.int64).reshape(len(part), self.width) for part in books.entries]
 
@@ -103,7 +104,7 @@ class Coder:
             yield p, values[:, p * self.width : (p + 1) * self.width]
 
     def assign(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes (rows x parts) and squared distances summed over parts, of integers of 31 bits."""
+        """Codes (rows x parts) and squared distances summed over parts, of integers of ``bits`` bits."""
         codes = np.zeros((len(values), len(self.books.entries)), np.int64)
         error = np.zeros(len(values), np.int64)
         for p, own in self.parts(values):
@@ -149,14 +150,14 @@ def _sums(rows: DataFrame, books: Codebooks, scale: int) -> DataFrame:
         count, sums, big = np.zeros(shape[:2], np.int64), np.zeros(shape, np.int64), {}
         for batch in batches:
             matrix = _matrix(batch.column(0), books.dims)
-            values, narrow = integers(matrix, scale)
+            values, narrow = integers(matrix, scale, coder.bits)
             if not coder.fits:
                 narrow[:] = False
             codes, _ = coder.assign(values[narrow]) if narrow.any() else (np.zeros((0, shape[0]), np.int64), None)
             for p, own in coder.parts(values[narrow]):
                 count[p] += np.bincount(codes[:, p], minlength=shape[1])
                 for place in range(shape[2]):
-                    # Below 2^53, as a batch has less than 2^22 rows.
+                    # Below 2^53, as a batch has less than 2^22 rows and a number at most 30 bits.
                     total = np.bincount(codes[:, p], own[:, place].astype(np.float64), shape[1])
                     sums[p, :, place] += total.astype(np.int64)
             for row in matrix[~narrow]:
@@ -230,7 +231,7 @@ def assigned(rows: DataFrame, books: Codebooks, scale: int = SCALE) -> DataFrame
         coder = Coder(books, scale)
         for batch in batches:
             matrix = _matrix(batch.column(2), books.dims)
-            values, narrow = integers(matrix, scale)
+            values, narrow = integers(matrix, scale, coder.bits)
             if not coder.fits:
                 narrow[:] = False
             texts, errors = np.empty(len(matrix), object), np.empty(len(matrix), object)
