@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,32 @@ def small_batches(spark: SparkSession, size: int = 8 * 2**20):
         spark.conf.set(name, before)
 
 
+def _return_memory() -> None:
+    """Give memory that Python, Arrow, and the C library keep for later back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run):
+    """``run``, for ``mapInArrow``, in a worker that holds little before and after it.
+
+    Spark keeps workers for later tasks, and what they keep counts against the
+    executor while others work.
+    """
+
+    def tidied(batches):
+        _return_memory()
+        try:
+            yield from run(batches)
+        finally:
+            _return_memory()
+
+    return tidied
+
+
 def words(text: Column | str) -> Column:
     """Number of runs of anything but ASCII white space; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

@@ -11,23 +11,26 @@ gives its part as a boundary record, and only these are shuffled.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import fold, small_batches
+from lodestone.llm.common import fold, small_batches, tidy
 from lodestone.llm.shingles import byte_slices, text_bytes, word_hashes
 from lodestone.session import stored
 
 LENGTH = 2048
 END = 1  # the id that closes a document
-_REMEMBERED = 600_000  # words whose ids a task keeps
+_REMEMBERED = 300_000  # words whose ids a task keeps, and the new ones of one slice
+_SLICE = 1_000_000  # bytes of text encoded at once
 
 _TOKENS = "doc_id long, part int, before long, n_tokens long, ids array<int>"
 _PIECES = (
@@ -41,7 +44,9 @@ class WordEncoder:
 
     It also splits between letters and marks, so a word and the marks around it
     are looked up each on their own. Each distinct word is tokenized once and
-    remembered; texts are put together from the ids of their words.
+    remembered; texts are put together from the ids of their words. Names of added
+    tokens in a text are cut out first and get the ids of these tokens, as the
+    tokenizer itself does.
     """
 
     def __init__(self, path: str):
@@ -49,7 +54,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.names = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.added else None
         self._forget()
 
     def _forget(self) -> None:
@@ -86,6 +93,20 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each closed by ``END``, and the offsets between texts."""
+        found = [pc.match_substring(texts, name) for name in self.added]
+        if not any(pc.any(f).as_py() for f in found):
+            return self._encode(texts)
+        # A text in the parts between names; each part ends in END, and all but the last in the name's id instead.
+        split = [self.names.split(t or "") for t in texts.to_pylist()]
+        parts = [part for one in split for part in one[::2]]
+        ids, offsets = self._encode(pa.array(parts, pa.string()))
+        last = np.cumsum([len(one[::2]) for one in split]) - 1
+        inner = np.setdiff1d(np.arange(len(parts)), last)
+        ids[offsets[1:][inner] - 1] = [self.added[name] for one in split for name in one[1::2]]
+        return ids, np.concatenate([[0], offsets[1:][last]])
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` of texts without names of added tokens."""
         data, offsets = text_bytes(texts)
         hashes, before, starts, ends = word_hashes(data, offsets, split_marks=True)
         distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
@@ -116,7 +137,7 @@ def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str
     def run(batches):
         encoder, part, total = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for rows in byte_slices(batch, 1):
+            for rows in byte_slices(batch, 1, _SLICE):
                 ids, offsets = encoder.encode(rows.column(1))
                 n = rows.num_rows
                 yield pa.RecordBatch.from_arrays(
@@ -133,7 +154,7 @@ def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), fold(text).alias("text"))
     with small_batches(docs.sparkSession):
-        return stored(slim.mapInArrow(run, _TOKENS), "tokens")
+        return stored(slim.mapInArrow(tidy(run), _TOKENS), "tokens")
 
 
 def placed(tokens: DataFrame) -> DataFrame:
@@ -189,7 +210,7 @@ def pieces(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
                 [field.split()[0] for field in _PIECES.split(", ")],
             )
 
-    return placed(tokens).mapInArrow(run, _PIECES)
+    return placed(tokens).mapInArrow(tidy(run), _PIECES)
 
 
 def pack_pieces(
@@ -212,7 +233,8 @@ def pack_sequences(
 ) -> DataFrame:
     """The sequences themselves: sequence_id, n_tokens, ids, doc_ids, starts.
 
-    ``starts`` are the places in the sequence where the pieces of ``doc_ids``
+    Null text is empty, rows repeated are packed each, an empty table gives no
+    sequences. ``starts`` are the places in the sequence where the pieces of ``doc_ids``
     begin. Only the last sequence can be short: it is padded to ``length`` with
     ``pad``, unless its length is a power of two.
     """
@@ -244,7 +266,7 @@ def pack_sequences(
         if held:
             yield _part_batch([window()])
 
-    parts = placed(tokenized(docs, tokenizer, id_col, text)).mapInArrow(run, _PARTS)
+    parts = placed(tokenized(docs, tokenizer, id_col, text)).mapInArrow(tidy(run), _PARTS)
     with small_batches(docs.sparkSession):
         parts = stored(parts, "windows")
     order = F.sort_array(F.collect_list(F.struct("offset", "ids", "doc_ids", "starts")))

@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -15,9 +17,7 @@ SCHEMA = "doc_id long, text string, ids string, part string, first int"
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    made = Tokenizer.from_file(PATH)
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(PATH)
 
 
 def frame(spark, rows):
@@ -26,13 +26,39 @@ def frame(spark, rows):
 
 def test_encoder_gives_the_tokenizer_s_ids_for_any_text(tokenizer):
     draw = random.Random(4)
-    letters = [*"aAbzZsStm'’.,-#1 9\t\né—ñ…ß́ 日本‍<|>Σς\x85\x1c☃😀\0", "'s", "'LL", "<|endoftext|>", "it's"]
+    letters = [*"aAbzZsStm'’.,-#1 9\t\né—ñ…ß́ 日本‍<|>Σς\x85\x1c☃😀\0", "'s", "'LL", "<|endoftext|>", "it's", "<|startoftext|>", "<|ENDOFTEXT|>"]
     texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 30))) for _ in range(1500)]
     ids, offsets = packing.WordEncoder(PATH).encode(pa.array([*texts, None]))
     for text, a, b in zip([*texts, ""], offsets[:-1], offsets[1:], strict=True):
         assert ids[a:b].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, packing.END]
 
 
+def test_names_of_added_tokens_have_their_ids(tokenizer):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|><|endoftext|>", "plain", "", "<|end oftext|>"]
+    ids, offsets = packing.WordEncoder(PATH).encode(pa.array([*texts, None]))
+    got = [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    assert got == [[*tokenizer.encode(t, add_special_tokens=False).ids, packing.END] for t in [*texts, ""]]
+    assert got[0] == [320, 49407, 321, packing.END]
+
+
+def test_a_worker_stays_small():
+    """What is remembered, and what one slice needs, is bounded however many texts come."""
+    code = f"""
+import random, resource, sys
+import pyarrow as pa
+from lodestone.llm import packing
+draw = random.Random(1)
+encoder = packing.WordEncoder({PATH!r})
+base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for _ in range(25):
+    words = ["".join(draw.choices("etaoinshr", k=9)) for _ in range(100_000)]
+    encoder.encode(pa.array([" ".join(words)]))
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)
+"""
+    grown = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert grown < 200
+
+
 def texts(n):
     draw = random.Random(n)
     vocabulary = ["the", "pack", "of", "wolves,", "ran", "thndering", "ñu.", "7", "ouest"]

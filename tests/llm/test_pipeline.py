@@ -57,7 +57,7 @@ def test_stages_match_plain_versions(spark, docs):
     last = {r[1]: r for r in rows}
     rows = apply("exact_dedup", rows)
     assert rows == sorted(last.values())
-    stay = {i for i, _, _, kept in components([r[:2] for r in rows]) if kept}
+    stay = {i for i, _, _, kept in components([r[:2] for r in rows], 80) if kept}
     before, rows = rows, apply("near_dedup", rows)
     assert rows == [r for r in before if r[0] in stay] and len(rows) < len(before)
     taken = {r["doc_id"]: r["taken"] for r in mixing.mix_sizes(spark.createDataFrame(rows, SCHEMA)).collect()}
