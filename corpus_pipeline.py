@@ -55,7 +55,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them; null is a source of its own.
 
-    A text without words, null or empty, has no size and is not taken. No documents: none.
+    A text without words, null or empty, has no size and counts nothing. No documents: none.
     """
     return mixing.mix(docs)
 

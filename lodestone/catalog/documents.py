@@ -137,11 +137,11 @@ QUERIES = {
 }
 
 
-def combine_ctes(min_words: int = _MIN_WORDS) -> str:
+def combine_ctes(min_words: int = _MIN_WORDS, docs: str = DOCS) -> str:
     """The fold over each section in URL order, one recursion step per document."""
     base = base_path_sql("url")
     return f"""
-    {DOCS},
+    {docs},
     counted as (
         select *, {base} as base, len({words_sql("text")}) as n_words,
                len({words_sql("'From ' || url || ':'")}) as heading,
@@ -168,8 +168,15 @@ def combine_ctes(min_words: int = _MIN_WORDS) -> str:
                 where f.grp is not null)"""
 
 
+LOST = "exists (select 1 from lost l where l.base = m.base and l.grp = m.grp)"
+MERGED_TEXT = (
+    "'Combined content from ' || base || ':' || chr(10) || chr(10) || "
+    "string_agg(chr(10) || 'From ' || url || ':' || chr(10) || text || chr(10), '' order by pos)"
+)
+
+
 def _merged_sql(keep_pending: bool) -> str:
-    lost = "false" if keep_pending else "exists (select 1 from lost l where l.base = m.base and l.grp = m.grp)"
+    lost = "false" if keep_pending else LOST
     return f"""
         with recursive {combine_ctes()}
         select url, text, type, cast(null as varchar) as sources, false as combined,

@@ -7,16 +7,18 @@ import contextlib
 from pyspark.sql import functions as F
 
 from lodestone import schemas
-from lodestone.catalog.documents import CHUNK_ID, chunk_ctes
+from lodestone.catalog.documents import CHUNK_ID, LOST, MERGED_TEXT, chunk_ctes, combine_ctes
 from lodestone.catalog.frames import (
     DIM,
     DOCS,
     RUN_TS,
+    URL_OF_DOC,
     documents,
     from_sql,
     load,
     stamp,
     stamp_sql,
+    trim_sql,
     words_sql,
 )
 from lodestone.functions.embedders import hashing_embedder
@@ -337,6 +339,39 @@ def ingest_with_failures(spark, sf):
     return stored_now.join(failed, "source", "full")
 
 
+def index_replacing(spark, sf):
+    """All documents, then all again: English ones revised, French ones cut too short for a chunk."""
+    root = scratch_path(spark, "ingest")
+    docs = documents(spark, sf).drop("doc_id")
+    revised = F.concat(F.lit("Revised. "), "text")
+    text = F.when(F.col("lang") == "en", revised).when(F.col("lang") == "fr", "gone").otherwise(F.col("text"))
+    year = F.when(F.col("lang").isin("en", "fr"), F.make_ym_interval(F.lit(1))).otherwise(F.make_ym_interval())
+    later = docs.withColumns({"text": text, "last_modified": F.col("last_modified") + year})
+    for batch_id, batch in enumerate((docs, later)):
+        ingest.ingest_batch(batch, root, batch_id, hashing_embedder(DIM), "test", RUN_TS, replace_sources=True)
+    return vec.read_vectors(spark, f"{root}/index").select(
+        "id", "metadata.source", "metadata.text", stamp("metadata.last_modified").alias("last_modified")
+    )
+
+
+def merged_run(spark, sf):
+    """A build over all documents as PDF pages, small ones merged by section before they are chunked."""
+    docs = documents(spark, sf)
+    texts = docs.select("url", F.lit(1).alias("page"), "text")
+    fetched = docs.select("url", F.lit(200).alias("status"), F.lit(None).cast("string").alias("html"))
+    run = corpus_build.Run(spark, scratch_path(spark, "corpus"), RUN_TS)
+    corpus_build.build(
+        run, docs.select("url"), fetched, hashing_embedder(DIM), "prod", DIM, page_texts=texts, merged=True
+    )
+    into = tables.read_latest(spark, run.path("lineage"), schemas.LINEAGE, "url").select("url", "source")
+    counts = vec.vectors_per_document(vec.read_vectors(spark, run.path("index"))).toDF("source", "stored")
+    rows = run.status().join(into, "url", "left").join(counts, "source", "left")
+    return rows.select(
+        "url", "source", "status", "stage", "error", "chunks_count", "embeddings_count",
+        F.coalesce("stored", F.lit(0)).alias("stored"),
+    )
+
+
 def shared_index(spark, sf):
     """A build and two streams, all at their run 4, in one index; each run is repeated."""
     path = scratch_path(spark, "index")
@@ -437,7 +472,7 @@ QUERIES = {
         recreate_index, validate_vectors, rejected_vectors, vectors_per_document, distinct_ids,
         processed_ids, new_chunks, embed_documents, vector_records, embedding_complete,
         changed_documents, registry_update, embed_changed, ingest_stream, ingest_with_failures,
-        shared_index, stage_retry, answers_with_failures, corpus_run, pdf_run, site_discovery,
+        index_replacing, merged_run, shared_index, stage_retry, answers_with_failures, corpus_run, pdf_run, site_discovery,
     )
 }
 QUERIES["embed_failures"] = embedding_failures
@@ -606,6 +641,39 @@ ORACLES = {
                true as chunks_stored, true as vectors_stored
         from pages""",
 }
+ORACLES["index_replacing"] = f"""
+    with recursive {DOCS},
+    later as (
+        select url, case lang when 'en' then 'Revised. ' || text when 'fr' then 'gone' else text end as text,
+               last_modified + case when lang in ('en', 'fr') then interval 1 year else interval 0 year end
+               as last_modified
+        from docs),
+    {chunk_ctes("later")}
+    select {CHUNK_ID} as id, c.source, c.text, {stamp_sql("d.last_modified")} as last_modified
+    from chunks c join later d on d.url = c.source"""
+# Texts are trimmed where a document is put together from pages; empty ones are no documents.
+_TRIMMED = DOCS.replace(" text,", f" {trim_sql('text')} as text,", 1).replace(
+    "from documents", f"from documents where {trim_sql('text')} <> ''"
+)
+ORACLES["merged_run"] = f"""
+    with recursive {combine_ctes(docs=_TRIMMED)},
+    large as (select url, text from counted where n_words >= 100),
+    merged as (
+        select base || '#' || grp as url, {MERGED_TEXT} as text from members m where not {LOST} group by base, grp),
+    every_doc as (select * from large union all select * from merged),
+    {chunk_ctes("every_doc")},
+    n as (select source, count(*) as n from chunks group by source),
+    sections as (select regexp_replace(source, '#.*', '') as source, sum(n)::bigint as stored from n group by 1),
+    went as (
+        select url, base || '#' || grp as doc, base as source from members m where not {LOST}
+        union all select url, url, url from large)
+    select d.url, w.source,
+           case when t.url is null then 'pending' when w.url is null then 'failed' else 'completed' end as status,
+           case when t.url is null then 'discovered' when w.url is null then 'chunking' else 'uploaded' end as stage,
+           case when t.url is not null and w.url is null then '{corpus_build.LEFT_OUT}' end as error,
+           n as chunks_count, n as embeddings_count, coalesce(s.stored, 0) as stored
+    from (select {URL_OF_DOC} as url from documents) d left join docs t on t.url = d.url
+    left join went w on w.url = d.url left join n on n.source = w.doc left join sections s on s.source = w.source"""
 ORACLES["pdf_run"] = f"""
     with recursive turns as (
         select 'data/pdfs/' || conv_id || '.pdf' as path, turn,

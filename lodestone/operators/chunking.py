@@ -106,7 +106,7 @@ def chunk_results(split: DataFrame) -> DataFrame:
         "type",
         "depth",
         "last_modified",
-        *[c for c in carried if c == "page"],
+        *[c for c in carried if c in ("doc_key", "page")],
         "error",
     )
 

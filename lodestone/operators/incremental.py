@@ -62,9 +62,15 @@ def write_registry(entries: DataFrame, path: str, write_seq: int) -> None:
     tables.append_log(schemas.conform(entries, schemas.REGISTRY), path, write_seq)
 
 
-def read_registry(spark: SparkSession, path: str, docs: DataFrame | None = None) -> DataFrame:
-    """The registry; with ``docs``, only the entries of their URLs."""
-    return tables.read_latest(spark, path, schemas.REGISTRY, "url", only=docs)
+def read_registry(
+    spark: SparkSession, path: str, docs: DataFrame | None = None, without_run: int | None = None
+) -> DataFrame:
+    """The registry; with ``docs``, only the entries of their URLs.
+
+    A run that is repeated reads it ``without_run``, its own, and so finds the same changes again.
+    """
+    hidden = None if without_run is None else [without_run]
+    return tables.read_latest(spark, path, schemas.REGISTRY, "url", only=docs, hidden=hidden)
 
 
 def embed_changed_chunks(docs: DataFrame, registry: DataFrame, embedder, run_ts: Column | datetime | str) -> DataFrame:

@@ -144,9 +144,26 @@ def index_header(spark: SparkSession, path: str) -> DataFrame:
     return tables.read_table(spark, f"{path}/index", _INDEX)
 
 
-def append_vectors(vectors: DataFrame, path: str, write_seq: int, writer: str = "build") -> int:
+_SOURCE = "namespace string, source string"
+
+
+def append_vectors(
+    vectors: DataFrame,
+    path: str,
+    write_seq: int,
+    writer: str = "build",
+    replace_sources: bool = False,
+    replaced: DataFrame | None = None,
+) -> int:
     """Store one run's vectors and return how many rows came in.
 
+    With ``replace_sources`` the sources in ``vectors`` lose, in their namespace, all that
+    earlier runs stored for them; ``replaced`` (namespace, source) names the sources
+    instead, also some that have no vector any more. Vectors without a source replace
+    nothing. A record of these sources is written beside the log, so that replacing
+    costs as much as the run and not as the table; until the run is complete, readers
+    see what was there before.
+
     Runs are numbered by each ``writer`` on its own; of an id that several have
     written, the one that began its run last counts. Vectors that don't have the
     dimension of the index raise before anything is written; an index that isn't
@@ -163,7 +180,7 @@ def append_vectors(vectors: DataFrame, path: str, write_seq: int, writer: str =
     if tables.current_version(spark, f"{path}/index") is None:
         first = rows.select(F.size("values").alias("n")).filter("n > 0").first()
         if first is None:
-            return 0
+            return 0  # nor is there anything to replace
         create_index(spark, path, dimension=first["n"])
     dimension = index_header(spark, path).first()["dimension"]
     seen = Observation()
@@ -182,7 +199,16 @@ def append_vectors(vectors: DataFrame, path: str, write_seq: int, writer: str =
     )
     written = rows.join(repeated, key, "left_anti").unionByName(once)
     log = _vector_log(spark, path)
-    tables.append_log(written, log, tables.claim_run(spark, log, writer, write_seq), "namespace")
+    run = tables.claim_run(spark, log, writer, write_seq)
+    if not replace_sources:
+        tables.append_log(written, log, run, "namespace")
+        return seen.get["rows"]
+    tables.open_replacing(spark, log, run)
+    tables.append_log(written, log, run, "namespace")
+    if replaced is None:
+        replaced = rows.select("namespace", F.col("metadata.source").alias("source"))
+    replaced = replaced.select("namespace", "source").filter("source is not null")
+    tables.publish_replaced(schemas.conform(replaced, _SOURCE), log, run)
     return seen.get["rows"]
 
 
@@ -199,9 +225,21 @@ def compact_vectors(spark: SparkSession, path: str, write_seq: int) -> None:
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """Current vectors. A filter on ``namespace`` prunes folders."""
+    """Current vectors. A filter on ``namespace`` prunes folders.
+
+    Of an id the newest run counts, unless a later run replaced its source. Records
+    of replaced sources are reduced to one row per source and stored, so that the
+    join with the vectors is planned by their real size.
+    """
     log = _vector_log(spark, path)
-    return tables.read_latest(spark, log, schemas.VECTOR, "namespace", "id")
+    hidden, records = tables.replaced(spark, log, _SOURCE)
+    rows = tables.read_latest(spark, log, schemas.VECTOR, "namespace", "id", hidden=hidden, keep_run=True)
+    if records is None:
+        return rows.drop("write_seq")
+    gone = stored(records.toDF("_namespace", "_source", "_replaced"), "replaced")
+    same = (F.col("namespace") == F.col("_namespace")) & (F.col("metadata.source") == F.col("_source"))
+    current = rows.join(gone, same, "left").filter("_replaced is null or write_seq >= _replaced")
+    return current.select(*rows.columns).drop("write_seq")
 
 
 def upload_if_empty(

@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 
 from lodestone import schemas
 from lodestone.functions.times import as_ntz
+from lodestone.functions.urls import base_path
 from lodestone.operators import chunking, combine, embedding, pages, status, vectors
 from lodestone.operators.selecting import keep_keys
+from lodestone.session import stored
 from lodestone.sources import tables
 
+
 @dataclass(frozen=True)
 class Run:
     """Where a build keeps its tables, and the time it writes into them."""
@@ -61,8 +64,9 @@ _PAGE = (
     "url string, text string, type string, last_modified timestamp_ntz, "
     "links array<string>, error string"
 )
-_CHUNK = f"{schemas.CHUNK}, error string"
-_VECTOR = f"{schemas.CHUNK}, values array<float>, error string"
+_CHUNK = f"{schemas.CHUNK}, doc_key string, error string"
+_VECTOR = f"{schemas.CHUNK}, doc_key string, values array<float>, error string"
+LEFT_OUT = "left out when small documents were merged"
 
 
 RECOVERED = (
@@ -72,8 +76,42 @@ RECOVERED = (
 STAGES = ("scrape", "chunk", "embed", "upload")
 
 
-def _by_url(sources: DataFrame, *columns) -> DataFrame:
-    return sources.groupBy(F.col("source").alias("url")).agg(*columns)
+def _document():
+    """The document a row is part of; merged ones of a section share their source and have a key."""
+    return F.coalesce("doc_key", "source").alias("document")
+
+
+def _by_document(rows: DataFrame, *columns) -> DataFrame:
+    return rows.groupBy(_document()).agg(*columns)
+
+
+def _lineage(run: Run) -> DataFrame | None:
+    """Which document a URL went into (``schemas.LINEAGE``), or None where nothing was ever merged."""
+    path = run.path("lineage")
+    if not tables.log_runs(run.spark, path):
+        return None
+    return tables.read_latest(run.spark, path, schemas.LINEAGE, "url")
+
+
+def _members(run: Run, per_document: DataFrame) -> DataFrame:
+    """Rows by ``document`` as rows by ``url``: one for every URL that went into the document."""
+    lineage = _lineage(run)
+    if lineage is None:
+        return per_document.withColumnRenamed("document", "url")
+    into = lineage.filter("doc_key is not null").select("url", F.col("doc_key").alias("document"))
+    rows = per_document.join(into, "document", "left")
+    return rows.withColumn("url", F.coalesce("url", "document")).drop("document")
+
+
+def _due_sources(run: Run, due: DataFrame) -> DataFrame:
+    """Sources of chunks that URLs stand for: themselves and, once documents are merged, their sections.
+
+    A section is taken as a whole, as any of its URLs may change how the others are merged.
+    """
+    sources = due.select(F.col("url").alias("source"))
+    if _lineage(run) is not None:
+        sources = sources.unionByName(due.select(base_path("url").alias("source"))).distinct()
+    return sources
 
 
 def _pdf_documents(run: Run, page_texts: DataFrame, due: DataFrame) -> DataFrame:
@@ -119,8 +157,8 @@ def scrape(run: Run, discovered: DataFrame, fetched: DataFrame, page_texts: Data
 
 def links(run: Run) -> DataFrame:
     """Link edges of the scraped pages, for the next discovery."""
-    stored = run.results("pages", _PAGE, "url")
-    edges = stored.select(F.col("url").alias("src"), F.explode("links").alias("dst"))
+    scraped = run.results("pages", _PAGE, "url")
+    edges = scraped.select(F.col("url").alias("src"), F.explode("links").alias("dst"))
     return pages.keep_within_site(edges)
 
 
@@ -131,35 +169,81 @@ def merge_small(run: Run, min_words: int = 100, keep_pending: bool = False) -> N
     tables.write_combined(merged, run.path("combined"))
 
 
-def chunk_stage(run: Run, discovered: DataFrame, **options) -> None:
-    """Chunk the scraped documents that are due; ``options`` as for ``split_documents``."""
+def _merged_documents(run: Run, due: DataFrame, min_words: int, keep_pending: bool) -> DataFrame:
+    """The documents to chunk once small ones are merged; stores which URL went into which.
+
+    All documents of a section with a URL that is due are merged and chunked anew, as the
+    merged ones share the section as their source.
+    """
+    merge_small(run, min_words, keep_pending)
+    combined = tables.read_combined(run.spark, run.path("combined"))
+    sections = due.select(base_path("url").alias("base_path")).distinct()
+    large = keep_keys(combined.filter("not combined"), due, "url")
+    small = keep_keys(combined.filter("combined"), sections, "base_path").withColumn("doc_key", F.col("sources")[0])
+    into = small.select(F.explode("sources").alias("url"), F.col("url").alias("source"), "doc_key")
+    own = large.select("url", F.col("url").alias("source"), F.col("url").alias("doc_key"))
+    known = stored(into.unionByName(own).distinct(), "lineage")
+    urls = run.results("pages", _PAGE, "url").select("url").distinct()
+    of_sections = keep_keys(urls.withColumn("base_path", base_path("url")), sections, "base_path")
+    lost = of_sections.join(known, "url", "left_anti").join(combined.filter("not combined"), "url", "left_anti")
+    tables.append_log(
+        schemas.conform(known.unionByName(schemas.conform(lost.select("url"), schemas.LINEAGE)), schemas.LINEAGE),
+        run.path("lineage"),
+        run.write_seq,
+    )
+    columns = ["url", "text", "type", "last_modified"]
+    return large.select(*columns, F.lit(None).cast("string").alias("doc_key")).unionByName(
+        small.select(*columns, "doc_key")
+    )
+
+
+def chunk_stage(
+    run: Run,
+    discovered: DataFrame,
+    merged: bool = False,
+    min_words: int = 100,
+    keep_pending: bool = False,
+    **options,
+) -> None:
+    """Chunk the scraped documents that are due; ``options`` as for ``split_documents``.
+
+    With ``merged``, documents of less than ``min_words`` words are merged first, by section.
+    A merged document has its section as source, and its chunks count for every URL in it. A
+    URL that merging leaves out (see ``combine_small``; not with ``keep_pending``) fails.
+    """
     before = run.status()
     due = status.stage_gate(discovered, status.init_pending(before, discovered), "chunk")
-    documents = keep_keys(run.results("pages", _PAGE, "url"), due, "url")
-    texts = documents.drop("links", "error")
-    split = chunking.split_documents(texts, run.run_ts, **options)
+    had_content = keep_keys(run.results("pages", _PAGE, "url").select("url"), due, "url").distinct()
+    if merged:
+        had_content = stored(had_content, "due")
+        documents = _merged_documents(run, had_content, min_words, keep_pending)
+    else:
+        documents = keep_keys(run.results("pages", _PAGE, "url"), due, "url").drop("links", "error")
+    split = chunking.split_documents(documents, run.run_ts, **options)
     rows = schemas.conform(chunking.chunk_results(split), _CHUNK)
     tables.append_results(rows, run.path("chunks"), run.write_seq)
-    counts = _by_url(run.this_stage("chunks", _CHUNK), F.count("*").alias("n"))
-    errors = _by_url(run.this_stage("chunks", _CHUNK, "failed"), F.max("error").alias("error"))
+    counts = _by_document(run.this_stage("chunks", _CHUNK), F.count("*").alias("n"))
+    errors = _by_document(run.this_stage("chunks", _CHUNK, "failed"), F.max("error").alias("error"))
     # A document too short to chunk had content and counts no chunks.
-    had_content = documents.select("url").distinct()
-    results = had_content.join(counts, "url", "left").join(errors, "url", "left")
+    results = had_content.join(_members(run, counts.join(errors, "document", "full")), "url", "left")
+    if merged:
+        lost = _lineage(run).filter("doc_key is null").select("url", F.lit(LEFT_OUT).alias("_lost"))
+        results = results.join(lost, "url", "left").withColumn("error", F.coalesce("error", "_lost")).drop("_lost")
     run.finish("chunk", *status.mark_chunked(before, discovered, results, run.run_ts))
 
 
 def embed_stage(run: Run, discovered: DataFrame, embedder) -> None:
     """Embed chunks of documents that are due and have no vector yet."""
     before = run.status()
-    due = status.stage_gate(discovered, before, "embed").withColumnRenamed("url", "source")
+    due = _due_sources(run, status.stage_gate(discovered, before, "embed"))
     chunks = keep_keys(run.results("chunks", _CHUNK, "source").drop("error"), due, "source")
     done = tables.read_log(run.spark, f"{run.path('vectors')}/result=ok", _VECTOR)
     done = done.filter(F.col("write_seq") < run.write_seq).select(F.col("chunk_id").alias("id"))
     embedded = embedding.with_vectors(vectors.new_chunks(chunks, done), embedder)
     tables.append_results(schemas.conform(embedded, _VECTOR), run.path("vectors"), run.write_seq)
-    counts = _by_url(chunks, F.count("*").alias("n"))
-    errors = _by_url(run.this_stage("vectors", _VECTOR, "failed"), F.max("error").alias("error"))
-    results = counts.join(errors, "url", "left")
+    counts = _by_document(chunks, F.count("*").alias("n"))
+    errors = _by_document(run.this_stage("vectors", _VECTOR, "failed"), F.max("error").alias("error"))
+    results = _members(run, counts.join(errors, "document", "left"))
     run.finish("embed", *status.mark_embedded(before, discovered, results, run.run_ts))
 
 
@@ -168,10 +252,15 @@ def upload_stage(
     discovered: DataFrame,
     namespace: str = vectors.DEFAULT_NAMESPACE,
     dimension: int = vectors.DIMENSION,
+    replace_sources: bool = False,
 ) -> int:
-    """Store the vectors of embedded documents; returns how many rows came in."""
+    """Store the vectors of embedded documents; returns how many rows came in.
+
+    With ``replace_sources`` the index keeps nothing else of the documents whose vectors
+    are all stored now; a document with a rejected vector keeps what it had.
+    """
     before = run.status()
-    due = status.stage_gate(discovered, before, "upload").withColumnRenamed("url", "source")
+    due = _due_sources(run, status.stage_gate(discovered, before, "upload"))
     embedded = tables.read_latest(
         run.spark, f"{run.path('vectors')}/result=ok", _VECTOR, "chunk_id"
     )
@@ -183,10 +272,17 @@ def upload_stage(
         recovered.select(F.lit(namespace).alias("namespace"), "id", "values", "metadata")
     )
     valid, wrong = vectors.validate_vectors(records, dimension)
-    uploaded = vectors.append_vectors(valid, run.path("index"), run.write_seq)
-    rejected = wrong.groupBy("url").agg(F.max("error").alias("error"))
-    had_vectors = records.select(F.col("metadata.source").alias("url")).distinct()
-    results = had_vectors.join(rejected, "url", "left")
+    rejected = wrong.groupBy(F.col("url").alias("source")).agg(F.max("error").alias("error"))
+    had_vectors = current.select("source", _document()).unionByName(
+        recovered.select("source", F.col("source").alias("document"))
+    )
+    results = _members(run, had_vectors.distinct().join(rejected, "source", "left"))
+    # A document also replaces what its members had on their own.
+    whole = results.filter("error is null")
+    names = whole.select("source").union(whole.select("url")).distinct()
+    replaced = names.select(F.lit(namespace).alias("namespace"), "source")
+    index = run.path("index")
+    uploaded = vectors.append_vectors(valid, index, run.write_seq, replace_sources=replace_sources, replaced=replaced)
     run.finish("upload", *status.mark_uploaded(before, discovered, results))
     return uploaded
 
@@ -200,10 +296,23 @@ def all_failures(run: Run) -> DataFrame:
 
 
 def build(
-    run: Run, discovered: DataFrame, fetched: DataFrame, embedder, namespace: str, dimension: int
+    run: Run,
+    discovered: DataFrame,
+    fetched: DataFrame,
+    embedder,
+    namespace: str,
+    dimension: int,
+    page_texts: DataFrame | None = None,
+    merged: bool = False,
+    min_words: int = 100,
+    replace_sources: bool = False,
 ) -> int:
-    """All stages in order, as one batch ingest. Returns the number of vectors stored."""
-    scrape(run, discovered, fetched)
-    chunk_stage(run, discovered)
+    """All stages in order, as one batch ingest. Returns the number of vectors stored.
+
+    ``page_texts`` are the pages of PDFs (see ``scrape``), ``merged`` chunks small documents
+    together (see ``chunk_stage``), ``replace_sources`` clears what the index had of them.
+    """
+    scrape(run, discovered, fetched, page_texts)
+    chunk_stage(run, discovered, merged, min_words)
     embed_stage(run, discovered, embedder)
-    return upload_stage(run, discovered, namespace, dimension)
+    return upload_stage(run, discovered, namespace, dimension, replace_sources)

@@ -10,6 +10,10 @@ Two layouts cover every stage:
   and nothing else, which makes retries harmless and costs nothing for rows
   already stored. Writers that number their runs on their own get numbers of the
   log from ``claim_run``, so that none replaces another's rows.
+
+A run of a log can also take back rows of earlier runs. It says which in a record
+beside the log, ``<log>-replaced/run=<n>``, and is hidden as a whole, rows and
+record, until the record is complete (``_SUCCESS``), the last thing it writes.
 """
 
 from __future__ import annotations
@@ -88,6 +92,30 @@ def claim_run(spark: SparkSession, path: str, writer: str, run: int) -> int:
     return number
 
 
+def open_replacing(spark: SparkSession, path: str, write_seq: int) -> None:
+    """Begin a run that replaces rows of earlier ones: nothing of it counts until ``publish_replaced``."""
+    create_new(spark, f"{path}-replaced/_open/{write_seq}")
+    delete_folder(spark, f"{path}-replaced/run={write_seq}")
+
+
+def publish_replaced(keys: DataFrame, path: str, write_seq: int) -> None:
+    """End a replacing run: rows of earlier runs with one of ``keys`` are gone, the run's own count."""
+    keys.distinct().write.mode("overwrite").parquet(f"{path}-replaced/run={write_seq}")
+
+
+def replaced(spark: SparkSession, path: str, ddl: str) -> tuple[list[int], DataFrame | None]:
+    """Runs that are hidden, and per key of ``ddl`` the last run that replaced its rows (``_replaced``)."""
+    opened = {int(n) for n in folder_names(spark, f"{path}-replaced/_open") if n.isdigit()}
+    done = glob_paths(spark, f"{path}-replaced/run=*/_SUCCESS")
+    folders = {int(f.split("/")[-2].removeprefix("run=")): f.rsplit("/", 1)[0] for f in done}
+    hidden = sorted(opened - set(folders))
+    if not folders:
+        return hidden, None
+    records = spark.read.schema(f"{ddl}, run bigint").option("basePath", f"{path}-replaced").parquet(*folders.values())
+    keys = [c for c in records.columns if c != "run"]
+    return hidden, records.groupBy(*keys).agg(F.max("run").alias("_replaced"))
+
+
 def append_results(df: DataFrame, path: str, write_seq: int) -> None:
     """Add one run's rows, good and failed ones apart, in a single write.
 
@@ -134,18 +162,27 @@ def latest_runs(log: DataFrame, *key: str) -> DataFrame:
 
 
 def read_latest(
-    spark: SparkSession, path: str, ddl: str, *key: str, only: DataFrame | None = None
+    spark: SparkSession,
+    path: str,
+    ddl: str,
+    *key: str,
+    only: DataFrame | None = None,
+    hidden: list[int] | None = None,
+    keep_run: bool = False,
 ) -> DataFrame:
     """A log as a keyed table. With one run per folder there is nothing to resolve.
 
-    ``only`` restricts the table to its keys before anything is aggregated.
+    ``only`` restricts the table to its keys before anything is aggregated; runs in
+    ``hidden`` don't count; ``keep_run`` keeps the column ``write_seq``.
     """
     log = read_log(spark, path, ddl)
+    if hidden:
+        log = log.filter(~F.col("write_seq").isin(hidden))
     if only is not None:
         log = log.join(only.select(*key).distinct(), list(key), "left_semi")
     single = all(count == 1 for count in log_runs(spark, path).values())
     rows = log if single else latest_runs(log, *key)
-    return rows.drop("write_seq")
+    return rows if keep_run else rows.drop("write_seq")
 
 
 def write_chunks(chunks: DataFrame, path: str, write_seq: int) -> None:

@@ -23,32 +23,51 @@ def ingest_batch(
     namespace: str,
     run_ts: datetime | str,
     writer: str = "batches",
+    replace_sources: bool = False,
 ) -> int:
     """One batch of ``writer``, which numbers its batches. Replaying it is harmless.
 
+    With ``replace_sources`` a changed document loses the vectors of its earlier form, also
+    when it has become too short for a chunk; one of whose chunks failed keeps them.
+
     Chunks that fail are logged under ``failures_ingest``; only documents all of
     whose chunks have vectors are registered, so the others are embedded again
-    when they next come. Vectors are stored before the registry. A replay after a loss between the
-    two finds the documents still changed and replaces its own partition; a
-    replay after both finds nothing changed and writes nothing.
+    when they next come. Vectors are stored before the registry. A replay doesn't see
+    what its own earlier attempt registered: it finds the same documents changed and
+    writes the same rows in place of its own, also after some documents have failed.
     """
     spark = docs.sparkSession
     docs = spread(docs)
-    registry = incremental.read_registry(spark, f"{root}/registry", docs)
-    embedded = stored(incremental.embed_changed_chunks(docs, registry, embedder, run_ts), "embedded")
-    if embedded.isEmpty():
+    entry_run = tables.claim_run(spark, f"{root}/registry", writer, batch_id)
+    registry = incremental.read_registry(spark, f"{root}/registry", docs, entry_run)
+    changed = stored(incremental.changed_documents(docs, registry), "changed") if replace_sources else docs
+    embedded = stored(incremental.embed_changed_chunks(changed, registry, embedder, run_ts), "embedded")
+    if embedded.isEmpty() and (not replace_sources or changed.isEmpty()):
         return 0
     failed = embedding.embedding_failures(embedded, run_ts)
     log = f"{root}/failures_ingest"
     tables.append_failures(failed, log, tables.claim_run(spark, log, writer, batch_id))
     fresh = embedding.vector_record(embedded, namespace)
-    written = append_vectors(fresh, f"{root}/index", batch_id, writer)
     complete = incremental.complete_sources(embedded)
+    replaced = None
+    if replace_sources:
+        failing = embedded.filter("error is not null").select(F.col("source").alias("url"))
+        whole = changed.join(failing, "url", "left_anti")
+        replaced = whole.select(F.lit(namespace).alias("namespace"), F.col("url").alias("source"))
+    written = append_vectors(fresh, f"{root}/index", batch_id, writer, replace_sources, replaced)
     entries = incremental.registry_entries(
         fresh.join(complete, F.col("metadata.source") == complete["source"], "left_semi")
     )
-    log = f"{root}/registry"
-    incremental.write_registry(entries, log, tables.claim_run(spark, log, writer, batch_id))
+    if replace_sources:
+        none = whole.join(embedded.select(F.col("source").alias("url")), "url", "left_anti")
+        entries = entries.unionByName(
+            none.groupBy("url").agg(
+                F.max("last_modified").alias("last_modified"),
+                F.lit(0).cast("long").alias("vector_count"),
+                F.lit(None).cast("string").alias("last_vector_id"),
+            )
+        )
+    incremental.write_registry(entries, f"{root}/registry", entry_run)
     return written
 
 
@@ -65,6 +84,7 @@ def ingest_stream(
     namespace: str,
     run_ts: datetime | str,
     trigger: dict | None = None,
+    replace_sources: bool = False,
 ) -> StreamingQuery:
     """Ingest a stream of documents (url, text, type, last_modified) into ``root``.
 
@@ -77,7 +97,7 @@ def ingest_stream(
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
         writer = _stream_id(batch.sparkSession, checkpoint)
-        ingest_batch(batch, root, batch_id, embedder, namespace, run_ts, writer)
+        ingest_batch(batch, root, batch_id, embedder, namespace, run_ts, writer, replace_sources)
 
     return (
         docs.writeStream.foreachBatch(ingest)

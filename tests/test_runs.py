@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone import schemas
@@ -292,3 +293,117 @@ def test_pdfs_of_a_web_build_come_from_their_page_texts(spark, tmp_path):
     assert {r["url"]: r["error"] for r in corpus_build.all_failures(run).collect()} == {
         "http://h/c.pdf": "no text in the file", "http://h/d.pdf": "no content returned",
     }
+
+
+def sources(spark, path):
+    rows = vectors.read_vectors(spark, path).select("metadata.source", "metadata.text").collect()
+    return sorted((r["source"], r["text"][:8]) for r in rows)
+
+
+def vector_rows(spark, *rows):
+    made = [("test", f"{source}-{text}", [1.0], (source, "html", 0, None, text)) for source, text in rows]
+    return spark.createDataFrame(made, schemas.VECTOR)
+
+
+def test_replacing_a_source_takes_back_what_earlier_runs_stored(spark, tmp_path):
+    path = str(tmp_path / "index")
+    vectors.append_vectors(vector_rows(spark, ("a", "1"), ("a", "2"), ("b", "1"), (None, "n")), path, 1)
+    vectors.append_vectors(vector_rows(spark, ("a", "3"), (None, "m")), path, 2, replace_sources=True)
+    now = [("a", "3"), ("b", "1")]
+    shown = sorted((r["metadata"]["source"] or "", r["metadata"]["text"]) for r in vectors.read_vectors(spark, path).collect())
+    assert shown == [("", "m"), ("", "n"), *now]
+    # A run that adds to a source later on stays; one that is repeated replaces itself only.
+    vectors.append_vectors(vector_rows(spark, ("a", "4")), path, 3)
+    vectors.append_vectors(vector_rows(spark, ("a", "5")), path, 2, replace_sources=True)
+    kept = vectors.read_vectors(spark, path).filter("metadata.source is not null")
+    assert sorted(r["id"] for r in kept.collect()) == ["a-4", "a-5", "b-1"]
+    # Sources may be named instead, also ones without vectors.
+    gone = spark.createDataFrame([("test", "b"), ("prod", "a")], "namespace string, source string")
+    vectors.append_vectors(vector_rows(spark, ("c", "1")), path, 4, replace_sources=True, replaced=gone)
+    left = {r["metadata"]["source"] for r in vectors.read_vectors(spark, path).collect()}
+    assert left == {"a", "c", None}
+    vectors.compact_vectors(spark, path, 9)
+    assert {r["metadata"]["source"] for r in vectors.read_vectors(spark, path).collect()} == left
+
+
+@pytest.mark.parametrize("step", ["append_log", "publish_replaced"])
+def test_a_replacing_run_that_is_lost_shows_what_was_there(spark, tmp_path, monkeypatch, step):
+    path = str(tmp_path / "index")
+    vectors.append_vectors(vector_rows(spark, ("a", "1"), ("b", "1")), path, 1)
+
+    def lost(*_):
+        raise ConnectionError
+
+    for _ in range(2):
+        with monkeypatch.context() as m:
+            m.setattr(vectors.tables, step, lost)
+            with pytest.raises(ConnectionError):
+                vectors.append_vectors(vector_rows(spark, ("a", "2")), path, 2, replace_sources=True)
+        assert sources(spark, path) == [("a", "1"), ("b", "1")]
+        vectors.append_vectors(vector_rows(spark, ("c", "1")), path, 7)
+        vectors.append_vectors(vector_rows(spark), path, 7)
+    vectors.append_vectors(vector_rows(spark, ("a", "2")), path, 2, replace_sources=True)
+    assert sources(spark, path) == [("a", "2"), ("b", "1")]
+
+
+def test_changed_documents_lose_their_old_vectors(spark, tmp_path):
+    root, good = str(tmp_path), hashing_embedder(8)
+    T3 = "2024-01-03 00:00:00"
+
+    def picky(texts):
+        if any("c0" in t for t in texts):
+            raise RuntimeError("refused")
+        return good(texts)
+
+    first = docs(spark, ("a", words("a", 200), T1), ("b", words("b"), T1), ("c", words("c"), T1), ("d", words("d"), T1))
+    ingest.ingest_batch(first, root, 0, good, "test", T2)
+    second = docs(spark, ("a", words("x"), T3), ("b", "short", T3), ("c", words("c", 50), T3), ("d", words("d"), T1))
+    for _ in range(2):
+        ingest.ingest_batch(second, root, 1, picky, "test", T3, replace_sources=True)
+        found = vectors.read_vectors(spark, f"{root}/index").select("metadata.source", "metadata.text").collect()
+        assert sorted(r["source"] for r in found) == ["a", "c", "d"]
+        assert {r["source"]: r["text"] for r in found}["a"].startswith("x0")
+    entries = {r["url"]: r["vector_count"] for r in incremental.read_registry(spark, f"{root}/registry").collect()}
+    assert entries == {"a": 1, "b": 0, "c": 1, "d": 1}
+
+
+def test_merged_documents_are_chunked_for_all_their_urls(spark, tmp_path):
+    run = corpus_build.Run(spark, str(tmp_path), T1)
+    urls = ["http://h/s/t/1", "http://h/s/t/2", "http://h/s/t/3", "http://h/s/t/4", "http://h/u/v/1", "http://h/s/t/5"]
+    found = spark.createDataFrame([(u,) for u in urls], "url string")
+    sizes = dict(zip(urls, [60, 60, 200, 30, 40, 30], strict=True))
+
+    def fetched(some):
+        return pages(spark, *[(u, 200, words(f"w{u[-5:].replace('/', '')}x", sizes[u])) for u in some])
+
+    def rows():
+        return {r["url"]: (r["status"], r["stage"], r["chunks_count"], r["embeddings_count"]) for r in run.status().collect()}
+
+    n = corpus_build.build(run, found, fetched(urls[:5]), hashing_embedder(8), "test", 8, merged=True)
+    now = rows()
+    assert n == vectors.read_vectors(spark, run.path("index")).count()
+    both = now[urls[0]][2]
+    assert both and now[urls[0]] == now[urls[1]] == ("completed", "uploaded", both, both)
+    own = now[urls[2]][2]
+    assert now[urls[2]] == ("completed", "uploaded", own, own) and own > 1
+    # 4 and the lone document of the other section are remainders: merged with nothing, but kept.
+    assert now[urls[3]][:2] == now[urls[4]][:2] == ("completed", "uploaded")
+    per_source = {r["source"]: r["embeddings_count"] for r in vectors.vectors_per_document(vectors.read_vectors(spark, run.path("index"))).collect()}
+    assert per_source == {"/s/t": both + now[urls[3]][2], urls[2]: own, "/u/v": now[urls[4]][2]}
+    # A new document of a section joins its remainder; the section's old vectors go.
+    corpus_build.build(run, found, fetched(urls[5:]), hashing_embedder(8), "test", 8, merged=True, replace_sources=True)
+    now = rows()
+    assert now[urls[5]][:2] == ("completed", "uploaded")
+    again = {r["source"]: r["embeddings_count"] for r in vectors.vectors_per_document(vectors.read_vectors(spark, run.path("index"))).collect()}
+    assert again == {**per_source, "/s/t": both + now[urls[5]][2]}
+    assert tables.read_latest(spark, run.path("lineage"), schemas.LINEAGE, "url").filter("source = '/s/t'").count() == 4
+
+
+def test_documents_that_merging_leaves_out_fail(spark, tmp_path):
+    run = corpus_build.Run(spark, str(tmp_path), T1)
+    urls = ["http://h/s/t/1", "http://h/s/t/2"]
+    found = spark.createDataFrame([(u,) for u in urls], "url string")
+    fetched = pages(spark, (urls[0], 200, words("a", 20)), (urls[1], 200, words("b", 200)))
+    corpus_build.build(run, found, fetched, hashing_embedder(8), "test", 8, merged=True)
+    rows = {r["url"]: (r["status"], r["stage"], r["error"]) for r in run.status().collect()}
+    assert rows == {urls[0]: ("failed", "chunking", corpus_build.LEFT_OUT), urls[1]: ("completed", "uploaded", None)}
