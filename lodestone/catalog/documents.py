@@ -19,7 +19,7 @@ from lodestone.functions.text import strip, word_count
 from lodestone.functions.times import format_ts
 from lodestone.operators import chunking, combine
 from lodestone.session import scratch_path
-from lodestone.sources import tables
+from lodestone.sources import json_files, tables
 
 _MIN_WORDS = 100
 
@@ -127,12 +127,32 @@ def event_times(spark, sf):
     return load(spark, sf, "events").select("event_id", format_ts("ts").alias("formatted"))
 
 
+def json_documents(spark, sf):
+    """Whole documents written as JSON, the English ones as arrays and the others wrapped, and read back."""
+    path = scratch_path(spark, "documents-json")
+    docs = documents(spark, sf)
+    meta = F.struct(
+        F.col("url"), F.col("last_modified"), F.lit("e-\"tag\"").alias("etag"), F.lit("text/html").alias("content_type"),
+        F.col("n_chars").cast("bigint").alias("content_length"), F.lit(None).cast("timestamp_ntz").alias("scraped_at"),
+    )
+    rows = docs.select(
+        "url", "text", "type", F.lit(1).alias("depth"), F.when(F.col("lang") != "fr", meta).alias("metadata"), "lang"
+    )
+    json_files.write_documents(rows.filter("lang = 'en'"), f"{path}/arrays")
+    json_files.write_documents(rows.filter("lang <> 'en'"), f"{path}/wrapped", wrapped=True)
+    back = json_files.read_documents(spark, f"{path}/*")
+    return back.select(
+        "url", "text", "type", "depth", stamp("metadata.last_modified").alias("last_modified"),
+        "metadata.etag", "metadata.content_length",
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         word_counts, stripped_text, doc_filter_meta, combine_small, combine_keep_pending,
         combine_report, combined_table, chunk_documents, chunks_per_document, chunk_fallback,
-        chunk_table, chunk_failures, event_times,
+        chunk_table, chunk_failures, event_times, json_documents,
     )
 }
 
@@ -299,3 +319,8 @@ ORACLES = {
         from (select '' as url, text from documents where text is null)""",
     "event_times": f"select event_id, {stamp_sql('ts')} as formatted from events",
 }
+ORACLES["json_documents"] = f"""
+    with {DOCS}
+    select url, text, type, 1 as depth, case when lang <> 'fr' then {stamp_sql("last_modified")} end as last_modified,
+           case when lang <> 'fr' then 'e-"tag"' end as etag, case when lang <> 'fr' then n_chars end as content_length
+    from docs where lang is not null"""

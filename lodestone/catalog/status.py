@@ -21,7 +21,7 @@ from lodestone.operators import repair
 from lodestone.operators import status as st
 from lodestone.plans.report import status_report
 from lodestone.session import scratch_path
-from lodestone.sources import tables
+from lodestone.sources import json_files, tables
 
 
 def _status(spark, sf):
@@ -262,6 +262,41 @@ def merge_checkpoints(spark, sf):
     return _shown(repair.merge_checkpoints(status, first, errors))
 
 
+_FOUND = """
+    select 'https://h.example/e/' || event_id as url, cast(extract(day from ts) as int) as depth,
+           event_type = 'purchase' as is_pdf, case when event_type <> 'view' then ts end as discovered_at
+    from events"""
+
+
+def json_status(spark, sf):
+    """The status table written as JSON objects keyed by URL, and read back."""
+    path = scratch_path(spark, "status-json")
+    json_files.write_status_json(_status(spark, sf), path)
+    return _shown(json_files.read_status_json(spark, path))
+
+
+def json_failures(spark, sf):
+    path = scratch_path(spark, "failures-json")
+    json_files.write_failures_json(from_sql(spark, sf, FAILURES_INPUT), path)
+    return _shown_failures(json_files.read_failures_json(spark, path))
+
+
+def json_discovered(spark, sf):
+    """URLs with the header of their run in every file; both are read back."""
+    path = scratch_path(spark, "discovered-json")
+    run = spark.range(1).select(
+        F.lit("https://h.example/").alias("start_url"), F.lit(2).alias("max_depth"),
+        F.lit("h.example").alias("domain"), as_ntz(RUN_TS).alias("discovery_time"),
+    )
+    json_files.write_discovered(from_sql(spark, sf, _FOUND), run, path)
+    header = json_files.read_discovery_run(spark, path).distinct()
+    found = json_files.read_discovered(spark, path)
+    when = F.date_format("discovered_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("discovered_at")
+    return found.crossJoin(F.broadcast(header.limit(1))).select(
+        "url", "depth", "is_pdf", when, "domain", "max_depth", stamp("discovery_time").alias("discovery_time")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -270,7 +305,8 @@ QUERIES = {
         mark_uploaded, upload_failures, mark_pdf_run, reset_to_chunked, reset_failures,
         stage_counts, status_counts, totals, processing_rate, event_rate, first_and_last_update,
         recent_failures, undated_failures_last, status_table, failure_log, latest_checkpoint,
-        dedup_first, known_sources, unknown_sources, merge_checkpoints,
+        dedup_first, known_sources, unknown_sources, merge_checkpoints, json_status, json_failures,
+        json_discovered,
     )
 }
 
@@ -454,3 +490,9 @@ ORACLES = {
                     else s.embeddings_count end as embeddings_count, {_U}
         from s left join k using (url)""",
 }
+ORACLES["json_status"] = f"with {_T} select {_ROW} from s"
+ORACLES["json_failures"] = f"""
+    select url, error, stage, {stamp_sql("timestamp")} as timestamp from ({FAILURES_INPUT})"""
+ORACLES["json_discovered"] = f"""
+    select url, depth, is_pdf, strftime(discovered_at, '%Y-%m-%d %H:%M:%S.%f') as discovered_at,
+           'h.example' as domain, 2 as max_depth, '{RUN_TS}' as discovery_time from ({_FOUND})"""

@@ -1,8 +1,18 @@
-"""The JSON and PDF file layouts of an existing corpus folder."""
+"""The JSON and PDF file layouts of an existing corpus folder.
+
+Tables are written as folders of files, each a whole JSON document in the layout that
+the readers know: a task writes its rows between the opening and the closing of the
+document, so that no task holds a document and none has to see the whole table. Spark
+commits the files: those of a task that fails are never seen.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import schemas
@@ -95,6 +105,69 @@ def read_status_json(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("last_updated", F.col("last_updated").try_cast("timestamp_ntz"))
 
 
+def _iso(column: Column | str) -> Column:
+    """A time as ISO text with microseconds."""
+    return F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def _write_documents(rows: DataFrame, path: str, opening: str, closing: str, mode: str) -> None:
+    """Write the one column of ``rows``, JSON texts, as documents: a file per partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def lines(values):
+            return pa.RecordBatch.from_arrays([values.cast(pa.string())], ["value"])
+
+        yield lines(pa.array([opening]))
+        first = True
+        for batch in batches:
+            if batch.num_rows:
+                texts = batch.column(0).cast(pa.string())
+                after = pc.binary_join_element_wise(",", texts, "")
+                yield lines(pa.concat_arrays([texts.slice(0, 1), after.slice(1)]) if first else after)
+                first = False
+        yield lines(pa.array([closing]))
+
+    rows.mapInArrow(run, "value string").write.mode(mode).text(path)
+
+
+def write_discovered(urls: DataFrame, run: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Discovered URLs, each file with the header of the run, which is one row."""
+    header = run.select(F.to_json(F.struct("start_url", "max_depth", "domain", _iso("discovery_time").alias("discovery_time"))))
+    first = header.first()
+    entry = F.struct("url", "depth", "is_pdf", _iso("discovered_at").alias("discovered_at"))
+    opening = f'{{"metadata": {first[0] if first else "{}"}, "urls": ['
+    _write_documents(urls.select(F.to_json(entry).alias("value")), path, opening, "]}", mode)
+
+
+def write_failures_json(failures: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    entry = F.struct("url", "error", "stage", _iso("timestamp").alias("timestamp"))
+    _write_documents(failures.select(F.to_json(entry).alias("value")), path, '{"urls": [', "]}", mode)
+
+
+def write_status_json(status: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Objects keyed by URL. A row without a URL has no key and is left out."""
+    fields = [c for c in schemas.STATUS_COLUMNS if c not in ("url", "last_updated")]
+    entry = F.to_json(F.create_map("url", F.struct(*fields, _iso("last_updated").alias("last_updated"))))
+    pair = F.substring(entry, F.lit(2), F.length(entry) - 2)
+    _write_documents(status.filter("url is not null").select(pair.alias("value")), path, "{", "}", mode)
+
+
+def write_documents(docs: DataFrame, path: str, wrapped: bool = False, mode: str = "errorifexists") -> None:
+    """Documents as arrays, or with ``wrapped`` under a ``documents`` key."""
+    meta = F.col("metadata")
+    metadata = F.struct(
+        meta["url"].alias("url"),
+        _iso(meta["last_modified"]).alias("last_modified"),
+        meta["etag"].alias("etag"),
+        meta["content_type"].alias("content_type"),
+        meta["content_length"].cast("string").alias("content_length"),
+        _iso(meta["scraped_at"]).alias("scraped_at"),
+    )
+    entry = F.struct("url", "text", "type", "depth", F.when(meta.isNotNull(), metadata).alias("metadata"))
+    opening, closing = ('{"documents": [', "]}") if wrapped else ("[", "]")
+    _write_documents(docs.select(F.to_json(entry).alias("value")), path, opening, closing, mode)
+
+
 def read_checkpoints(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors of every numbered checkpoint file, with file number and position."""
     glob = f"{folder.rstrip('/')}/embeddings_checkpoint_*.json"

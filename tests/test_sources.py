@@ -164,3 +164,37 @@ def test_missing_shared_folder_is_an_error(monkeypatch):
 
     with pytest.raises(ValueError):
         checkpoint_root(Session())
+
+
+def test_json_is_written_in_the_layouts_that_are_read(spark, tmp_path):
+    status = spark.createDataFrame(
+        [("https://a/'\"\u00e9", "completed", "chunked", None, 3, None, None), ("b", None, None, "e\n", None, 2, None), (None,) * 7],
+        schemas.STATUS.replace("timestamp_ntz", "string"),
+    ).withColumn("last_updated", F.when(F.col("url") == "b", F.lit("2024-01-02 03:04:05.000006")).cast("timestamp_ntz"))
+    json_files.write_status_json(status.repartition(3), str(tmp_path / "s"))
+    got = {tuple(r) for r in json_files.read_status_json(spark, str(tmp_path / "s")).collect()}
+    assert got == {tuple(r) for r in status.filter("url is not null").collect()}
+    # Every file is a document of its own.
+    for part in (tmp_path / "s").glob("part-*.txt"):
+        assert isinstance(json.loads(part.read_text(encoding="utf-8")), dict)
+    with pytest.raises(Exception, match="exist"):
+        json_files.write_status_json(status, str(tmp_path / "s"))
+    json_files.write_status_json(status.limit(0), str(tmp_path / "s"), mode="overwrite")
+    assert json_files.read_status_json(spark, str(tmp_path / "s")).count() == 0
+
+    failures = spark.createDataFrame([("u", "e", "s"), (None, None, None)], "url string, error string, stage string")
+    failures = failures.withColumn("timestamp", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    json_files.write_failures_json(failures, str(tmp_path / "f"))
+    assert sorted(map(str, json_files.read_failures_json(spark, str(tmp_path / "f")).collect())) == sorted(map(str, failures.collect()))
+
+
+def test_a_failed_task_leaves_no_json_behind(spark, tmp_path):
+    path = str(tmp_path / "f")
+    rows = spark.range(20, numPartitions=4).select(
+        F.col("id").cast("string").alias("url"),
+        F.when(F.col("id") == 19, F.raise_error(F.lit("lost"))).cast("string").alias("error"),
+        F.lit("s").alias("stage"), F.lit(None).cast("timestamp_ntz").alias("timestamp"),
+    )
+    with pytest.raises(Exception, match="lost"):
+        json_files.write_failures_json(rows, path)
+    assert not list(tmp_path.glob("f/part-*"))
