@@ -13,6 +13,7 @@ from lodestone.operators import embedding, incremental
 from lodestone.operators.vectors import append_vectors
 from lodestone.session import spread, stored
 from lodestone.sources import tables
+from lodestone.sources.files import path_exists
 
 
 def ingest_batch(
@@ -34,11 +35,16 @@ def ingest_batch(
     whose chunks have vectors are registered, so the others are embedded again
     when they next come. Vectors are stored before the registry. A replay doesn't see
     what its own earlier attempt registered: it finds the same documents changed and
-    writes the same rows in place of its own, also after some documents have failed.
+    writes the same rows in place of its own. Where all of them were registered, it writes
+    nothing.
     """
     spark = docs.sparkSession
     docs = spread(docs)
     entry_run = tables.claim_run(spark, f"{root}/registry", writer, batch_id)
+    if path_exists(spark, f"{root}/registry/write_seq={entry_run}"):
+        known = incremental.read_registry(spark, f"{root}/registry", docs)
+        if incremental.changed_documents(docs, known).isEmpty():
+            return 0
     registry = incremental.read_registry(spark, f"{root}/registry", docs, entry_run)
     changed = stored(incremental.changed_documents(docs, registry), "changed") if replace_sources else docs
     embedded = stored(incremental.embed_changed_chunks(changed, registry, embedder, run_ts), "embedded")
