@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import math
 import uuid
 import zlib
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import attach_groups, fold
 from lodestone.session import stored
 
-RANGE_BYTES = 8 * 2**20
+LEAST_RANGE, MOST_RANGE = 4 * 2**20, 128 * 2**20
 _AHEAD = 64 * 2**10
 _MAGIC = b"\x1f\x8b\x08"
 _BATCH_BYTES = 4 * 2**20
@@ -149,38 +150,59 @@ def parse_records(data: bytes):
         at = stop + 4 + size + 4
 
 
+def _decode(read, window: bytes, base: int, at: int, size: int) -> tuple[bytes, int] | None:
+    """The member at ``at``: its decoded bytes and where it ends; None if there is none that begins a record.
+
+    ``window`` holds the file from ``base`` on. What lies past it is read a piece
+    at a time, and no piece is kept once it is decoded.
+    """
+    decoder, out, head, place = zlib.decompressobj(31), [], b"", at
+    try:
+        while not decoder.eof:
+            inside = place - base
+            piece = window[inside : inside + _AHEAD] or read(place, min(_BATCH_BYTES, size - place))
+            if not piece:
+                return None
+            out.append(decoder.decompress(piece))
+            place += len(piece)
+            if len(head) < 5:
+                head += out[-1][: 5 - len(head)]
+                if not b"WARC/".startswith(head):
+                    return None
+    except zlib.error:
+        return None
+    return b"".join(out), place - len(decoder.unused_data)
+
+
 def scan(read, start: int, end: int, size: int):
     """Members that start in ``[start, end)`` of a file of ``size`` bytes: place and decoded bytes.
 
     ``read(at, n)`` gives bytes of the file. Magic inside a member's compressed
     data is passed over, as members are followed from end to end; where a range
     begins inside a member, a false start there doesn't decode to a WARC header.
+    Besides the member at hand a task holds one piece of the range.
     """
-    data, i = read(start, min(size, end + _AHEAD) - start), 0
-    while True:
-        i = data.find(_MAGIC, i)
-        if i < 0 or start + i >= end:
+    at = base = start
+    window = b""
+    while at < end:
+        if at + len(_MAGIC) > base + len(window):
+            if at + len(_MAGIC) > size:
+                return
+            base, window = at, read(at, min(_BATCH_BYTES, size - at))
+        i = window.find(_MAGIC, at - base)
+        if i < 0:
+            at = base + len(window) - len(_MAGIC) + 1
+            continue
+        at = base + i
+        if at >= end:
             return
-        decoder, out, at = zlib.decompressobj(31), [], i
-        try:
-            while not decoder.eof:
-                if at >= len(data):
-                    more = read(start + len(data), min(_BATCH_BYTES, size - start - len(data)))
-                    if not more:
-                        raise zlib.error("the file ends within a member")
-                    data += more
-                out.append(decoder.decompress(data[at : at + _AHEAD]))
-                at += _AHEAD
-                if len(out) == 1 and out[0] and not out[0].startswith(b"WARC/"[: len(out[0])]):
-                    raise zlib.error("no WARC header")
-        except zlib.error:
-            i += 1
+        member = _decode(read, window, base, at, size)
+        if member is None:
+            at += 1
             continue
-        at = min(at, len(data)) - len(decoder.unused_data)
-        whole = b"".join(out)
-        if whole:
-            yield start + i, whole
-        i = at
+        if member[0]:
+            yield at, member[0]
+        at = member[1]
 
 
 def _opener(uri: str):
@@ -234,20 +256,30 @@ def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
+def _range_bytes(spark: SparkSession, total: int) -> int:
+    """The length of ranges: a share per core, but neither tiny nor more than a task should read."""
+    return min(MOST_RANGE, max(LEAST_RANGE, math.ceil(total / spark.sparkContext.defaultParallelism)))
+
+
 def read_archives(
-    spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, with_payload: bool = True
+    spark: SparkSession, path: str, range_bytes: int | None = None, with_payload: bool = True
 ) -> DataFrame:
     """The records of all archives under ``path``, in the columns of ``RECORD``.
 
     ``payload_bytes`` and ``payload_digest`` are of the full payload: computed
     for records that carry it, from the headers of revisits. A member may hold
-    several records. Bytes that belong to no member are passed over.
+    several records. Bytes that belong to no member are passed over. Each range
+    of ``range_bytes``, by default a share per core within fixed limits, is
+    read by a task of its own; the number of tasks is given, so that ranges,
+    which are short rows, are not merged into few tasks.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")
-    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long")))
+    size = range_bytes or _range_bytes(spark, files.agg(F.sum("length")).first()[0] or 0)
+    count = files.agg(F.sum(F.ceil(F.col("length") / size))).first()[0] or 1
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long")))
     ranges = files.select("path", "length", first.alias("start"))
-    ranges = ranges.select("path", "start", F.least(F.col("start") + range_bytes, "length").alias("end"), "length")
-    return ranges.repartition("path", "start").mapInArrow(_read_ranges(with_payload), RECORD)
+    ranges = ranges.select("path", "start", F.least(F.col("start") + size, "length").alias("end"), "length")
+    return ranges.repartitionByRange(count, "path", "start").mapInArrow(_read_ranges(with_payload), RECORD)
 
 
 def page_records(records: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ import gzip
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from lodestone.llm import warc
 from lodestone.session import scratch_path
 
@@ -101,3 +103,33 @@ def test_false_magic_broken_members_and_foreign_members(spark):
 
 def test_no_rows(spark):
     assert warc.read_archives(spark, write(spark, [])).count() == 0
+
+
+def test_each_range_has_a_task_of_its_own(spark):
+    path = write(spark, [(i, "u", f"{random.Random(i).random()}" * 500) for i in range(300)])
+    sizes = [r["length"] for r in spark.read.format("binaryFile").load(path).select("length").collect()]
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    try:
+        records = warc.read_archives(spark, path, range_bytes=4_000)
+        tasks = records.rdd.getNumPartitions()
+        used = records.select(F.spark_partition_id().alias("task"), "file", (F.col("start") / 4_000).cast("long").alias("range"))
+        per_task = used.distinct().groupBy("task").count()
+        assert tasks == sum(-(-n // 4_000) for n in sizes) > 8
+        assert per_task.agg(F.max("count")).first()[0] == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert records.filter("warc_type = 'response'").count() == 300
+
+
+def test_a_long_member_is_read_once():
+    body = random.Random(3).randbytes(12 * 2**20)
+    record = b"WARC/1.0\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    data, got = gzip.compress(record, 1) * 2, []
+
+    def read(at, n):
+        got.append(n)
+        return data[at : at + n]
+
+    assert [len(m) for _, m in warc.scan(read, 0, len(data), len(data))] == [len(record)] * 2
+    assert sum(got) < 1.5 * len(data) and max(got) <= 4 * 2**20
