@@ -37,14 +37,24 @@ _CLOSES_P = frozenset(
     "h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()
 )
 _ARTICLE = frozenset(["article", "main"])
-# What an element calls itself: one whole name of its class, id, or role, not a part such as "has-sidebar" has.
-_APART_NAMES = re.compile(
-    r"(?<!\S)(?:ads?|advert[a-z]*|adsense|sponsor[a-z]*|promo[a-z]*|banner|sidebar|side|menu|nav(?:s|bar|igation)?|"
+_KNOWN = _VOID | _RAW | _INLINE | _APART | _CLOSES_P | frozenset(
+    "html head body caption colgroup dd dt datalist legend li optgroup picture slot summary tbody td tfoot th thead tr".split()
+)
+# What an element calls itself. A name of its class, id, or role sets it apart if one of its parts says what it is and
+# the others only where or in what form: "comment-list", "cookie-banner", not "has-sidebar" or "comments-open".
+_APART_PART = re.compile(
+    r"ads?|advert[a-z]*|adsense|sponsor[a-z]*|promo[a-z]*|banner|sidebar|side|menu|nav(?:s|bar|igation)?|"
     r"breadcrumbs?|footer|masthead|comments?|replies|disqus|cookies?|consent|gdpr|notice|alert|newsletter|subscribe|"
     r"signup|popup|modal|overlay|share|sharing|social|related|recommend[a-z]*|widget|pagination|pager|toolbar|skip|"
-    r"login|search|copyright|disclaimer|tags)(?!\S)",
-    re.IGNORECASE,
+    r"login|search|copyright|disclaimer|tags"
+)
+_FORM_PART = re.compile(
+    r"area|bar|block|body|bottom|box|button|buttons|card|cards|column|container|content|cta|feed|form|global|group|"
+    r"header|holder|inner|item|items|left|link|links|list|lists|main|message|mobile|module|outer|page|panel|post|posts|"
+    r"primary|reader|readers|region|right|root|row|secondary|section|site|slot|space|stories|strip|thread|title|top|"
+    r"unit|user|users|wrap|wrapper|zone|\d+"
 )
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+|[^\W_]")
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)|<[!?/][^>]*(?:>|\Z)", re.DOTALL)
 _TAG_STOP = re.compile(r">|=\s*([\"'])")
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
@@ -64,14 +74,24 @@ def _tag_end(page: str, at: int) -> int:
             return len(page)
 
 
+def sets_apart(labels: str) -> bool:
+    """Whether one of the names, parted by white space, says that its element is no part of an article."""
+    for label in labels.split():
+        parts = [part.lower() for part in _PARTS.findall(label)]
+        own = [_APART_PART.fullmatch(part) is not None for part in parts]
+        if any(own) and all(is_own or _FORM_PART.fullmatch(part) for is_own, part in zip(own, parts, strict=True)):
+            return True
+    return False
+
+
 class Token:
-    """A tag, or the text between two tags."""
+    """A tag, or the text between two tags. ``article``: in an ``article`` or ``main``; ``own``: in an ``article``."""
 
-    __slots__ = ("apart", "article", "end", "kind", "name", "text", "words")
+    __slots__ = ("apart", "article", "end", "kind", "name", "own", "text", "words")
 
-    def __init__(self, kind, name="", text="", words=0, article=False, apart=False, end=False):
+    def __init__(self, kind, name="", text="", words=0, article=False, apart=False, end=False, own=False):
         self.kind, self.name, self.text, self.words = kind, name, text, words
-        self.article, self.apart, self.end = article, apart, end
+        self.article, self.apart, self.end, self.own = article, apart, end, own
 
 
 def tokens(page: str) -> list[Token]:
@@ -123,7 +143,7 @@ def tokens(page: str) -> list[Token]:
         plain = entities.unescape(raw)
         words = len(plain.split())
         inner = "a" if counts["a"] else blocks[-1] if blocks else ""
-        found.append(Token("word", inner, plain, words, deep_article > 0, deep_apart > 0))
+        found.append(Token("word", inner, plain, words, deep_article > 0, deep_apart > 0, own=counts["article"] > 0))
 
     while at < n:
         tag = _MARKUP.search(page, at)
@@ -155,7 +175,7 @@ def tokens(page: str) -> list[Token]:
             continue
         labels = " ".join(next(filter(None, x), "") for x in _NAMES.findall(page, tag.end(), at))
         apart = name in _APART and name != "form"
-        doubt = name == "form" or bool(labels and _APART_NAMES.search(labels)) and name not in ("body", "html")
+        doubt = name == "form" or sets_apart(labels) and name not in ("body", "html")
         article = name in _ARTICLE
         # A header may open an article; its heading is then part of it.
         if name == "header" and deep_article:
@@ -173,8 +193,9 @@ def tokens(page: str) -> list[Token]:
 
 
 def kind_of(token: Token) -> str:
-    """What a token is to the weights: its place, and whether it stands apart."""
-    return f"{token.kind} {token.name}{' apart' if token.apart else ''}"
+    """What a token is to the weights: its place, names HTML doesn't know being one, and whether it stands apart."""
+    name = token.name if token.name in _KNOWN else "" if not token.name else "other"
+    return f"{token.kind} {name}{' apart' if token.apart else ''}"
 
 
 def count_kinds(page: str) -> tuple[bool, dict[str, list[int]]]:
@@ -191,7 +212,8 @@ def learn_weights(pages: DataFrame, id_col: str = "page_id", html: str = "html")
     """Weights per kind of token, from pages that label their article with ``article`` or ``main``.
 
     The labelled pages are a sample, bounded by ``LABELLED_PAGES``; counts are
-    summed by Spark, and only one row per kind of token comes back. Words keep
+    summed by Spark, and only one row per kind of token comes back, a few hundred
+    at most as kinds are of names that HTML knows. Words keep
     to weights of at least 0.05 where the article has more than its share of
     them, tags to weights below 0.
     """
@@ -217,9 +239,8 @@ def learn_weights(pages: DataFrame, id_col: str = "page_id", html: str = "html")
     counted = pages.filter(near).select(F.col(html).cast("string").alias("html"))
     sums = counted.mapInArrow(run, "kind string, inside long, outside long").groupBy("kind")
     sums = sums.agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-    common = sums.orderBy(F.desc(F.col("inside") + F.col("outside")), "kind").limit(1_000).collect()
     weights = {}
-    for row in common:
+    for row in sums.collect():
         score = math.log((row["inside"] + _PRIOR) / (row["outside"] + _PRIOR))
         word = row["kind"].startswith("word")
         weights[row["kind"]] = max(score, 0.05) if word and score > 0 else score if word else min(score, -0.05)
@@ -248,30 +269,27 @@ def _score(token: Token, weights: dict[str, float]) -> float:
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     """The main text of a page: its blocks in order, joined by an empty line.
 
-    The run is widened to the whole blocks, and to the whole article where the
-    page names one, it touches; what stands apart inside is left out.
+    The run is widened to the whole blocks it touches, and to the whole ``article``
+    or ``main`` where the page names one. What stands apart inside is left out, and
+    so is what a ``main`` holds besides articles that have half of its words or more.
     """
     every = tokens(page or "")
     start, stop = best_run([_score(t, weights) for t in every])
     if start == stop:
         return ""
-    if any(t.article for t in every[start:stop]):
-        while start > 0 and every[start - 1].article:
-            start -= 1
-        while stop < len(every) and every[stop].article:
-            stop += 1
-        inside = [t for t in every[start:stop] if t.article]
-    else:
-        while start > 0 and not _breaks(every[start - 1]):
-            start -= 1
-        while stop < len(every) and not _breaks(every[stop]):
-            stop += 1
-        inside = every[start:stop]
+    named = any(t.article for t in every[start:stop])
+    while start > 0 and (every[start - 1].article if named else not _breaks(every[start - 1])):
+        start -= 1
+    while stop < len(every) and (every[stop].article if named else not _breaks(every[stop])):
+        stop += 1
+    inside = [t for t in every[start:stop] if t.kind == "tag" or not t.apart and (t.article or not named)]
+    words, own = sum(t.words for t in inside), sum(t.words for t in inside if t.own)
+    if words and 2 * own >= words:
+        inside = [t for t in inside if t.kind == "tag" or t.own]
     blocks, parts = [], []
     for t in inside:
         if t.kind == "word":
-            if not t.apart:
-                parts.append(t.text)
+            parts.append(t.text)
         elif t.name == "br":
             parts.append(" ")
         elif _breaks(t):

@@ -72,6 +72,15 @@ def test_labels_inside_an_article_are_whole_names(weights, name):
     assert text == "One two.\n\nThree four."
 
 
+@pytest.mark.parametrize("label", [
+    'class="comment-list"', 'id="comments-section"', 'class="ad-slot"', 'class="side-bar cookie-banner"', 'id=ad_unit_3',
+    'class="post relatedPosts"', "class='social-share-buttons'", 'class="widget-area"', 'class="newsletter__form"',
+])
+def test_own_names_of_several_parts_set_apart(weights, label):
+    text = extract.main_text(page(f"<p>One two.</p><div {label}><p>Three four.</p></div><p>Five six.</p>"), weights)
+    assert text == "One two.\n\nFive six."
+
+
 def test_a_form_around_the_article_leaves_it_whole(weights):
     html = "<body><form id=all><nav>home</nav><article><p>One two.</p><form>no</form></article></form></body>"
     assert extract.main_text(html, weights) == "One two."
@@ -124,3 +133,28 @@ def test_time_is_linear_in_the_page(weights, piece):
     start = time.process_time()
     extract.main_text(piece * 40_000, weights)
     assert time.process_time() - start < 10
+
+
+def test_the_run_decides_what_of_a_main_is_the_article(weights):
+    body = "<h1>Title</h1><p>One two three four.</p><p>Five six.</p>"
+    text = "Title\n\nOne two three four.\n\nFive six."
+    teaser = "<div><h3>More stories</h3><a href=/b>Another</a></div>"
+    assert extract.main_text(f"<body><main><article>{body}</article>{teaser}</main></body>", weights) == text
+    assert extract.main_text(f"<body><nav>x</nav><main>{teaser}<article>{body}</article></main></body>", weights) == text
+    listed = f"<main>{body}<section><article><a href=/b>Another</a></article></section></main>"
+    assert extract.main_text(f"<body>{listed}<footer>end</footer></body>", weights).startswith(text)
+
+
+@pytest.mark.parametrize("n", [1, 30, 3000])
+def test_long_and_mixed_articles_stay_whole(weights, n):
+    parts = [f"Part {i} of the text" for i in range(n)]
+    body = "<h1>Title</h1>" + "".join(
+        f"<p>{p}</p><div class='ad'>no</div>" if i % 3 else f"<ul><li>{p}<li><b>two</b></ul>" for i, p in enumerate(parts)
+    )
+    blocks = extract.main_text(page(body), weights).split("\n\n")
+    assert blocks == ["Title", *(b for i, p in enumerate(parts) for b in ([p] if i % 3 else [p, "two"]))]
+
+
+def test_kinds_are_bounded_by_the_names_html_knows():
+    _, counts = extract.count_kinds("".join(f"<x-{i}>word</x-{i}>" for i in range(500)) + "<p>a</p>")
+    assert set(counts) == {"tag other", "word other", "tag p", "word p"}
