@@ -245,6 +245,30 @@ def dedup_first(spark, sf):
     return first.select("source", "id", "checkpoint_no", "pos", value)
 
 
+def checkpoint_files(spark, sf):
+    """Events as vectors in three numbered checkpoints, written and read back: the first one per source and id."""
+    folder = scratch_path(spark, "checkpoints")
+    rows = _checkpoints(spark, sf).withColumns(
+        {
+            "values": F.array((F.col("pos") % 1000).cast("float"), F.lit(0.5).cast("float")),
+            "metadata": F.struct(
+                F.col("metadata.source").alias("source"),
+                F.lit("html").alias("type"),
+                F.lit(0).alias("depth"),
+                F.lit(RUN_TS).cast("timestamp_ntz").alias("last_modified"),
+                F.concat(F.lit('"é" '), F.col("pos").cast("string")).alias("text"),
+            ),
+        }
+    )
+    for number, days in ((9, (1, 10)), (10, (11, 20)), (100, (21, 31))):
+        json_files.write_checkpoint(rows.filter(F.col("checkpoint_no").between(*days)), folder, number, "pos")
+    first = repair.dedup_first(json_files.read_checkpoints(spark, folder))
+    return first.select(
+        "source", "id", "checkpoint_no", F.element_at("values", 1).cast("bigint").alias("value"),
+        F.col("metadata.text").alias("text"), stamp("metadata.last_modified").alias("last_modified"),
+    )
+
+
 def known_sources(spark, sf):
     first = repair.dedup_first(_checkpoints(spark, sf))
     return repair.known_sources(first, _status(spark, sf)).select("source", "id")
@@ -306,7 +330,7 @@ QUERIES = {
         stage_counts, status_counts, totals, processing_rate, event_rate, first_and_last_update,
         recent_failures, undated_failures_last, status_table, failure_log, latest_checkpoint,
         dedup_first, known_sources, unknown_sources, merge_checkpoints, json_status, json_failures,
-        json_discovered,
+        json_discovered, checkpoint_files,
     )
 }
 
@@ -496,3 +520,10 @@ ORACLES["json_failures"] = f"""
 ORACLES["json_discovered"] = f"""
     select url, depth, is_pdf, strftime(discovered_at, '%Y-%m-%d %H:%M:%S.%f') as discovered_at,
            'h.example' as domain, 2 as max_depth, '{RUN_TS}' as discovery_time from ({_FOUND})"""
+ORACLES["checkpoint_files"] = f"""
+    with c as (
+        select source, id, pos, case when checkpoint_no <= 10 then 9 when checkpoint_no <= 20 then 10 else 100 end as checkpoint_no
+        from ({CHECKPOINT_INPUT}) where source is not null),
+    f as (select *, row_number() over (partition by source, id order by checkpoint_no, pos) as rn from c)
+    select source, id, checkpoint_no, pos % 1000 as value, '"é" ' || pos as text, '{RUN_TS}' as last_modified
+    from f where rn = 1"""

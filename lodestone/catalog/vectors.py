@@ -27,7 +27,7 @@ from lodestone.operators import vectors as vec
 from lodestone.plans import corpus_build, discovery, pdf_build
 from lodestone.plans.questions import answer_inputs
 from lodestone.session import scratch_path, spread, stored
-from lodestone.sources import tables
+from lodestone.sources import json_files, tables
 from lodestone.streaming import ingest
 
 
@@ -437,6 +437,29 @@ def corpus_run(spark, sf):
     )
 
 
+def scraped_documents(spark, sf):
+    """Pages fetched with headers, those of http URLs malformed, scraped, written as JSON documents and read back."""
+    pages = spread(load(spark, sf, "pages"))
+    run = corpus_build.Run(spark, scratch_path(spark, "corpus"), RUN_TS)
+    secure = F.startswith("url", F.lit("https:"))
+    day = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("page_id").cast("int"))
+    date = F.concat(F.date_format(day, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    fetched = pages.select(
+        "url", "html", F.lit(200).alias("status"), F.when(secure, date).otherwise("yesterday").alias("last_modified"),
+        F.concat(F.lit('W/"'), "page_id", F.lit('"')).alias("etag"), F.lit("text/html; charset=utf-8").alias("content_type"),
+        F.when(secure, F.length("html").cast("string")).otherwise("unknown").alias("content_length"),
+    )
+    corpus_build.scrape(run, pages.select("url"), fetched)
+    path = scratch_path(spark, "documents-json")
+    json_files.write_documents(corpus_build.documents(run), path)
+    back = json_files.read_documents(spark, path).select("url", "type", F.length("text").alias("n_chars"), "metadata")
+    return back.select(
+        "url", "type", (F.col("n_chars") > 0).alias("has_text"), F.col("metadata.url").alias("page_url"), "metadata.etag", "metadata.content_type",
+        "metadata.content_length", stamp("metadata.last_modified").alias("last_modified"),
+        stamp("metadata.scraped_at").alias("scraped_at"),
+    )
+
+
 def pdf_run(spark, sf):
     """Conversations as PDFs, their turns as pages; run twice."""
     texts = stored(load(spark, sf, "conversations").select(
@@ -473,6 +496,7 @@ QUERIES = {
         processed_ids, new_chunks, embed_documents, vector_records, embedding_complete,
         changed_documents, registry_update, embed_changed, ingest_stream, ingest_with_failures,
         index_replacing, merged_run, shared_index, stage_retry, answers_with_failures, corpus_run, pdf_run, site_discovery,
+        scraped_documents,
     )
 }
 QUERIES["embed_failures"] = embedding_failures
@@ -694,3 +718,13 @@ ORACLES["pdf_run"] = f"""
 ORACLES["site_discovery"] = """
     select min(url) as url, 0 as depth, false as is_pdf from pages"""
 ORACLES["topk_cosine_grid"] = ORACLES["topk_cosine"]
+ORACLES["scraped_documents"] = f"""
+    with p as (
+        select *, starts_with(url, 'https:') as secure,
+               case when starts_with(url, 'https:') then timestamp '2024-01-01 00:00:00' + to_hours(page_id)
+                    else timestamp '{RUN_TS}' end as changed
+        from pages)
+    select url, 'html' as type, true as has_text, url as page_url, 'W/"' || page_id || '"' as etag,
+           'text/html; charset=utf-8' as content_type, case when secure then length(html) end as content_length,
+           {stamp_sql("changed")} as last_modified, '{RUN_TS}' as scraped_at
+    from p"""

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import schemas
+from lodestone.functions.http import http_metadata
 from lodestone.functions.times import as_ntz
 from lodestone.functions.urls import base_path
 from lodestone.operators import chunking, combine, embedding, pages, status, vectors
@@ -60,9 +61,10 @@ class Run:
         tables.write_status(new_status, self.path("status"))
 
 
+_METADATA = schemas.PAGE_METADATA.replace(", ", ",").replace(" ", ":")
 _PAGE = (
     "url string, text string, type string, last_modified timestamp_ntz, "
-    "links array<string>, error string"
+    f"links array<string>, error string, metadata struct<{_METADATA}>"
 )
 _CHUNK = f"{schemas.CHUNK}, doc_key string, error string"
 _VECTOR = f"{schemas.CHUNK}, doc_key string, values array<float>, error string"
@@ -114,6 +116,24 @@ def _due_sources(run: Run, due: DataFrame) -> DataFrame:
     return sources
 
 
+def _with_metadata(run: Run, fetched: DataFrame) -> DataFrame:
+    """Fetches with ``last_modified`` as a time and their headers as ``metadata``; a header not given is null."""
+    kinds = dict(fetched.dtypes)
+
+    def header(name):
+        return F.col(name).cast("string") if name in kinds else F.lit(None).cast("string")
+
+    names = ("last_modified", "etag", "content_type", "content_length")
+    metadata = http_metadata("url", *map(header, names), run.run_ts)
+    changed = metadata["last_modified"]
+    if kinds.get("last_modified", "string") != "string":
+        changed = F.col("last_modified").cast("timestamp_ntz")
+    elif "last_modified" in kinds:
+        changed = F.coalesce(F.col("last_modified").try_cast("timestamp_ntz"), changed)
+    rows = fetched.withColumn("metadata", metadata.withField("last_modified", changed))
+    return rows.withColumn("last_modified", F.col("metadata.last_modified"))
+
+
 def _pdf_documents(run: Run, page_texts: DataFrame, due: DataFrame) -> DataFrame:
     """The PDFs that are due, put together from their pages; one without text is an error."""
     texts = keep_keys(page_texts.select("url", "page", "text"), due, "url").withColumnRenamed("url", "path")
@@ -124,21 +144,22 @@ def _pdf_documents(run: Run, page_texts: DataFrame, due: DataFrame) -> DataFrame
         as_ntz(run.run_ts).alias("last_modified"),
         F.lit(None).cast("array<string>").alias("links"),
         F.when(F.col("text") == "", "no text in the file").alias("error"),
+        http_metadata("path", *[F.lit(None).cast("string")] * 4, run.run_ts).alias("metadata"),
     )
 
 
 def scrape(run: Run, discovered: DataFrame, fetched: DataFrame, page_texts: DataFrame | None = None) -> None:
     """Parse the pages that are due; text, links and errors come of one pass.
 
-    ``fetched`` is (url, status, html[, last_modified]). PDFs are no pages to
-    parse: their texts come from ``page_texts`` (url, page, text). A URL with
+    ``fetched`` is (url, status, html[, last_modified, etag, content_type,
+    content_length]), the last four as headers give them or ``last_modified`` as a
+    time; they are kept as the documents' ``metadata``. PDFs are no pages to parse: their texts come from ``page_texts`` (url, page, text). A URL with
     neither html nor page texts is logged as a failure.
     """
     due = status.stage_gate(discovered, run.status(), "scrape")
     html = keep_keys(pages.ok_pages(fetched).filter("html is not null"), due, "url")
-    if "last_modified" not in html.columns:
-        html = html.withColumn("last_modified", as_ntz(run.run_ts))
-    parsed = pages.parse_pages(html.select("url", "html", "last_modified")).withColumns(
+    html = _with_metadata(run, html).select("url", "html", "last_modified", "metadata")
+    parsed = pages.parse_pages(html).withColumns(
         {
             "text": pages.page_text(F.col("title"), F.col("body")),
             "type": pages.classify_document("url"),
@@ -155,6 +176,11 @@ def scrape(run: Run, discovered: DataFrame, fetched: DataFrame, page_texts: Data
     run.finish("scrape", status.mark_scraped(before, discovered, content), failed)
 
 
+def documents(run: Run) -> DataFrame:
+    """The scraped documents with their page metadata, as ``json_files.write_documents`` takes them."""
+    return schemas.conform(run.results("pages", _PAGE, "url").drop("links", "error"), schemas.DOCUMENT)
+
+
 def links(run: Run) -> DataFrame:
     """Link edges of the scraped pages, for the next discovery."""
     scraped = run.results("pages", _PAGE, "url")

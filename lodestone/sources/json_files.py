@@ -25,8 +25,8 @@ _METADATA_JSON = (
 _DOCUMENT_FIELDS = ("url", "text", "type", "depth", "metadata")
 _DOCUMENT_JSON = f"url string, text string, type string, depth int, metadata {_METADATA_JSON}"
 _VECTOR_JSON = (
-    "id string, values array<float>, "
-    "metadata struct<source:string,type:string,depth:int,last_modified:string,text:string>"
+    "id:string,values:array<float>,"
+    "metadata:struct<source:string,type:string,depth:int,last_modified:string,text:string>"
 )
 
 
@@ -168,19 +168,38 @@ def write_documents(docs: DataFrame, path: str, wrapped: bool = False, mode: str
     _write_documents(docs.select(F.to_json(entry).alias("value")), path, opening, closing, mode)
 
 
+def write_checkpoint(vectors: DataFrame, folder: str, number: int, *order: str, mode: str = "errorifexists") -> None:
+    """Vectors (id, values, metadata) as the checkpoint of a number, in the order of the columns ``order``."""
+    meta = F.col("metadata")
+    metadata = F.struct(
+        *(meta[c].alias(c) for c in ("source", "type", "depth")),
+        _iso(meta["last_modified"]).alias("last_modified"),
+        meta["text"].alias("text"),
+    )
+    entry = F.to_json(F.struct("id", "values", metadata.alias("metadata")))
+    rows = vectors.repartitionByRange(*order).sortWithinPartitions(*order).select(entry.alias("value"))
+    _write_documents(rows, f"{folder.rstrip('/')}/embeddings_checkpoint_{number}.json", "[", "]", mode)
+
+
 def read_checkpoints(spark: SparkSession, folder: str) -> DataFrame:
-    """Vectors of every numbered checkpoint file, with file number and position."""
+    """Vectors of every numbered checkpoint, a file or a folder of parts, with its number and their position.
+
+    ``pos`` comes of the number of the part and the place in its array, so it is the same
+    whichever tasks read the files. A file that can't be parsed gives no rows.
+    """
     glob = f"{folder.rstrip('/')}/embeddings_checkpoint_*.json"
     if path_exists(spark, glob):
-        rows = spark.read.schema(_VECTOR_JSON).json(glob, multiLine=True)
+        files = spark.read.text(glob, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     else:
-        rows = schemas.empty(spark, _VECTOR_JSON)
-    number = F.regexp_extract(F.input_file_name(), r"_(\d+)\.json$", 1).try_cast("bigint")
+        files = schemas.empty(spark, "value string, file string")
+    entries = F.from_json("value", f"array<struct<{_VECTOR_JSON}>>")
+    rows = files.select("file", F.posexplode(entries).alias("place", "entry")).select("file", "place", "entry.*")
+    number = F.regexp_extract("file", r"embeddings_checkpoint_(\d+)\.json", 1).try_cast("bigint")
+    part = F.regexp_extract("file", r"/part-(\d+)[^/]*$", 1).try_cast("bigint")
     when = F.col("metadata.last_modified").try_cast("timestamp_ntz")
     return rows.select(
         number.alias("checkpoint_no"),
-        # A file is read by one task in order, so this grows within each file.
-        F.monotonically_increasing_id().alias("pos"),
+        (F.coalesce(part, F.lit(0)) * 2**32 + F.col("place")).alias("pos"),
         "id",
         "values",
         F.col("metadata").withField("last_modified", when).alias("metadata"),

@@ -407,3 +407,24 @@ def test_documents_that_merging_leaves_out_fail(spark, tmp_path):
     corpus_build.build(run, found, fetched, hashing_embedder(8), "test", 8, merged=True)
     rows = {r["url"]: (r["status"], r["stage"], r["error"]) for r in run.status().collect()}
     assert rows == {urls[0]: ("failed", "chunking", corpus_build.LEFT_OUT), urls[1]: ("completed", "uploaded", None)}
+
+
+def test_page_metadata_stays_with_the_documents(spark, tmp_path):
+    html = "<p>" + words("a", 20) + "</p>"
+    rows = [
+        ("http://h/a", 200, html, "Tue, 02 Jan 2024 03:04:05 GMT", "e1", "text/html", "12"),
+        ("http://h/b", 200, html, "yesterday", None, None, "many"),
+        ("http://h/c", 200, html, "2024-01-05 00:00:00", "e3", "text/html", None),
+    ]
+    ddl = "url string, status int, html string, last_modified string, etag string, content_type string, content_length string"
+    found = spark.createDataFrame([(u,) for u in ("http://h/a", "http://h/b", "http://h/c", "http://h/d.pdf")], "url string")
+    run = corpus_build.Run(spark, str(tmp_path), T1)
+    texts = spark.createDataFrame([("http://h/d.pdf", 1, "text of a page")], "url string, page int, text string")
+    corpus_build.scrape(run, found, spark.createDataFrame(rows, ddl), texts)
+    got = {r["url"]: r["metadata"] for r in corpus_build.documents(run).collect()}
+    assert [str(got[u]["last_modified"]) for u in sorted(got)] == ["2024-01-02 03:04:05", T1, "2024-01-05 00:00:00", T1]
+    assert [(got[u]["etag"], got[u]["content_length"]) for u in sorted(got)] == [("e1", 12), (None, None), ("e3", None), (None, None)]
+    assert {str(m["scraped_at"]) for m in got.values()} == {T1} and all(m["url"] == u for u, m in got.items())
+    corpus_build.chunk_stage(run, found)
+    chunks = run.results("chunks", corpus_build._CHUNK, "source").collect()
+    assert {r["source"]: str(r["last_modified"]) for r in chunks}["http://h/a"] == "2024-01-02 03:04:05"

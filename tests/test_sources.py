@@ -65,6 +65,36 @@ def test_checkpoint_files(spark, tmp_path):
     assert json_files.read_checkpoints(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_checkpoints_in_parts_keep_their_order(spark, tmp_path):
+    rows = spark.range(1000).select(
+        (999 - F.col("id")).alias("rank"),
+        F.concat(F.lit("v"), "id").alias("id"),
+        F.array(F.col("id").cast("float")).alias("values"),
+        F.struct(
+            F.when(F.col("id") > 9, "s").alias("source"), F.lit("html").alias("type"), F.lit(1).alias("depth"),
+            F.lit("2024-01-01 00:00:01").cast("timestamp_ntz").alias("last_modified"), F.lit('"é"\n').alias("text"),
+        ).alias("metadata"),
+    )
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for number in (9, 10):
+            json_files.write_checkpoint(rows, str(tmp_path), number, "rank")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    back = json_files.read_checkpoints(spark, str(tmp_path))
+    assert len(list((tmp_path / "embeddings_checkpoint_9.json").glob("part-*"))) > 3
+    for some in (back, back.repartition(11)):
+        got = some.orderBy("checkpoint_no", "pos").collect()
+        assert [(r["checkpoint_no"], r["id"]) for r in got] == [(n, f"v{i}") for n in (9, 10) for i in range(999, -1, -1)]
+    last = got[-1]
+    assert last["values"] == [0.0] and last["metadata"]["source"] is None and last["metadata"]["text"] == '"é"\n'
+    (tmp_path / "embeddings_checkpoint_11.json").write_text('[{"id": "cut')
+    assert json_files.read_checkpoints(spark, str(tmp_path)).count() == 2000
+
+
 def test_pdf_listing(spark, tmp_path):
     for name in ("a.pdf", "b.pdf", "c.txt"):
         (tmp_path / name).write_bytes(b"12345")
