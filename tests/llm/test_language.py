@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import zstandard
+
 from lodestone.llm import language
 
 SCHEMA = "doc_id long, text string, lang string, held_out string, rejected int"
@@ -75,3 +77,40 @@ def test_without_labels_or_rows(spark):
     assert [(r["lang_pred"], r["score"]) for r in found] == [("und", 0.0)]
     assert language.identify(frame(spark, [])).count() == 0
     assert language.keep_identified(frame(spark, [])).count() == 0
+
+
+def plain(content, text):
+    """Language, score and rejection by a plain loop that compresses every block anew."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0, True
+    raw, sizes = (" " + text.lower() + " ").encode(), {}
+    for lang, data in content.items():
+        sizes[lang] = 0
+        for start in range(0, len(raw), 1000):
+            block = raw[start : start + 1000]
+            level, least = (12, 3) if len(block) < 300 else (6, 4)
+            how = zstandard.ZstdCompressionParameters.from_level(
+                level, dict_size=len(data), min_match=least, write_content_size=False
+            )
+            own = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            own.precompute_compress(compression_params=how)
+            sizes[lang] += len(zstandard.ZstdCompressor(compression_params=how, dict_data=own).compress(block))
+    best = min(sizes, key=sizes.get)
+    behind = {k: (n - sizes[best]) / sizes[best] for k, n in sizes.items()}
+    score = 1 / sum(2 ** (-64 * b) for b in behind.values())
+    return best, score, min(b for k, b in behind.items() if k != best) < 0.003
+
+
+def test_predictions_match_a_plain_loop(spark):
+    rows = [(i, t, label) for i, t, label, _ in make(150, seed=5)]
+    model = language.learn(frame(spark, rows))
+    draw = random.Random(6)
+    mixed = sentence(draw, "en", 60) + " " + sentence(draw, "de", 60)
+    odd = [None, "", "12 34", "é", mixed, sentence(draw, "es", 4000), "the " * 3000]
+    rows += [(1000 + i, t, None) for i, t in enumerate(odd)]
+    found = {r["doc_id"]: r for r in language.identify(frame(spark, rows), model).collect()}
+    assert len(found) == len(rows)
+    for i, text, _ in rows:
+        lang, score, rejected = plain(model.content, text)
+        assert (found[i]["lang_pred"], found[i]["rejected"]) == (lang, rejected)
+        assert abs(found[i]["score"] - score) < 1e-9
