@@ -82,7 +82,7 @@ def topk_cosine(spark, sf):
 
 
 def topk_cosine_grid(spark, sf):
-    """The same with neither side small enough to broadcast."""
+    """The same with more questions than are broadcast at once."""
     rows = load(spark, sf, "embeddings")
     questions = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("values"))
     corpus = rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("values"), "label")
@@ -283,23 +283,28 @@ def embed_changed(spark, sf):
     return vec.vectors_per_document(fresh)
 
 
+def _index(spark, sf):
+    """The chunks' vectors as a table, which a search reads twice."""
+    return stored(_chunk_vectors(spark, sf), "index")
+
+
 def _questions(spark, sf):
     return load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def question_topk(spark, sf):
     """Flagship: all documents chunked and embedded, the best chunks for every question."""
-    hits = retrieval.ask(_questions(spark, sf), _chunk_vectors(spark, sf), hashing_embedder(DIM), "prod")
+    hits = retrieval.ask(_questions(spark, sf), _index(spark, sf), hashing_embedder(DIM), "prod")
     return _question_hits(hits, "id", "source", "text")
 
 
 def prompts(spark, sf):
-    answers = answer_inputs(_questions(spark, sf), _chunk_vectors(spark, sf), hashing_embedder(DIM), "prod")
+    answers = answer_inputs(_questions(spark, sf), _index(spark, sf), hashing_embedder(DIM), "prod")
     return answers.select("query_id", "question", "prompt")
 
 
 def answer_sources(spark, sf):
-    answers = answer_inputs(_questions(spark, sf), _chunk_vectors(spark, sf), hashing_embedder(DIM), "prod")
+    answers = answer_inputs(_questions(spark, sf), _index(spark, sf), hashing_embedder(DIM), "prod")
     return answers.select("query_id", F.array_join("sources", " ").alias("sources"))
 
 
@@ -417,7 +422,7 @@ def answers_with_failures(spark, sf):
             raise RuntimeError("refused")
         return embed(texts)
 
-    answers = answer_inputs(_questions(spark, sf), _chunk_vectors(spark, sf), picky, "prod", batch=1)
+    answers = answer_inputs(_questions(spark, sf), _index(spark, sf), picky, "prod", batch=1)
     return answers.select("query_id", "error", F.col("prompt").isNotNull().alias("has_prompt"))
 
 

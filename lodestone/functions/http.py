@@ -44,5 +44,6 @@ def is_pdf_response(content_type: Column | str) -> Column:
 def pdf_response_error(content_type: Column | str) -> Column:
     """Null for a PDF, else the message the download log records."""
     kind = F.coalesce(F.lower(content_type), F.lit(""))
+    # Fixed value: the message as it stands in existing download logs.
     message = F.concat(F.lit("Not a PDF (content-type: "), kind, F.lit(")"))
     return F.when(~is_pdf_response(content_type), message)

@@ -1,12 +1,13 @@
 """Exact nearest vectors by cosine similarity.
 
-Both ways below are exact and differ only in how rows meet:
+The corpus stays where it is. Questions, measured to be small, go to every task;
+each task keeps the best k per question while it streams its share of the corpus
+and emits only those, as question, row and score. More questions than that come in
+rounds, one block of bounded size after the other, each of which passes over the
+corpus and is reduced to its best k before the next begins.
 
-* *broadcast*: the questions, measured to be small, go to every task; each task
-  keeps the best k per question while it streams its share of the corpus and
-  emits only those;
-* *grid*: both sides are cut into blocks of bounded size and every pair of
-  blocks meets in one task, which again emits only the best k per question.
+The other columns of the corpus, texts above all, take no part in this. They are
+fetched at the end, for the rows that were found.
 
 Similarities are rounded to ``DIGITS`` before ranking, ties going to the lower
 id, so the ranking does not depend on how the work was split.
@@ -21,11 +22,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from lodestone.session import scratch_path, stored
 
 TOP_K = 5
 DIGITS = 9
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_BYTES = 64 * 1024 * 1024
+# What a found row takes in a broadcast, its id included, at a generous guess.
+HIT_BYTES = 256
 # Similarities held at once while a batch meets the questions.
 TILE_CELLS = 4_000_000
 
@@ -110,10 +116,9 @@ def _merge(kept: pa.Table | None, fresh: pa.Table, k: int) -> pa.Table:
     return _best(fresh if kept is None else pa.concat_tables([kept, fresh]), k)
 
 
-def _rank(hits: DataFrame, k: int, columns: list[str]) -> DataFrame:
+def _rank(hits: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("id"))
-    ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", *columns, "similarity")
+    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def search(
@@ -126,30 +131,58 @@ def search(
     """The ``k`` most similar corpus rows for every question, best first.
 
     ``questions`` is (query_id, values); ``corpus`` is (id, values) and any
-    further columns, which come back with the hits. Vectors must be of one
+    further columns but maps, which come back with the hits. Vectors must be of one
     dimension. Filter the corpus by namespace before the call, so that the
     partition filter reaches the scan.
+
+    Questions of up to ``broadcast_bytes`` are answered in one pass over the
+    vectors. More of them come in blocks of ``block_bytes``, one at a time through
+    the driver; the vectors are stored once and read once per block. Further columns
+    are read in a pass of their own, so pass a stored corpus.
     """
     questions = questions.select("query_id", "values").filter("values is not null")
-    corpus = corpus.filter("values is not null")
+    columns = [c for c in corpus.columns if c != "values"]
+    carried = [c for c in columns if c != "id"]
+    if carried:
+        # Rows of one id are told apart by their columns; those equal in all may stand for one another.
+        corpus = corpus.withColumn("_row", F.xxhash64(*carried))
+    key = ["id", "_row"] if carried else ["id"]
+    vectors = corpus.filter("values is not null").select(*key, "values")
     head = questions.select(F.size("values").alias("n")).take(1)
     dimension = head[0]["n"] if head else 1
     bound = max(1, broadcast_bytes // (8 * dimension))
     small = questions.limit(bound + 1).toArrow()
-    carried = [c for c in corpus.columns if c != "values"]
-    types = {f.name: f.dataType.simpleString() for f in corpus.schema.fields}
-    query_type = questions.schema["query_id"].dataType.simpleString()
-    ddl = ", ".join(f"`{c}` {types[c]}" for c in carried)
-    ddl += f", query_id {query_type}, similarity double"
+    types = {f.name: f.dataType.simpleString() for f in [*vectors.schema.fields, *questions.schema.fields]}
+    ddl = ", ".join(f"{c} {types[c]}" for c in [*key, "query_id"]) + ", similarity double"
     if small.num_rows <= bound:
-        hits = _broadcast_hits(small, corpus, k, ddl)
+        found = _rank(_hits(small, vectors, k, ddl), k)
     else:
-        hits = _grid_hits(questions, corpus, k, ddl, max(1, block_bytes // (8 * dimension)))
-    return _rank(hits, k, carried)
+        found = _rounds(questions, vectors, k, ddl, max(1, block_bytes // (8 * dimension)))
+    if carried:
+        if small.num_rows <= bound and small.num_rows * k * HIT_BYTES <= broadcast_bytes:
+            found = F.broadcast(found)
+        else:
+            found = stored(found, "found")
+        found = _fetch(found, corpus.select(*key, *carried), key)
+    return found.select("query_id", "rank", *columns, "similarity")
+
+
+def _fetch(found: DataFrame, corpus: DataFrame, key: list[str]) -> DataFrame:
+    """The rows that were found, with their other columns.
+
+    They are broadcast, or stored so that the join is planned by their real size;
+    the corpus is moved only where they are many. Equal rows of the corpus all
+    match, so each rank takes one.
+    """
+    wanted = found.withColumnsRenamed({c: f"_found_{c}" for c in key})
+    same = [corpus[c].eqNullSafe(wanted[f"_found_{c}"]) for c in key]
+    matched = corpus.join(wanted, same).drop(*[f"_found_{c}" for c in key])
+    return matched.dropDuplicates(["query_id", "rank"])
 
 
-def _broadcast_hits(small: pa.Table, corpus: DataFrame, k: int, ddl: str) -> DataFrame:
-    shared = corpus.sparkSession.sparkContext.broadcast(_questions(small))
+def _hits(block: pa.Table, vectors: DataFrame, k: int, ddl: str) -> DataFrame:
+    """What the tasks find best for one block of questions."""
+    shared = vectors.sparkSession.sparkContext.broadcast(_questions(block))
 
     def best_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix, names = shared.value
@@ -161,34 +194,25 @@ def _broadcast_hits(small: pa.Table, corpus: DataFrame, k: int, ddl: str) -> Dat
         if kept is not None:
             yield from kept.drop_columns(["_q"]).to_batches()
 
-    return corpus.mapInArrow(best_of_partition, ddl)
+    return vectors.mapInArrow(best_of_partition, ddl)
 
 
-def _grid_hits(
-    questions: DataFrame, corpus: DataFrame, k: int, ddl: str, block_rows: int
-) -> DataFrame:
-    """Every question block meets every corpus block once, in a task of its own."""
-    rows = -(-corpus.count() // block_rows) or 1
-    cols = -(-questions.count() // block_rows) or 1
-
-    def block(key: str, count: int):
-        return F.pmod(F.xxhash64(key, "values"), F.lit(count)).cast("int")
-
-    def every(count: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-
-    cells = ["_row", "_col"]
-    left = corpus.withColumn("_row", block("id", rows)).withColumn("_col", every(cols))
-    right = questions.withColumn("_col", block("query_id", cols)).withColumn("_row", every(rows))
-
-    def best_of_cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        matrix, names = _questions(right)
-        table = left.drop_columns(cells)
-        hits = _candidates(matrix, names, table, k)
-        if hits is not None:
-            return _best(hits, k).drop_columns(["_q"])
-        nothing = table.slice(0, 0).drop_columns(["values"])
-        nothing = nothing.append_column("query_id", right.column("query_id").slice(0, 0))
-        return nothing.append_column("similarity", pa.array([], pa.float64()))
-
-    return left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(best_of_cell, ddl)
+def _rounds(questions: DataFrame, vectors: DataFrame, k: int, ddl: str, block_rows: int) -> DataFrame:
+    """Every block of questions passes over the stored vectors; what it found is stored before the next.
+
+    Places are dealt in turn, so that blocks are of one size whatever the ids are.
+    """
+    spark = questions.sparkSession
+    questions, vectors = stored(questions, "questions"), stored(vectors, "corpus-vectors")
+    count = -(-questions.count() // block_rows)
+    blocks, rounds = scratch_path(spark, "question-blocks"), scratch_path(spark, "search-rounds")
+    place = F.pmod(F.monotonically_increasing_id(), F.lit(count)).cast("int")
+    dealt = questions.withColumn("_block", place).repartition(count, "_block")
+    dealt.write.partitionBy("_block").parquet(blocks)
+    with_block = StructType([*questions.schema.fields, StructField("_block", IntegerType())])
+    for n in range(count):
+        block = spark.read.schema(with_block).parquet(blocks).filter(F.col("_block") == n)
+        best = _rank(_hits(block.drop("_block").toArrow(), vectors, k, ddl), k).drop("rank")
+        best.write.parquet(f"{rounds}/round={n}")
+    # An id that several questions share is ranked as one question.
+    return _rank(spark.read.schema(ddl).parquet(rounds), k)

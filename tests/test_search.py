@@ -67,6 +67,49 @@ def test_empty_sides(spark, data):
     assert search.search(q, c.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rounds", [1, 4])
+def test_columns_are_fetched_for_the_rows_found(spark, data, rounds):
+    questions, corpus = data
+    sizes = {} if rounds == 1 else {"broadcast_bytes": 8 * 8 * 5, "block_bytes": 8 * 8 * 10}
+    # Two texts under one id, and rows equal in everything.
+    rows = [(i, None if v is None else [float(x) for x in v], text) for i, v in corpus[:40] + corpus[-4:] for text in ("one", "two", "two", None)]
+    c = spark.createDataFrame(rows, "id string, values array<float>, text string").repartition(3)
+    asked = frame(spark, questions, "query_id")
+    hits = search.search(asked, c, 8, **sizes)
+    assert hits.columns == ["query_id", "rank", "id", "text", "similarity"]
+    got = found(hits)
+    assert got == brute(questions, [(i, v) for i, v, _ in rows], 8)
+    texts = {}
+    for row in hits.collect():
+        texts.setdefault((row["query_id"], row["id"]), []).append(row["text"])
+    full = [t for t in texts.values() if len(t) == 4]
+    assert full and all(sorted(map(str, t)) == ["None", "one", "two", "two"] for t in full)
+
+
+def test_questions_of_one_id_are_ranked_as_one(spark, data):
+    corpus = data[1][:50]
+    asked = [("same", v) for _, v in data[0][:12]]
+    q, c = frame(spark, asked, "query_id"), frame(spark, corpus, "id")
+    once = found(search.search(q, c, 6))
+    assert [r[1] for r in once] == list(range(1, 7))
+    assert found(search.search(q, c, 6, broadcast_bytes=8 * 8, block_bytes=8 * 8 * 5)) == once
+
+
+@pytest.mark.parametrize("rounds", [1, 4])
+def test_the_corpus_stays_put(spark, tmp_path, data, rounds):
+    sizes = {} if rounds == 1 else {"broadcast_bytes": 8 * 8 * 5, "block_bytes": 8 * 8 * 10}
+    c = frame(spark, data[1], "id").withColumn("text", F.repeat(F.lit("word "), 20))
+    c.write.parquet(str(tmp_path / "corpus"))
+    stored = spark.read.parquet(str(tmp_path / "corpus"))
+    hits = search.search(frame(spark, data[0], "query_id"), stored, 5, **sizes)
+    hits.collect()
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "CartesianProduct" not in plan
+    # The pass that fetches texts reads no vectors.
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert any("struct<id:string,text:string>" in line for line in scans)
+
+
 def test_namespace_filter_reaches_the_scan(spark, tmp_path, data):
     q = frame(spark, data[0], "query_id")
     c = frame(spark, data[1], "id").withColumn("namespace", F.when(F.col("id") < "c02", "a").otherwise("b"))
