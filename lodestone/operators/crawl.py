@@ -15,19 +15,49 @@ from lodestone.session import stored
 DEFAULT_MAX_DEPTH = 2
 
 
+def link_bucket(url: Column | str, buckets: int) -> Column:
+    """The bucket of a linking page."""
+    return F.pmod(F.xxhash64(url), F.lit(buckets)).cast("int")
+
+
+def by_source(edges: DataFrame, buckets: int) -> DataFrame:
+    """Distinct edges with the ``bucket`` of their source, to be written partitioned by it.
+
+    Ranges run over bucket, source and target: a bucket lies in few files, which are
+    in the order of their sources, and a page with very many links spans several tasks.
+    """
+    order = ["bucket", "src", "dst"]
+    dealt = edges.select("src", "dst").distinct().withColumn("bucket", link_bucket("src", buckets))
+    return dealt.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def links_of(edges: DataFrame, leading: DataFrame, buckets: int | None) -> DataFrame:
+    """Edges that start at one of the ``leading`` (url), distinct URLs.
+
+    Of edges partitioned by bucket only the buckets of these pages are read; at most
+    ``buckets`` numbers pass through the driver to say which.
+    """
+    if buckets:
+        rows = leading.select(link_bucket("url", buckets).alias("bucket")).distinct().collect()
+        edges = edges.filter(F.col("bucket").isin([r["bucket"] for r in rows]))
+    return edges.join(leading, edges["src"] == leading["url"], "left_semi")
+
+
 def discover(
     edges: DataFrame,
     pages: DataFrame,
     start_url: str,
     run_ts: datetime | str | Column,
     max_depth: int = DEFAULT_MAX_DEPTH,
+    buckets: int | None = None,
 ) -> DataFrame:
     """URLs reachable from ``start_url`` in at most ``max_depth`` links.
 
-    ``edges`` is (src, dst); ``pages`` is (url, status, content_type). A URL is
-    listed once, at its least depth, when its page answered 200. Only HTML pages
-    lead on, and only to the start URL's domain. A URL without a page, or with
-    another status, counts as visited but is not listed.
+    ``edges`` is (src, dst), and ``bucket`` if they are stored in that many ``buckets``
+    (see ``by_source``): each depth then reads those of its frontier. ``pages`` is
+    (url, status, content_type). A URL is listed once, at its least depth, when its
+    page answered 200. Only HTML pages lead on, and only to the start URL's domain. A
+    URL without a page, or with another status, counts as visited but is not listed.
 
     One round of joins per depth: the frontier meets the link table on the
     linking page, targets are reduced to distinct URLs on the map side, and
@@ -37,7 +67,7 @@ def discover(
     """
     spark = edges.sparkSession
     domain = spark.range(1).select(url_domain(F.lit(start_url)).alias("d")).first()["d"]
-    onward = edges.filter(same_domain("dst", domain)).select("src", "dst")
+    onward = edges.filter(same_domain("dst", domain))
 
     def fetched(frontier: DataFrame, depth: int) -> DataFrame:
         known = frontier.join(pages.select("url", "status", "content_type"), "url", "left")
@@ -56,8 +86,7 @@ def discover(
     visited = level
     for depth in range(1, max_depth + 1):
         leading = level.filter("listed and is_html").select("url")
-        targets = onward.join(leading, onward["src"] == leading["url"], "left_semi")
-        fresh = targets.select(F.col("dst").alias("url")).distinct()
+        fresh = links_of(onward, leading, buckets).select(F.col("dst").alias("url")).distinct()
         level = fetched(fresh.join(visited.select("url"), "url", "left_anti"), depth)
         if level.isEmpty():
             break

@@ -48,10 +48,10 @@ def next_version(spark: SparkSession, path: str) -> int:
     return max(taken, default=0) + 1
 
 
-def write_table(df: DataFrame, path: str) -> int:
+def write_table(df: DataFrame, path: str, *partitions: str) -> int:
     """Write ``df`` as the next version and return its number."""
     version = next_version(df.sparkSession, path)
-    df.write.mode("overwrite").parquet(f"{path}/v{version}")
+    df.write.mode("overwrite").partitionBy(*partitions).parquet(f"{path}/v{version}")
     return version
 
 

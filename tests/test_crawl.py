@@ -45,6 +45,23 @@ def test_urls_are_not_normalised(spark):
     assert len(discover(spark, edges, pages, H + "a")) == 4
 
 
+def test_a_depth_reads_the_buckets_of_its_frontier(spark, tmp_path):
+    edges = [(f"{H}{i}", f"{H}{2 * i + j}") for i in range(1, 200) for j in (0, 1)] * 2
+    pages = html(*map(str, range(1, 200)))
+    crawl.by_source(spark.createDataFrame(edges, "src string, dst string"), 16).write.partitionBy("bucket").parquet(str(tmp_path / "links"))
+    links = spark.read.schema("src string, dst string, bucket int").parquet(str(tmp_path / "links"))
+    assert links.count() == len(set(edges))
+    one = spark.createDataFrame([(H + "5",)], "url string")
+    found = crawl.links_of(links, one, 16)
+    assert sorted(r["dst"] for r in found.collect()) == [H + "10", H + "11"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    bucket = one.select(crawl.link_bucket("url", 16)).first()[0]
+    assert f"PartitionFilters: [isnotnull(bucket" in plan and f"= {bucket})" in plan
+    p = spark.createDataFrame(pages, "url string, status int, content_type string")
+    got = {r["url"]: r["depth"] for r in crawl.discover(links, p, H + "1", RUN_TS, 4, buckets=16).collect()}
+    assert got == discover(spark, edges, pages, H + "1", 4) and len(got) == 31
+
+
 def test_run_header(spark):
     row = crawl.discovery_run(spark, "https://u@H.example:8/x", RUN_TS).first()
     assert (row["start_url"], row["max_depth"], row["domain"]) == ("https://u@H.example:8/x", 2, "u@H.example:8")
