@@ -344,7 +344,7 @@ def ingest_with_failures(spark, sf):
     return stored_now.join(failed, "source", "full")
 
 
-def index_replacing(spark, sf):
+def _two_batches(spark, sf):
     """All documents, then all again: English ones revised, French ones cut too short for a chunk."""
     root = scratch_path(spark, "ingest")
     docs = documents(spark, sf).drop("doc_id")
@@ -354,11 +354,22 @@ def index_replacing(spark, sf):
     later = docs.withColumns({"text": text, "last_modified": F.col("last_modified") + year})
     for batch_id, batch in enumerate((docs, later)):
         ingest.ingest_batch(batch, root, batch_id, hashing_embedder(DIM), "test", RUN_TS, replace_sources=True)
+    return root
+
+
+def index_replacing(spark, sf):
+    """The index after both batches."""
+    root = _two_batches(spark, sf)
     return vec.read_vectors(spark, f"{root}/index").select(
         "id", "metadata.source", "metadata.text", stamp("metadata.last_modified").alias("last_modified")
     )
 
 
+def source_ids(spark, sf):
+    """All vector ids of every source after both batches."""
+    return incremental.source_ids(spark, f"{_two_batches(spark, sf)}/registry")
+
+
 def merged_run(spark, sf):
     """A build over all documents as PDF pages, small ones merged by section before they are chunked."""
     docs = documents(spark, sf)
@@ -500,7 +511,7 @@ QUERIES = {
         recreate_index, validate_vectors, rejected_vectors, vectors_per_document, distinct_ids,
         processed_ids, new_chunks, embed_documents, vector_records, embedding_complete,
         changed_documents, registry_update, embed_changed, ingest_stream, ingest_with_failures,
-        index_replacing, merged_run, shared_index, stage_retry, answers_with_failures, corpus_run, pdf_run, site_discovery,
+        index_replacing, source_ids, merged_run, shared_index, stage_retry, answers_with_failures, corpus_run, pdf_run, site_discovery,
         scraped_documents,
     )
 }
@@ -670,16 +681,18 @@ ORACLES = {
                true as chunks_stored, true as vectors_stored
         from pages""",
 }
-ORACLES["index_replacing"] = f"""
+_REVISED = f"""
     with recursive {DOCS},
     later as (
         select url, case lang when 'en' then 'Revised. ' || text when 'fr' then 'gone' else text end as text,
                last_modified + case when lang in ('en', 'fr') then interval 1 year else interval 0 year end
                as last_modified
         from docs),
-    {chunk_ctes("later")}
+    {chunk_ctes("later")}"""
+ORACLES["index_replacing"] = f"""{_REVISED}
     select {CHUNK_ID} as id, c.source, c.text, {stamp_sql("d.last_modified")} as last_modified
     from chunks c join later d on d.url = c.source"""
+ORACLES["source_ids"] = f"{_REVISED} select source as url, {CHUNK_ID} as vector_id from chunks c"
 # Texts are trimmed where a document is put together from pages; empty ones are no documents.
 _TRIMMED = DOCS.replace(" text,", f" {trim_sql('text')} as text,", 1).replace(
     "from documents", f"from documents where {trim_sql('text')} <> ''"

@@ -11,6 +11,7 @@ from lodestone import schemas
 from lodestone.operators.chunking import chunk
 from lodestone.operators.embedding import vector_record, with_vectors
 from lodestone.operators.selecting import keep_keys
+from lodestone.session import stored
 from lodestone.sources import tables
 
 
@@ -32,7 +33,7 @@ def changed_documents(docs: DataFrame, registry: DataFrame) -> DataFrame:
 def registry_entries(vectors: DataFrame) -> DataFrame:
     """Registry rows of newly embedded sources: time, vector count and last id.
 
-    The ids themselves stay one per row (``registry_ids``): a source may own a
+    The ids themselves stay one per row (``write_ids``): a source may own a
     large share of all vectors, which no single array should hold.
     """
     rows = vectors.select(
@@ -62,6 +63,30 @@ def write_registry(entries: DataFrame, path: str, write_seq: int) -> None:
     tables.append_log(schemas.conform(entries, schemas.REGISTRY), path, write_seq)
 
 
+def write_ids(vectors: DataFrame, path: str, write_seq: int) -> None:
+    """Store the vector ids of a run's sources beside the registry at ``path``, before its entries.
+
+    One row per id, ordered by source within each file. Chunks of a document come
+    from one task, so this needs no shuffle and a source lies in few row groups.
+    """
+    ids = schemas.conform(registry_ids(vectors), schemas.SOURCE_IDS)
+    tables.append_log(ids.sortWithinPartitions("url", "vector_id"), f"{path}-ids", write_seq)
+
+
+def source_ids(spark: SparkSession, path: str, sources: DataFrame | None = None) -> DataFrame:
+    """(url, vector_id) of the sources in the registry at ``path``; with ``sources``, of their ``url`` only.
+
+    A source has the ids of the run its entry comes from: none if that run found it
+    too short for a chunk, and never those of a run that was lost before its entries
+    were written. A source without a URL has none.
+    """
+    entries = tables.read_latest(spark, path, schemas.REGISTRY, "url", only=sources, keep_run=True)
+    entries = entries.filter("vector_count > 0").select("url", "write_seq")
+    ids = tables.read_log(spark, f"{path}-ids", schemas.SOURCE_IDS)
+    # Stored, so that the join is planned by the real size of the entries asked for.
+    return ids.join(stored(entries, "entries"), ["url", "write_seq"], "left_semi").drop("write_seq")
+
+
 def read_registry(
     spark: SparkSession, path: str, docs: DataFrame | None = None, without_run: int | None = None
 ) -> DataFrame:

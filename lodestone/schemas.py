@@ -34,11 +34,13 @@ STATUS = (
     "embeddings_count bigint, last_updated timestamp_ntz"
 )
 FAILURE = "url string, error string, stage string, timestamp timestamp_ntz"
+SOURCE_IDS = "url string, vector_id string"
 REGISTRY = "url string, last_modified timestamp_ntz, vector_count bigint, last_vector_id string"
 PDF_PAGE = "path string, page int, text string"
 PDF_MANIFEST = "url string, filename string, error string, timestamp timestamp_ntz"
 LINEAGE = "url string, source string, doc_key string"
 EDGE = "src string, dst string"
+LINK = f"{EDGE}, bucket int"
 
 STATUS_COLUMNS = [part.split()[0] for part in STATUS.split(", ")]
 

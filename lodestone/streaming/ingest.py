@@ -33,7 +33,7 @@ def ingest_batch(
 
     Chunks that fail are logged under ``failures_ingest``; only documents all of
     whose chunks have vectors are registered, so the others are embedded again
-    when they next come. Vectors are stored before the registry. A replay doesn't see
+    when they next come. Vectors and their ids by source are stored before the registry. A replay doesn't see
     what its own earlier attempt registered: it finds the same documents changed and
     writes the same rows in place of its own. Where all of them were registered, it writes
     nothing.
@@ -61,9 +61,8 @@ def ingest_batch(
         whole = changed.join(failing, "url", "left_anti")
         replaced = whole.select(F.lit(namespace).alias("namespace"), F.col("url").alias("source"))
     written = append_vectors(fresh, f"{root}/index", batch_id, writer, replace_sources, replaced)
-    entries = incremental.registry_entries(
-        fresh.join(complete, F.col("metadata.source") == complete["source"], "left_semi")
-    )
+    registered = fresh.join(complete, F.col("metadata.source") == complete["source"], "left_semi")
+    entries = incremental.registry_entries(registered)
     if replace_sources:
         none = whole.join(embedded.select(F.col("source").alias("url")), "url", "left_anti")
         entries = entries.unionByName(
@@ -73,6 +72,7 @@ def ingest_batch(
                 F.lit(None).cast("string").alias("last_vector_id"),
             )
         )
+    incremental.write_ids(registered, f"{root}/registry", entry_run)
     incremental.write_registry(entries, f"{root}/registry", entry_run)
     return written
 

@@ -367,6 +367,39 @@ def test_changed_documents_lose_their_old_vectors(spark, tmp_path):
     assert entries == {"a": 1, "b": 0, "c": 1, "d": 1}
 
 
+def test_ids_of_a_source_are_those_of_its_entry(spark, tmp_path, monkeypatch):
+    root, embedder = str(tmp_path), hashing_embedder(8)
+
+    def run(batch_id, *rows):
+        return ingest.ingest_batch(docs(spark, *rows), root, batch_id, embedder, "test", T2, replace_sources=True)
+
+    def ids(sources=None):
+        return sorted(map(tuple, incremental.source_ids(spark, f"{root}/registry", sources).collect()))
+
+    def in_index():
+        return sorted((r["metadata"]["source"], r["id"]) for r in vectors.read_vectors(spark, f"{root}/index").collect())
+
+    assert ids() == []
+    run(0, ("a", words("a", 3000), T1), ("b", words("b"), T1), ("c", words("c"), T1))
+    first = ids()
+    assert first == in_index() and len([u for u, _ in first if u == "a"]) > 1
+    run(1, ("a", words("x"), T2), ("b", "gone", T2))
+    assert ids() == in_index() and {u for u, _ in ids()} == {"a", "c"}
+    assert ids(spark.createDataFrame([("c",), ("none",)], "url string")) == [r for r in first if r[0] == "c"]
+    before = ids()
+
+    def lost(*_):
+        raise ConnectionError("lost")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(incremental, "write_registry", lost)
+        with pytest.raises(ConnectionError):
+            run(2, ("c", words("y"), T2))
+    assert ids() == before
+    run(2, ("c", words("y"), T2))
+    assert ids() == in_index() != before
+
+
 def test_merged_documents_are_chunked_for_all_their_urls(spark, tmp_path):
     run = corpus_build.Run(spark, str(tmp_path), T1)
     urls = ["http://h/s/t/1", "http://h/s/t/2", "http://h/s/t/3", "http://h/s/t/4", "http://h/u/v/1", "http://h/s/t/5"]
