@@ -1,10 +1,11 @@
 """Exact nearest vectors by cosine similarity.
 
-The corpus stays where it is. Questions, measured to be small, go to every task;
+Questions, measured to be small, go to every task, and the corpus stays where it is:
 each task keeps the best k per question while it streams its share of the corpus
-and emits only those, as question, row and score. More questions than that come in
-rounds, one block of bounded size after the other, each of which passes over the
-corpus and is reduced to its best k before the next begins.
+and emits only those, as question, row and score. More questions than that meet the
+corpus in a grid: both are dealt into groups of bounded size, a cell takes one group
+of each, and only the best k of a cell leave it. Nothing of a grid passes through
+the driver.
 
 The other columns of the corpus, texts above all, take no part in this. They are
 fetched at the end, for the rows that were found.
@@ -22,9 +23,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
-from lodestone.session import scratch_path, stored
+from lodestone.session import stored
 
 TOP_K = 5
 DIGITS = 9
@@ -33,7 +33,11 @@ BLOCK_BYTES = 64 * 1024 * 1024
 # What a found row takes in a broadcast, its id included, at a generous guess.
 HIT_BYTES = 256
 # Similarities held at once while a batch meets the questions.
-TILE_CELLS = 4_000_000
+TILE_CELLS = 1_000_000
+# What a cell of the grid holds of questions, and of the corpus, in double precision.
+GROUP_BYTES = 16 * 1024 * 1024
+# Groups of either side at least, so that a small grid has work for many tasks.
+MIN_GROUPS = 8
 
 
 def _unit_rows(rows: pa.Table) -> tuple[np.ndarray, pa.Table]:
@@ -65,9 +69,17 @@ def _first_k(q: np.ndarray, c: np.ndarray, s: np.ndarray, place: np.ndarray, k:
 
 
 def _candidates(
-    questions: np.ndarray, names: pa.Array, corpus: pa.Table, k: int
+    questions: np.ndarray,
+    names: pa.Array,
+    corpus: pa.Table,
+    k: int,
+    floor: np.ndarray | None = None,
+    block_rows: int | None = None,
 ) -> pa.Table | None:
-    """The k best rows of one batch for every question; none when nothing can match."""
+    """The k best rows of one batch for every question; none when nothing can match.
+
+    With ``floor``, only those that reach the question's floor.
+    """
     if not corpus.num_rows or not len(names):
         return None
     matrix, payload = _unit_rows(corpus)
@@ -79,12 +91,16 @@ def _candidates(
     place = np.empty(len(matrix), dtype=np.int64)
     place[pc.sort_indices(payload.column("id")).to_numpy()] = np.arange(len(matrix))
     found = []
-    step = max(1, TILE_CELLS // len(matrix))
+    step = max(1, min(TILE_CELLS // len(matrix), block_rows or len(questions)))
     for start in range(0, len(questions), step):
-        scores = np.round(questions[start : start + step] @ matrix.T, DIGITS)
-        if k < scores.shape[1]:
-            floor = np.partition(scores, -k, axis=1)[:, -k, None]
-            q, c = np.nonzero(scores >= floor)
+        scores = questions[start : start + step] @ matrix.T
+        np.round(scores, DIGITS, out=scores)
+        least = None if floor is None else floor[start : start + step, None]
+        if k < scores.shape[1] and (least is None or np.count_nonzero(scores >= least) > 2 * k * len(scores)):
+            best = np.partition(scores, -k, axis=1)[:, -k, None].copy()
+            least = best if least is None else np.maximum(best, least)
+        if least is not None:
+            q, c = np.nonzero(scores >= least)
         else:
             q, c = (a.ravel() for a in np.indices(scores.shape))
         q, c, s = _first_k(q, c, scores[q, c], place, k)
@@ -95,6 +111,14 @@ def _candidates(
     return hits.append_column("similarity", pa.array(s)).append_column("_q", pa.array(q))
 
 
+def _raise_floor(floor: np.ndarray, kept: pa.Table, k: int) -> None:
+    """Set the floor of each question that has k rows to the score of the last; ``kept`` is as ``_best`` gives it."""
+    q = kept.column("_q").to_numpy()
+    last = np.flatnonzero(np.append(q[1:] != q[:-1], True)) if len(q) else np.empty(0, np.int64)
+    full = last[np.diff(last, prepend=-1) >= k]
+    floor[q[full]] = kept.column("similarity").to_numpy()[full]
+
+
 def _questions(rows: pa.Table) -> tuple[np.ndarray | None, pa.Array]:
     if not rows.num_rows:
         return None, rows.column("query_id").combine_chunks()
@@ -136,9 +160,9 @@ def search(
     partition filter reaches the scan.
 
     Questions of up to ``broadcast_bytes`` are answered in one pass over the
-    vectors. More of them come in blocks of ``block_bytes``, one at a time through
-    the driver; the vectors are stored once and read once per block. Further columns
-    are read in a pass of their own, so pass a stored corpus.
+    vectors. More of them meet the vectors in a grid, where a task multiplies at most
+    ``block_bytes`` of questions at a time. Further columns are read in a pass of their
+    own, so pass a stored corpus.
     """
     questions = questions.select("query_id", "values").filter("values is not null")
     columns = [c for c in corpus.columns if c != "values"]
@@ -157,7 +181,7 @@ def search(
     if small.num_rows <= bound:
         found = _rank(_hits(small, vectors, k, ddl), k)
     else:
-        found = _rounds(questions, vectors, k, ddl, max(1, block_bytes // (8 * dimension)))
+        found = _grid(questions, vectors, k, ddl, dimension, max(1, block_bytes // (8 * dimension)))
     if carried:
         if small.num_rows <= bound and small.num_rows * k * HIT_BYTES <= broadcast_bytes:
             found = F.broadcast(found)
@@ -186,33 +210,47 @@ def _hits(block: pa.Table, vectors: DataFrame, k: int, ddl: str) -> DataFrame:
 
     def best_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix, names = shared.value
+        floor = np.full(len(names), -np.inf)
         kept = None
         for batch in batches:
-            fresh = _candidates(matrix, names, pa.Table.from_batches([batch]), k)
+            fresh = _candidates(matrix, names, pa.Table.from_batches([batch]), k, floor)
             if fresh is not None:
                 kept = _merge(kept, fresh, k)
+                _raise_floor(floor, kept, k)
         if kept is not None:
             yield from kept.drop_columns(["_q"]).to_batches()
 
     return vectors.mapInArrow(best_of_partition, ddl)
 
 
-def _rounds(questions: DataFrame, vectors: DataFrame, k: int, ddl: str, block_rows: int) -> DataFrame:
-    """Every block of questions passes over the stored vectors; what it found is stored before the next.
+def _grid(questions: DataFrame, vectors: DataFrame, k: int, ddl: str, dimension: int, block_rows: int) -> DataFrame:
+    """Every group of questions meets every group of vectors in a cell of its own.
 
-    Places are dealt in turn, so that blocks are of one size whatever the ids are.
+    Places are dealt in turn, so that groups are of one size whatever the ids are.
+    Each row goes to as many cells as the other side has groups.
     """
-    spark = questions.sparkSession
     questions, vectors = stored(questions, "questions"), stored(vectors, "corpus-vectors")
-    count = -(-questions.count() // block_rows)
-    blocks, rounds = scratch_path(spark, "question-blocks"), scratch_path(spark, "search-rounds")
-    place = F.pmod(F.monotonically_increasing_id(), F.lit(count)).cast("int")
-    dealt = questions.withColumn("_block", place).repartition(count, "_block")
-    dealt.write.partitionBy("_block").parquet(blocks)
-    with_block = StructType([*questions.schema.fields, StructField("_block", IntegerType())])
-    for n in range(count):
-        block = spark.read.schema(with_block).parquet(blocks).filter(F.col("_block") == n)
-        best = _rank(_hits(block.drop("_block").toArrow(), vectors, k, ddl), k).drop("rank")
-        best.write.parquet(f"{rounds}/round={n}")
+    group_rows = max(1, GROUP_BYTES // (8 * dimension))
+    across, down = (max(MIN_GROUPS, -(-side.count() // group_rows)) for side in (questions, vectors))
+
+    def dealt(side: DataFrame, own: str, groups: int, other: str, others: int) -> DataFrame:
+        place = F.pmod(F.monotonically_increasing_id(), F.lit(groups)).cast("int")
+        cells = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        return side.withColumn(own, place).withColumn(other, cells).groupBy("_across", "_down")
+
+    found = [f.split(" ")[0] for f in ddl.split(", ")]
+
+    def best_of_cell(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        matrix, names = _questions(asked.select(["query_id", "values"]))
+        corpus = rows.drop_columns(["_across", "_down"])
+        best = _candidates(matrix, names, corpus, k, block_rows=block_rows) if matrix is not None else None
+        if best is None:
+            none = corpus.drop_columns(["values"]).slice(0, 0)
+            none = none.append_column("query_id", names.slice(0, 0))
+            best = none.append_column("similarity", pa.array([], pa.float64()))
+        return best.select(found)
+
+    asked = dealt(questions, "_across", across, "_down", down)
+    cells = asked.cogroup(dealt(vectors, "_down", down, "_across", across)).applyInArrow(best_of_cell, ddl)
     # An id that several questions share is ranked as one question.
-    return _rank(spark.read.schema(ddl).parquet(rounds), k)
+    return _rank(cells, k)

@@ -86,6 +86,23 @@ def test_columns_are_fetched_for_the_rows_found(spark, data, rounds):
     assert full and all(sorted(map(str, t)) == ["None", "one", "two", "two"] for t in full)
 
 
+def test_a_grid_takes_as_many_jobs_for_blocks_of_any_size(spark, data):
+    q, c = frame(spark, data[0], "query_id"), frame(spark, data[1], "id")
+    jobs = []
+    for block in (2, 20):
+        spark.sparkContext.setJobGroup(f"grid-{block}", "")
+        assert found(search.search(q, c, 5, broadcast_bytes=8 * 8, block_bytes=8 * 8 * block)) == brute(*data, 5)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"grid-{block}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+
+
+def test_groups_of_a_grid_are_of_bounded_size(spark, data, monkeypatch):
+    monkeypatch.setattr(search, "GROUP_BYTES", 8 * 8 * 30)
+    q, c = frame(spark, data[0], "query_id"), frame(spark, data[1], "id")
+    assert found(search.search(q, c, 5, broadcast_bytes=8 * 8)) == brute(*data, 5)
+
+
 def test_questions_of_one_id_are_ranked_as_one(spark, data):
     corpus = data[1][:50]
     asked = [("same", v) for _, v in data[0][:12]]
