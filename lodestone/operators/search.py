@@ -34,6 +34,8 @@ BLOCK_BYTES = 64 * 1024 * 1024
 HIT_BYTES = 256
 # Similarities held at once while a batch meets the questions.
 TILE_CELLS = 1_000_000
+# Questions whose hits a task gathers at a time.
+HIT_ROWS = 8192
 # What a cell of the grid holds of questions, and of the corpus, in double precision.
 GROUP_BYTES = 16 * 1024 * 1024
 # Groups of either side at least, so that a small grid has work for many tasks.
@@ -68,30 +70,32 @@ def _first_k(q: np.ndarray, c: np.ndarray, s: np.ndarray, place: np.ndarray, k:
     return q[keep], c[keep], s[keep]
 
 
-def _candidates(
-    questions: np.ndarray,
-    names: pa.Array,
-    corpus: pa.Table,
-    k: int,
-    floor: np.ndarray | None = None,
-    block_rows: int | None = None,
-) -> pa.Table | None:
-    """The k best rows of one batch for every question; none when nothing can match.
-
-    With ``floor``, only those that reach the question's floor.
-    """
-    if not corpus.num_rows or not len(names):
+def _prepared(corpus: pa.Table, dimension: int) -> tuple[np.ndarray, pa.Table, np.ndarray] | None:
+    """Unit vectors, other columns and places in id order of one batch; none when it has no usable row."""
+    if not corpus.num_rows:
         return None
     matrix, payload = _unit_rows(corpus)
     if not len(matrix):
         return None
-    if matrix.shape[1] != questions.shape[1]:
-        raise ValueError(f"vectors have {matrix.shape[1]} dimensions, questions {questions.shape[1]}")
+    if matrix.shape[1] != dimension:
+        raise ValueError(f"vectors have {matrix.shape[1]} dimensions, questions {dimension}")
     # Position of each row in id order, so that ties are settled on integers.
     place = np.empty(len(matrix), dtype=np.int64)
     place[pc.sort_indices(payload.column("id")).to_numpy()] = np.arange(len(matrix))
+    return matrix, payload, place
+
+
+def _candidates(
+    questions: np.ndarray,
+    names: pa.Array,
+    corpus: tuple[np.ndarray, pa.Table, np.ndarray],
+    k: int,
+    floor: np.ndarray | None = None,
+) -> pa.Table:
+    """The k best rows of one prepared batch for every question; with ``floor``, of those that reach the question's."""
+    matrix, payload, place = corpus
     found = []
-    step = max(1, min(TILE_CELLS // len(matrix), block_rows or len(questions)))
+    step = max(1, TILE_CELLS // len(matrix))
     for start in range(0, len(questions), step):
         scores = questions[start : start + step] @ matrix.T
         np.round(scores, DIGITS, out=scores)
@@ -181,7 +185,7 @@ def search(
     if small.num_rows <= bound:
         found = _rank(_hits(small, vectors, k, ddl), k)
     else:
-        found = _grid(questions, vectors, k, ddl, dimension, max(1, block_bytes // (8 * dimension)))
+        found = _grid(questions, vectors, k, ddl, dimension, min(HIT_ROWS, max(1, block_bytes // (8 * dimension))))
     if carried:
         if small.num_rows <= bound and small.num_rows * k * HIT_BYTES <= broadcast_bytes:
             found = F.broadcast(found)
@@ -210,15 +214,18 @@ def _hits(block: pa.Table, vectors: DataFrame, k: int, ddl: str) -> DataFrame:
 
     def best_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix, names = shared.value
+        blocks = [slice(at, at + HIT_ROWS) for at in range(0, len(names), HIT_ROWS)]
         floor = np.full(len(names), -np.inf)
-        kept = None
-        for batch in batches:
-            fresh = _candidates(matrix, names, pa.Table.from_batches([batch]), k, floor)
-            if fresh is not None:
-                kept = _merge(kept, fresh, k)
-                _raise_floor(floor, kept, k)
-        if kept is not None:
-            yield from kept.drop_columns(["_q"]).to_batches()
+        kept = [None] * len(blocks)
+        for batch in batches if blocks else ():
+            corpus = _prepared(pa.Table.from_batches([batch]), matrix.shape[1])
+            for n, block in enumerate(blocks if corpus else ()):
+                fresh = _candidates(matrix[block], names[block], corpus, k, floor[block])
+                kept[n] = _merge(kept[n], fresh, k)
+                _raise_floor(floor[block], kept[n], k)
+        for best in kept:
+            if best is not None:
+                yield from best.drop_columns(["_q"]).to_batches()
 
     return vectors.mapInArrow(best_of_partition, ddl)
 
@@ -242,13 +249,14 @@ def _grid(questions: DataFrame, vectors: DataFrame, k: int, ddl: str, dimension:
 
     def best_of_cell(asked: pa.Table, rows: pa.Table) -> pa.Table:
         matrix, names = _questions(asked.select(["query_id", "values"]))
-        corpus = rows.drop_columns(["_across", "_down"])
-        best = _candidates(matrix, names, corpus, k, block_rows=block_rows) if matrix is not None else None
-        if best is None:
-            none = corpus.drop_columns(["values"]).slice(0, 0)
-            none = none.append_column("query_id", names.slice(0, 0))
-            best = none.append_column("similarity", pa.array([], pa.float64()))
-        return best.select(found)
+        rows = rows.drop_columns(["_across", "_down"])
+        none = rows.drop_columns(["values"]).slice(0, 0).append_column("query_id", names.slice(0, 0))
+        best = [none.append_column("similarity", pa.array([], pa.float64())).select(found)]
+        corpus = _prepared(rows, matrix.shape[1]) if len(names) else None
+        for at in range(0, len(names) if corpus else 0, block_rows):
+            block = slice(at, at + block_rows)
+            best.append(_candidates(matrix[block], names[block], corpus, k).select(found))
+        return pa.concat_tables(best)
 
     asked = dealt(questions, "_across", across, "_down", down)
     cells = asked.cogroup(dealt(vectors, "_down", down, "_across", across)).applyInArrow(best_of_cell, ddl)

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,12 @@ def test_small_batches_and_tiles(spark, data, monkeypatch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
+def test_hits_gathered_in_blocks_of_questions(spark, data, monkeypatch):
+    monkeypatch.setattr(search, "HIT_ROWS", 4)
+    q, c = frame(spark, data[0], "query_id"), frame(spark, data[1], "id")
+    assert found(search.search(q, c, 5)) == brute(*data, 5)
+
+
 def test_empty_sides(spark, data):
     q, c = frame(spark, data[0], "query_id"), frame(spark, data[1], "id")
     assert search.search(q.limit(0), c).count() == 0
@@ -103,6 +110,24 @@ def test_groups_of_a_grid_are_of_bounded_size(spark, data, monkeypatch):
     assert found(search.search(q, c, 5, broadcast_bytes=8 * 8)) == brute(*data, 5)
 
 
+def test_rows_below_the_floor_of_a_question_are_no_candidates():
+    corpus = pa.table({"id": ["a", "b", "c"], "values": pa.array([[1.0, 0.0], [0.0, 1.0], [1.0, 1.0]])})
+    corpus = search._prepared(corpus, 2)
+    asked, names = np.array([[1.0, 0.0], [0.0, 1.0]]), pa.array(["x", "y"])
+    kept = search._best(search._candidates(asked, names, corpus, 2), 2)
+    assert kept.column("id").to_pylist() == ["a", "c", "b", "c"]
+    floor = np.full(2, -np.inf)
+    search._raise_floor(floor, kept, 3)
+    assert (floor == -np.inf).all()
+    search._raise_floor(floor, kept, 2)
+    assert floor.round(6).tolist() == [0.707107, 0.707107]
+    later = search._candidates(asked, names, corpus, 2, floor)
+    assert later.num_rows == 4
+    floor[0] = 0.8
+    later = search._candidates(asked, names, corpus, 2, floor)
+    assert list(zip(later["query_id"].to_pylist(), later["id"].to_pylist())) == [("x", "a"), ("y", "b"), ("y", "c")]
+
+
 def test_questions_of_one_id_are_ranked_as_one(spark, data):
     corpus = data[1][:50]
     asked = [("same", v) for _, v in data[0][:12]]
