@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import datetime
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from lodestone.functions.times import as_ntz
 
 MIN_CHARS = 50
 LARGE_DOCUMENT_CHUNKS = 100
+# Text that is split before its chunks leave the worker.
+SLICE_BYTES = 1024 * 1024
 
 
 def drop_short(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -46,17 +50,38 @@ def chunk_metadata(docs: DataFrame, run_ts: Column | datetime | str) -> DataFram
     )
 
 
+def _slices(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """``texts`` in runs of about ``size`` bytes; a longer one stands alone."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64))
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield texts.slice(start, end - start)
+        start = end
+
+
 def _splitter(size: int, overlap: int, separators: Sequence[str]):
-    def split(text: pa.Array) -> pa.Array:
+    fields = [("chunks", pa.list_(pa.string())), ("error", pa.string())]
+
+    def split_slice(texts: pa.Array) -> pa.Array:
         rows = []
-        for value in text.to_pylist():
+        for value in texts:
             try:
-                rows.append({"chunks": split_text(value or "", size, overlap, separators), "error": None})
+                chunks = split_text(value.as_py() or "", size, overlap, separators)
+                rows.append({"chunks": chunks, "error": None})
             except (ValueError, RecursionError) as problem:
                 rows.append({"chunks": None, "error": str(problem)})
-        fields = [("chunks", pa.list_(pa.string())), ("error", pa.string())]
         return pa.array(rows, type=pa.struct(fields))
 
+    # A batch is split and returned in slices, so that a worker never holds the chunks of a whole batch.
+    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            if not len(texts):
+                yield split_slice(texts)
+            for part in _slices(texts, SLICE_BYTES):
+                yield split_slice(part)
+
     # Declared non-deterministic so that the optimizer neither repeats the call for
     # a filter on its result nor moves it below a repartition.
     return F.arrow_udf(split, "struct<chunks:array<string>,error:string>").asNondeterministic()

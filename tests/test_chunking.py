@@ -1,5 +1,6 @@
 import math
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -132,3 +133,13 @@ def test_splitting_comes_after_the_repartition(spark):
     plan = chunking.chunk(docs.withColumn("url", F.lit("u")), RUN_TS)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
     assert plan.index("ArrowEvalPython") < plan.index("Repartition")
+
+
+def test_chunks_leave_the_worker_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(chunking, "SLICE_BYTES", 100)
+    texts = pa.array(["word " * 30, None, "a. b. " * 5, "", "é" * 300] * 3)
+    split = chunking._splitter(50, 5, SEPARATORS).func
+    parts = list(split(iter([texts, pa.array([], pa.string())])))
+    assert max(len(p) for p in parts) <= 4 and sum(len(p) for p in parts) == len(texts)
+    got = [row["chunks"] for p in parts for row in p.to_pylist()]
+    assert got == [split_text(t or "", 50, 5) for t in texts.to_pylist()]
