@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
 import numpy as np
@@ -14,11 +14,13 @@ from lodestone.functions.times import as_ntz
 from lodestone.operators.selecting import drop_keys
 
 BATCH = 16
+# Texts whose vectors leave the worker at a time, in whole batches.
+SLICE_TEXTS = 512
 _EMBEDDED = "struct<values:array<float>,error:string>"
 
 
 def _embedding_column(embedder: Callable[[list[str]], np.ndarray], batch: int) -> Callable:
-    def embed_texts(text: pa.Array) -> pa.Array:
+    def embed_slice(text: pa.Array) -> pa.Array:
         values, errors = [], []
         texts = text.to_pylist()
         for start in range(0, len(texts), batch):
@@ -37,6 +39,14 @@ def _embedding_column(embedder: Callable[[list[str]], np.ndarray], batch: int) -
             names=["values", "error"],
         )
 
+    # Vectors are returned in slices of whole batches, so that a worker never holds those of all rows it was sent.
+    step = batch * max(1, SLICE_TEXTS // batch)
+
+    def embed_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in batches:
+            for start in range(0, max(1, len(text)), step):
+                yield embed_slice(text.slice(start, step))
+
     # Declared non-deterministic so that the optimizer neither repeats the call for
     # a filter on its result nor moves it below a repartition.
     return F.arrow_udf(embed_texts, _EMBEDDED).asNondeterministic()

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +155,21 @@ def test_a_new_index_does_not_find_an_unfinished_compaction(spark, tmp_path, mon
             vectors.compact_vectors(spark, path, 2)
     vectors.create_index(spark, path, RUN_TS, dimension=1, confirm=True)
     assert vectors.read_vectors(spark, path).count() == 0
+
+
+def test_vectors_leave_the_worker_in_slices_of_whole_batches(spark, monkeypatch):
+    monkeypatch.setattr(embedding, "SLICE_TEXTS", 10)
+    embed = hashing_embedder(4)
+
+    def picky(texts):
+        if "word17" in texts:
+            raise RuntimeError("refused")
+        return embed(texts)
+
+    texts = pa.array([f"word{i}" for i in range(30)])
+    parts = list(embedding._embedding_column(picky, 4).func(iter([texts, pa.array([], pa.string())])))
+    assert [len(p) for p in parts] == [8, 8, 8, 6, 0]
+    out = [row for p in parts for row in p.to_pylist()]
+    assert [i for i, row in enumerate(out) if row["error"]] == [16, 17, 18, 19]
+    want = embed(texts.to_pylist()).astype(np.float32)
+    assert all(row["values"] == want[i].tolist() for i, row in enumerate(out) if not row["error"])
