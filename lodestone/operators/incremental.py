@@ -15,19 +15,26 @@ from lodestone.session import stored
 from lodestone.sources import tables
 
 
-def changed_documents(docs: DataFrame, registry: DataFrame) -> DataFrame:
-    """Documents new to the registry, or newer than it; an equal time is no change.
+def changed_keys(docs: DataFrame, registry: DataFrame) -> DataFrame:
+    """(url, last_modified) of documents new to the registry, or newer than it; an equal time is no change.
 
-    Decided on (url, last_modified) alone; texts take part only in the last
-    step, which seldom needs to shuffle them (see ``keep_keys``). The registry
-    is first cut down to the URLs at hand.
+    The registry is first cut down to the URLs at hand.
     """
     pairs = docs.select("url", "last_modified").distinct()
     known = registry.join(pairs.select("url").distinct(), "url", "left_semi").select(
         "url", F.col("last_modified").alias("_known"), F.lit(True).alias("_in")
     )
     changed = pairs.join(known, "url", "left").filter("_in is null or _known < last_modified")
-    return keep_keys(docs, changed, "url", "last_modified")
+    return changed.select("url", "last_modified")
+
+
+def changed_documents(docs: DataFrame, registry: DataFrame) -> DataFrame:
+    """The documents of ``changed_keys``.
+
+    Decided on (url, last_modified) alone; texts take part only in the last
+    step, which seldom needs to shuffle them (see ``keep_keys``).
+    """
+    return keep_keys(docs, changed_keys(docs, registry), "url", "last_modified")
 
 
 def registry_entries(vectors: DataFrame) -> DataFrame:

@@ -229,17 +229,35 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 
     Of an id the newest run counts, unless a later run replaced its source. Records
     of replaced sources are reduced to one row per source and stored, so that the
-    join with the vectors is planned by their real size.
+    join with the vectors is planned by their real size. Rows of the newest run are
+    read as they are; of the others those of replaced sources go first, by their
+    keys alone, so that mostly no id is left to be looked up.
     """
     log = _vector_log(spark, path)
     hidden, records = tables.replaced(spark, log, _SOURCE)
-    rows = tables.read_latest(spark, log, schemas.VECTOR, "namespace", "id", hidden=hidden, keep_run=True)
+    key = ["namespace", "id"]
     if records is None:
-        return rows.drop("write_seq")
+        return tables.read_latest(spark, log, schemas.VECTOR, *key, hidden=hidden)
     gone = stored(records.toDF("_namespace", "_source", "_replaced"), "replaced")
-    same = (F.col("namespace") == F.col("_namespace")) & (F.col("metadata.source") == F.col("_source"))
-    current = rows.join(gone, same, "left").filter("_replaced is null or write_seq >= _replaced")
-    return current.select(*rows.columns).drop("write_seq")
+    rows = tables.read_log(spark, log, schemas.VECTOR).filter(~F.col("write_seq").isin(hidden))
+    last = gone.agg(F.max("_replaced")).first()[0] or 0
+    newest = max([last, *(run for run in tables.run_numbers(spark, log) if run not in hidden)])
+
+    def remaining(old: DataFrame, source: str) -> DataFrame:
+        same = (F.col("namespace") == F.col("_namespace")) & (F.col(source) == F.col("_source"))
+        kept = old.join(gone, same, "left").filter("_replaced is null or write_seq >= _replaced")
+        return kept.select(*old.columns)
+
+    final, old = rows.filter(F.col("write_seq") == newest), rows.filter(F.col("write_seq") != newest)
+    keys = rows.select(*key, "write_seq", F.lit(None).cast("bigint").alias("_kept"))
+    left = remaining(old.select(*key, "write_seq", F.col("metadata.source").alias("_from")), "_from")
+    left = left.select(*key, "write_seq", F.col("write_seq").alias("_kept"))
+    runs = keys.unionByName(left).groupBy(*key).agg(F.min("_kept").alias("_kept"), F.max("write_seq").alias("_latest"))
+    # Ids of which a row is left that is not of the newest run.
+    rewritten = stored(runs.filter("_kept < _latest").drop("_kept"), "rewritten")
+    current = remaining(old, "metadata.source").join(rewritten, key, "left")
+    current = current.filter("_latest is null or write_seq = _latest").drop("_latest")
+    return current.unionByName(final).drop("write_seq")
 
 
 def upload_if_empty(

@@ -143,6 +143,12 @@ def log_runs(spark: SparkSession, path: str) -> dict[str, int]:
     return runs
 
 
+def run_numbers(spark: SparkSession, path: str) -> set[int]:
+    """Numbers of the runs stored in any folder, from the folder names alone."""
+    found = glob_paths(spark, f"{path}/write_seq=*") + glob_paths(spark, f"{path}/*/write_seq=*")
+    return {int(name.rsplit("=", 1)[1]) for name in found}
+
+
 def latest_runs(log: DataFrame, *key: str) -> DataFrame:
     """Rows of each key's newest run.
 

@@ -46,8 +46,9 @@ def ingest_batch(
         if incremental.changed_documents(docs, known).isEmpty():
             return 0
     registry = incremental.read_registry(spark, f"{root}/registry", docs, entry_run)
-    changed = stored(incremental.changed_documents(docs, registry), "changed") if replace_sources else docs
-    embedded = stored(incremental.embed_changed_chunks(changed, registry, embedder, run_ts), "embedded")
+    if replace_sources:
+        changed = stored(incremental.changed_keys(docs, registry), "changed")
+    embedded = stored(incremental.embed_changed_chunks(docs, registry, embedder, run_ts), "embedded")
     if embedded.isEmpty() and (not replace_sources or changed.isEmpty()):
         return 0
     failed = embedding.embedding_failures(embedded, run_ts)

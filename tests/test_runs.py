@@ -461,3 +461,44 @@ def test_page_metadata_stays_with_the_documents(spark, tmp_path):
     corpus_build.chunk_stage(run, found)
     chunks = run.results("chunks", corpus_build._CHUNK, "source").collect()
     assert {r["source"]: str(r["last_modified"]) for r in chunks}["http://h/a"] == "2024-01-02 03:04:05"
+
+
+def test_rows_of_replaced_sources_go_before_ids_are_looked_up(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "index")
+
+    def write(run, *rows, **options):
+        made = vector_rows(spark, *rows).withColumns({"id": F.col("metadata.text"), "values": F.array(F.lit(run).cast("float"))})
+        vectors.append_vectors(made, path, run, **options)
+
+    def read():
+        kept = {}
+
+        def storing(df, label="stored"):
+            kept[label] = tables.stored(df, label)
+            return kept[label]
+
+        monkeypatch.setattr(vectors, "stored", storing)
+        rows = sorted((r["metadata"]["source"] or "", r["id"], r["values"][0]) for r in vectors.read_vectors(spark, path).collect())
+        monkeypatch.undo()
+        return rows, kept["rewritten"].count()
+
+    write(1, ("a", "1"), ("a", "2"), ("b", "3"), (None, "4"))
+    write(2, ("a", "1"), ("a", "2"), replace_sources=True)
+    assert read() == ([("", "4", 1.0), ("a", "1", 2.0), ("a", "2", 2.0), ("b", "3", 1.0)], 0)
+    # An id that has moved to another source: its newest run counts, even where that is gone.
+    write(3, ("c", "3"))
+    write(4, ("c", "5"), (None, "4"), replace_sources=True)
+    assert read() == ([("", "4", 4.0), ("a", "1", 2.0), ("a", "2", 2.0), ("c", "5", 4.0)], 2)
+
+
+def test_a_replacing_batch_stores_keys_of_what_changed(spark, tmp_path, monkeypatch):
+    kept = {}
+
+    def storing(df, label="stored"):
+        kept[label] = df.columns
+        return tables.stored(df, label)
+
+    monkeypatch.setattr(ingest, "stored", storing)
+    rows = docs(spark, ("a", words("a"), T1), ("b", "short", T1))
+    ingest.ingest_batch(rows, str(tmp_path / "r"), 0, hashing_embedder(8), "test", T2, replace_sources=True)
+    assert kept["changed"] == ["url", "last_modified"]
