@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lodestone import schemas
 from lodestone.functions.times import as_ntz
 from lodestone.operators.selecting import keep_keys
+from lodestone.session import paired
 
 RunTime = Column | datetime | str
 
@@ -24,7 +25,9 @@ def _is(column: str, value: str) -> Column:
     return F.coalesce(F.col(column) == value, F.lit(False))
 
 
-# What makes a URL ready for a stage. Columns are null for an untracked URL.
+# Stages that an untracked URL is ready for.
+UNTRACKED = ("scrape", "pdf")
+# What makes a tracked URL ready for a stage.
 READY = {
     "scrape": "not (status <=> 'completed')",
     "chunk": "stage <=> 'scraped'",
@@ -35,11 +38,14 @@ READY = {
 
 
 def stage_gate(discovered: DataFrame, status: DataFrame, stage: str) -> DataFrame:
-    """Discovered URLs that are ready for ``stage``."""
-    tracked = discovered.select("url").distinct().join(
-        status.select("url", "status", "stage"), "url", "left"
-    )
-    return tracked.filter(READY[stage]).select("url")
+    """Discovered URLs that are ready for ``stage``.
+
+    What makes them ready is settled before the join, so that only URLs and a flag are sorted.
+    """
+    flagged = status.select("url", F.expr(READY[stage]).alias("_ready"))
+    urls, flagged = paired(discovered.select("url").distinct(), flagged, "url")
+    tracked = urls.join(flagged, "url", "left")
+    return tracked.filter(F.coalesce("_ready", F.lit(stage in UNTRACKED))).select("url")
 
 
 def with_content(ready: DataFrame, content: DataFrame) -> DataFrame:

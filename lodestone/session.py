@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 # The largest input, as read, that ``spread`` moves.
 SPREAD_BYTES = 256 * 2**20
+# What ``paired`` leaves as it is, and the size of a partition otherwise, both as read from compressed files.
+BROADCAST_SIDE_BYTES = 10 * 2**20
+PAIRED_BYTES = 2 * 2**20
+MOST_PARTITIONS = 10_000
+# Estimates of this size are no more than a product of guesses.
+UNKNOWN_BYTES = 2**50
 
 # Settings worth having on any cluster; sizes follow the data, not the code.
 RECOMMENDED_CONF = {
@@ -79,6 +85,23 @@ def spread(df: DataFrame) -> DataFrame:
     estimates at less than ``SPREAD_BYTES`` is shuffled; how a larger one is
     split is left to ``spark.sql.files.maxPartitionBytes``.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    small = size < SPREAD_BYTES
+    small = estimated_bytes(df) < SPREAD_BYTES
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if small else df
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def paired(left: DataFrame, right: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
+    """Two sides of a join in partitions by key, as many as their estimated size calls for.
+
+    Left to itself, Spark merges partitions by their compressed size until there is one
+    per core, and what a task sorts grows with the input. A pair with a side small enough
+    to be broadcast, or whose size Spark can't tell, is left as it is.
+    """
+    sizes = [estimated_bytes(side) for side in (left, right)]
+    if min(sizes) < BROADCAST_SIDE_BYTES or max(sizes) >= UNKNOWN_BYTES:
+        return left, right
+    count = min(-(-sum(sizes) // PAIRED_BYTES), MOST_PARTITIONS)
+    return left.repartition(count, on), right.repartition(count, on)

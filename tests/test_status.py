@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from lodestone import schemas
+from lodestone import schemas, session
 from lodestone.operators import repair
 from lodestone.operators import status as st
 
@@ -148,3 +148,15 @@ def test_repair(spark):
     }
     errors = spark.createDataFrame([("s", "disk full")], "url string, error string")
     assert shown(repair.merge_checkpoints(status, first, errors))["s"] == ("failed", "embedding", "disk full", 2, None, OLD)
+
+
+def test_gates_sort_no_more_than_a_share_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(session, "BROADCAST_SIDE_BYTES", 0)
+    monkeypatch.setattr(session, "estimated_bytes", lambda df: session.PAIRED_BYTES * 3)
+    status = table(spark, [(f"u{i}", "completed" if i % 2 else None, "scraped", None, None, None, None) for i in range(40)])
+    status = status.unionByName(table(spark, [("u0", "failed", "scraped", None, None, None, None), (None, "failed", "scraped", None, None, None, None)]))
+    found = urls(spark, *[f"u{i}" for i in range(50)], "u3", None)
+    for stage, want in (("chunk", [f"u{i}" for i in range(40)] + ["u0"]), ("scrape", [f"u{i}" for i in (*range(0, 40, 2), 0, *range(40, 50))] + [None])):
+        due = st.stage_gate(found, status, stage)
+        assert sorted(map(str, (r["url"] for r in due.collect()))) == sorted(map(str, want))
+        assert "REPARTITION_BY_NUM" in due._jdf.queryExecution().executedPlan().toString()
